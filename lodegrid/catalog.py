@@ -1,0 +1,9 @@
+"""Registered queries of the engine's own operators."""
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
