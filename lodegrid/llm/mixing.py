@@ -43,8 +43,9 @@ def uniform(key: Column, seed: str) -> Column:
 
 
 def with_keys(docs: DataFrame, weight: Column, seed: str = "mix") -> DataFrame:
-    """Add ``mix_size`` and ``mix_key``."""
-    return docs.withColumn("mix_size", n_words()).withColumn("mix_key", -F.ln(uniform(F.col("doc_id"), seed)) / weight)
+    """Add ``mix_size``, unless it is there, and ``mix_key``."""
+    sized = docs if "mix_size" in docs.columns else docs.withColumn("mix_size", n_words())
+    return sized.withColumn("mix_key", -F.ln(uniform(F.col("doc_id"), seed)) / weight)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -120,7 +121,7 @@ def _by_source(rows: DataFrame, small: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weight: Column | None = None, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: str = "mix", narrow: bool = False) -> DataFrame:
-    """Add size, source_size, target and taken to documents (columns doc_id, text, source).
+    """Add size, source_size, target and taken to documents (columns doc_id, source, and text or mix_size).
 
     ``weight`` is the quality weight of a document, positive (default 1).
     ``narrow`` keeps doc_id and source alone of the other columns and reads the texts once.
@@ -150,7 +151,10 @@ def repeat(mixed: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def label_weight(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Add ``mix_weight``: 2 for documents labelled good, 1/2 for bad, 1 without a label."""
+    """Add ``mix_weight``: 2 for documents labelled good, 1/2 for bad, 1 without a label.
+
+    Both sides may be shuffled by doc_id, so give documents without their texts.
+    """
     best = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg(F.max("quality").alias("label_quality"))
     joined = docs.join(best, F.col("doc_id") == F.col("label_id"), "left")
     weight = F.when(F.col("label_quality") >= 1, 2.0).when(F.col("label_quality") <= 0, 0.5).otherwise(1.0)

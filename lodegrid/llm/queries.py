@@ -14,7 +14,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words().alias("mix_size"))
     weighed = mixing.label_weight(docs, read(spark, sf_dir, "labels"))
     mixed = mixing.mix(weighed, F.col("mix_weight"), narrow=True)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
