@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegrid.llm import chat, mixing, sharding
+from lodegrid.llm import chat, decontamination, mixing, sharding
 from lodegrid.llm.scratch import Scratch
 
 
@@ -35,3 +35,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     pages = Scratch(spark, "chat").table(chat.format_conversations(turns), "pages")
     return chat.read_back(pages)
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", "text")
+    found = decontamination.match(docs, items)
+    joined = F.array_join(F.array_sort("match_items"), ",")
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("match_items").cast("bigint").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
