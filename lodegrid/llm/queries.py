@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegrid.llm import chat, decontamination, mixing, sharding
+from lodegrid.llm import chat, decontamination, minhash, mixing, sharding, token_files
 from lodegrid.llm.scratch import Scratch
 
 
@@ -44,3 +44,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("match_items").cast("bigint").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.against_edits(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
