@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegrid.llm import chat, decontamination, minhash, mixing, sharding, token_files
+from lodegrid.llm import chat, decontamination, minhash, mixing, set_join, sharding, token_files
 from lodegrid.llm.scratch import Scratch
 
 
@@ -55,3 +55,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return token_files.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+def op6_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.classes(read(spark, sf_dir, "documents"), set_join.Rule(k=3, percent=90))
