@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegrid.llm import chat, decontamination, minhash, mixing, set_join, sharding, token_files
+from lodegrid.llm import chat, decontamination, language, minhash, mixing, secrets, set_join, sharding, token_files
+from lodegrid.llm.arrow import id_crc
 from lodegrid.llm.scratch import Scratch
 
 
@@ -59,3 +60,20 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.classes(read(spark, sf_dir, "documents"), set_join.Rule(k=3, percent=90))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language.fit(docs.where(id_crc(4) != 2).select("doc_id", "text", "lang"))
+    rows = language.predict(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", (id_crc(4) == 2).alias("held_out"), "lang_pred", "score", "lang_set")
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["kind"] < 3)
+    of = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select(
+        "doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(secrets.joined(base), 256).alias("base_sha256"),
+        secrets.joined(F.col("secrets")).alias("spans"), of(3).alias("n_random"),
+    )
