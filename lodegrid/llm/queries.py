@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegrid.llm import chat, decontamination, language, minhash, mixing, secrets, set_join, sharding, token_files
+from lodegrid.llm import chat, decontamination, language, language_model, minhash, mixing, secrets, set_join, sharding, token_files
 from lodegrid.llm.arrow import id_crc
 from lodegrid.llm.scratch import Scratch
 
@@ -77,3 +77,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(secrets.joined(base), 256).alias("base_sha256"),
         secrets.joined(F.col("secrets")).alias("spans"), of(3).alias("n_random"),
     )
+
+
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = id_crc(7) == 2
+    rows = language_model.score(docs.withColumn("held_out", held_out), docs.where(~held_out))
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
