@@ -15,9 +15,9 @@ Executors write where all of them and the driver can read, under a name of the
 task's attempt that is renamed when it is whole; the manifest names the attempts
 that ended well, so a task that is run again or twice leaves no trace.
 
-Texts are cut at ASCII white space, which no token of a word-level vocabulary
-spans, and each distinct piece is encoded once for a worker (``CACHE_PIECES`` at a
-time).  For other vocabularies give ``pieces=False``: whole texts are encoded.
+Texts are cut where no token of a word-level vocabulary spans the cut (``pieces``),
+and a worker encodes each distinct piece once while it remembers it
+(``CACHE_PIECES``).  For other vocabularies give ``cut=False``: whole texts are encoded.
 
 Defined cases: null and empty texts have the end id alone; equal ids (repeated
 rows) follow one another, ordered by a hash of their texts; an empty table makes
@@ -42,7 +42,7 @@ from lodegrid.llm.arrow import map_arrow
 from lodegrid.llm.scratch import Scratch
 
 #: Distinct pieces of text that a worker remembers.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 300_000
 NULL_ID = -(2**63)
 
 
@@ -85,44 +85,100 @@ def mapped(path: str, dtype: str) -> np.ndarray:
         return np.frombuffer(f.read(), dtype)
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[0x61:0x7B] = True
+_MARK = np.zeros(256, bool)
+_MARK[0x21:0x30] = _MARK[0x3A:0x41] = _MARK[0x5B:0x61] = _MARK[0x7B:0x7F] = True
+
+
+def pieces(texts: W.Texts) -> W.Words:
+    """Words in lower case, cut as well where an ASCII mark follows an ASCII letter.
+
+    Word-level vocabularies end a token there in any case, and lower-case A-Z.  Where
+    a text may hold the string of a special token, words are kept whole and as they are.
+    """
+    if b"<|" in texts.data.tobytes():
+        return W.split(texts, lower=False)
+    split = W.split(texts)
+    cut = np.flatnonzero(_LETTER[split.lowered[:-1]] & _MARK[split.lowered[1:]]) + 1
+    border = np.zeros(len(split.lowered) + 1, bool)
+    border[split.starts] = border[cut] = True
+    starts = np.flatnonzero(border)
+    border[:] = False
+    border[split.ends] = border[cut] = True
+    ends = np.flatnonzero(border)
+    return W.Words(starts, ends, np.diff(np.searchsorted(starts, texts.offsets)), split.lowered)
+
+
 class Encoder:
     """Encodes texts by their distinct pieces."""
 
-    def __init__(self, tokenizer: str, end_id: int, pieces: bool = True):
+    def __init__(self, tokenizer: str, end_id: int, cut: bool = True):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end_id, self.pieces = Tokenizer.from_file(tokenizer), end_id, pieces
+        self.tokenizer, self.end_id, self.cut = Tokenizer.from_file(tokenizer), end_id, cut
         self.wide = self.tokenizer.get_vocab_size(True) > 1 << 16 or end_id >= 1 << 16
-        self.forget()
+        special = [(t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special]
+        self.between = special[0] if special else None
+        self.known: dict[int, int] = {}
+        self.flat = np.array([end_id], np.uint32)
+        self.first = np.array([0, 1], np.int64)
+        self.used = np.array([2], np.int64)
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = np.array([self.end_id], np.uint32)
-        self.first = np.array([0, 1], np.int64)
+        """Keep the pieces that several slices had: most are of one text alone."""
+        kept = np.flatnonzero(self.used > 1)
+        kept = kept if len(kept) <= CACHE_PIECES // 2 else kept[:1]
+        n = (self.first[1:] - self.first[:-1])[kept]
+        upto = np.cumsum(n)
+        self.flat = self.flat[np.repeat(self.first[kept] - (upto - n), n) + np.arange(upto[-1])]
+        self.first = np.concatenate(([0], upto))
+        number = dict(zip(kept.tolist(), range(len(kept)), strict=True))
+        self.known = {h: number[i] for h, i in self.known.items() if i in number}
+        self.used = np.minimum(self.used[kept], 1)
+        self.used[0] = 2
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        """Ids of each text."""
+        run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        return [np.array(e.ids, np.uint32) for e in run(texts, add_special_tokens=False)]
+
+    def encode_pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces one after another, and how many each has."""
+        mark, mark_id = self.between or ("", -1)
+        if not mark or any(mark in x for x in texts):
+            ids = self.encode(texts)
+            return np.concatenate(ids), np.array([len(x) for x in ids])
+        # A special token between pieces keeps them apart and shows where each ends.
+        ids = self.encode([mark.join(texts[i : i + 100]) + mark for i in range(0, len(texts), 100)])
+        ids = np.concatenate(ids)
+        ends = np.flatnonzero(ids == mark_id)
+        return ids[ids != mark_id], np.diff(np.concatenate(([-1], ends))) - 1
 
     def __call__(self, texts: W.Texts, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts with their end ids, and how many each text has."""
-        if not self.pieces:
+        if not self.cut:
             own = self.encode([x or "" for x in column.to_pylist()])
             end = np.array([self.end_id], np.uint32)
             return np.concatenate([x for e in own for x in (e, end)]), np.array([len(e) + 1 for e in own])
-        split = W.split(texts, lower=False)
-        coded = split.strings().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.known) + len(distinct) > CACHE_PIECES:
+        split = pieces(texts)
+        distinct, where, inverse = np.unique(split.hashes(), return_index=True, return_inverse=True)
+        names = distinct.tolist()
+        if len(self.known) + len(names) > CACHE_PIECES:
             self.forget()
-        fresh = [x for x in distinct if x not in self.known]
+        fresh = [i for i, h in enumerate(names) if h not in self.known]
         if fresh:
-            ids = self.encode(fresh)
-            for x in fresh:
-                self.known[x] = len(self.known) + 1  # 0 is the end id
-            self.flat = np.concatenate([self.flat, *ids])
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in ids])])
-        entry = np.fromiter((self.known[x] for x in distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
-        entry = np.insert(entry, np.cumsum(split.counts), 0)
+            data = split.lowered.tobytes()
+            ids, lengths = self.encode_pieces([data[a:b].decode() for a, b in zip(split.starts[where[fresh]].tolist(), split.ends[where[fresh]].tolist(), strict=True)])
+            n = len(self.first) - 1
+            self.known.update(zip([names[i] for i in fresh], range(n, n + len(fresh)), strict=True))
+            self.flat = np.concatenate([self.flat, ids])
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(lengths)])
+            self.used = np.concatenate([self.used, np.zeros(len(fresh), np.int64)])
+        of = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+        self.used[of] += 1
+        entry = np.insert(of[inverse], np.cumsum(split.counts), 0)  # 0 is the end id
         start, n = self.first[entry], self.first[entry + 1] - self.first[entry]
         upto = np.cumsum(n)
         ids = self.flat[np.repeat(start - (upto - n), n) + np.arange(upto[-1])]
@@ -130,7 +186,19 @@ class Encoder:
         return ids, np.diff(np.concatenate(([0], upto[last])))
 
 
-def _write(folder: str, tokenizer: str, end_id: int, pieces: bool):
+_encoders: dict[tuple, Encoder] = {}
+
+
+def _encoder(tokenizer: str, end_id: int, cut: bool) -> Encoder:
+    """The worker's encoder, kept from task to task."""
+    key = (tokenizer, end_id, cut)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
+
+
+def _write(folder: str, tokenizer: str, end_id: int, cut: bool):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         name = f"{folder}/part-{context.partitionId():06d}-{context.taskAttemptId()}"
@@ -138,7 +206,7 @@ def _write(folder: str, tokenizer: str, end_id: int, pieces: bool):
         tokens = docs = 0
         for batch in batches:
             if encoder is None and batch.num_rows:
-                encoder = Encoder(tokenizer, end_id, pieces)
+                encoder = _encoder(tokenizer, end_id, cut)
                 files = [Writer(f"{name}.{x}") for x in ("ids", "off", "doc")]
             column, ids_of = batch.column("text"), batch.column("doc_id").cast(pa.int64()).fill_null(NULL_ID).to_numpy()
             for texts in W.slices(column):
@@ -156,10 +224,10 @@ def _write(folder: str, tokenizer: str, end_id: int, pieces: bool):
     return write
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, pieces: bool = True) -> list[dict]:
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, cut: bool = True) -> list[dict]:
     """Write token files of documents (doc_id, text); the manifest, in order, with each part's base."""
     ordered = docs.select("doc_id", "text").orderBy("doc_id", F.xxhash64("text"))
-    written = map_arrow(ordered, _write(folder, tokenizer, end_id, pieces), "part bigint, file string, docs bigint, tokens bigint, width bigint")
+    written = map_arrow(ordered, _write(folder, tokenizer, end_id, cut), "part bigint, file string, docs bigint, tokens bigint, width bigint")
     manifest, base = [], 0
     for row in sorted(written.collect(), key=lambda r: r["part"]):  # one row for each partition
         manifest.append(row.asDict() | {"base": base})
@@ -190,7 +258,7 @@ def read(spark: SparkSession, manifest: list[dict]) -> DataFrame:
     return map_arrow(parts.repartition(max(1, len(manifest))), _read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end_id: int, pieces: bool = True) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, end_id: int, cut: bool = True) -> DataFrame:
     """Write the documents' token files to the shared folder and read their digests back."""
     spark = docs.sparkSession
-    return read(spark, write(docs, Scratch(spark, "tokens").path("files"), tokenizer, end_id, pieces))
+    return read(spark, write(docs, Scratch(spark, "tokens").path("files"), tokenizer, end_id, cut))
