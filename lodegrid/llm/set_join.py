@@ -164,11 +164,17 @@ def _described(rule: Rule):
 
 
 def _tokens(rule: Rule):
+    """Sets and their tokens, each once for a task; tasks of later steps pass over what is left of repeated rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for texts in W.slices(batch.column("text")):
                 tokens, counts = token_sets(texts, rule.k)
-                yield pa.RecordBatch.from_arrays([pa.array(digests(tokens, counts)), lists(pa.array(tokens.view(np.int64)), counts)], names=["set", "tokens"])
+                names = digests(tokens, counts)
+                fresh = np.array([x not in seen and not seen.add(x) for x in names.tolist()], bool)  # rows may be repeated
+                kept = tokens[np.repeat(fresh, counts)]
+                yield pa.RecordBatch.from_arrays([pa.array(names[fresh]), lists(pa.array(kept.view(np.int64)), counts[fresh])], names=["set", "tokens"])
 
     return run
 
@@ -317,7 +323,13 @@ def verify(families: DataFrame, best: DataFrame, tokens: DataFrame, rule: Rule,
     sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("m"))
     small = families.join(sizes.where(F.col("m") <= BLOCK).select("family"), "family")
     tasks = small.select(F.col("family").alias("task"), F.lit(0).alias("side"), "set", F.col("set").alias("component"))
-    run = lambda t: map_arrow(t.join(tokens, "set").select("task", "side", "set", "component", "tokens").repartition("task").sortWithinPartitions("task", "side", "set"), _blocks_linked(rule), "a bigint, b bigint")
+
+    def run(t: DataFrame) -> DataFrame:
+        t = scratch.table(t, "tasks")
+        t = F.broadcast(t) if t.count() <= BROADCAST_SETS else t
+        dealt = tokens.join(t, "set").select("task", "side", "set", "component", "tokens").repartition("task").sortWithinPartitions("task", "side", "set")
+        return map_arrow(dealt, _blocks_linked(rule), "a bigint, b bigint")
+
     links = scratch.table(run(tasks), "links")
     large = scratch.table(families.join(sizes.where(F.col("m") > BLOCK), "family"), "large")
     if large.isEmpty():
@@ -375,7 +387,7 @@ def joined(docs: DataFrame, sets: DataFrame, signatures: DataFrame, rule: Rule,
     ids = wanted.select("doc_id").distinct()
     texts = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
     tokens = map_arrow(texts.select("text"), _tokens(rule), "set bigint, tokens array<bigint>")
-    tokens = scratch.table(tokens.join(F.broadcast(families.select("set")) if few else families.select("set"), "set", "left_semi").dropDuplicates(["set"]), "tokens")
+    tokens = scratch.table(tokens.join(F.broadcast(families.select("set")) if few else families.select("set"), "set", "left_semi"), "tokens")
     links = verify(families, best, tokens, rule, scratch)
     named = components(links, scratch).withColumnRenamed("node", "set")
     labelled = sets.join(named, "set", "left").withColumn("component", F.coalesce("component", "set"))
