@@ -1,9 +1,530 @@
-"""Registered queries of the engine's own operators."""
+"""Registered queries of the engine's own operators, over the test tables."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql() -> dict:
-    return {}
+from lodegrid import catalog_sql, schemas
+from lodegrid.functions import query_text
+from lodegrid.functions.columns import ancestors, depth, fold, parent_dir, token_estimate, tokens, word_count
+from lodegrid.operators import bm25, chunking, edges, enrichment, formats, graph, rollup, search
+from lodegrid.operators.resolve import innermost
+from lodegrid.plans import store
+from lodegrid.sources import corpus, files
+from lodegrid.sources.corpus import table
+from lodegrid.sources.ignore import ignored
+
+Query = Callable[[SparkSession, str], DataFrame]
+_found: dict[str, Query] = {}
+IDENTIFIER, PUNCTUATED = "License", "License,"
+PATTERNS = ("License", "MIT", "the", "und", "Public", "version")
+PHRASES = "public license"
+ROOT = "n7"
+
+
+def query(f: Query) -> Query:
+    _found[f.__name__] = f
+    return f
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+
+
+def _text_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = _docs(spark, sf_dir)
+    return bm25.postings(docs, ("text", "source"), "doc_id"), docs.select("doc_id")
+
+
+# Identifier search.
+
+
+@query
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    nodes, lines = corpus.document_nodes(docs), corpus.document_lines(docs)
+    best = search.lexical(IDENTIFIER, nodes, lines, 10, docs.count())
+    return best.select("id", "rank", F.round("score", 6).alias("score"))
+
+
+@query
+def lexical_score_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    hits = corpus.document_lines(docs).where(word_count("text", IDENTIFIER) > 0)
+    by = hits.groupBy(F.col("file_path").alias("id")).agg(F.count(F.lit(1)).alias("hits"))
+    whole = by.agg(F.sum("hits").alias("whole_matches"), F.count(F.lit(1)).alias("whole_files"))
+    scored = search.score_lexical(by.withColumn("name", F.col("id")).crossJoin(F.broadcast(whole)), IDENTIFIER, docs.count())
+    return scored.select("id", "hits", "whole_matches", "whole_files", F.round("score", 6).alias("score"))
+
+
+@query
+def multi_pattern_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    patterns = spark.createDataFrame([(p,) for p in PATTERNS], "name string")
+    words = corpus.document_lines(_docs(spark, sf_dir)).select("file_path", F.explode(tokens("text")).alias("name"))
+    return words.join(F.broadcast(patterns), "name").groupBy("file_path", "name").agg(F.count(F.lit(1)).alias("n_matches"))
+
+
+@query
+def word_match_punctuated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = corpus.document_lines(_docs(spark, sf_dir))
+    return lines.where(word_count("text", PUNCTUATED) > 0).select("file_path", F.col("line_no").cast("bigint").alias("line_no"))
+
+
+# Joins.
+
+
+@query
+def innermost_enclosing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    lines = corpus.document_lines(docs).select("file_path", "line_no")
+    near = innermost(lines, corpus.document_nodes(docs), ["id", "ord"])
+    return near.select("file_path", F.col("line_no").cast("bigint").alias("line_no"), F.col("node_id").alias("id"))
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return edges.build_edges(corpus.document_nodes(docs), corpus.document_lines(docs))
+
+
+@query
+def name_reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(spark, sf_dir).withColumn("call_site_line", F.col("call_site_line").cast("bigint"))
+
+
+@query
+def edge_type_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(spark, sf_dir).groupBy("edge_type").agg(F.count(F.lit(1)).alias("n_edges"))
+
+
+@query
+def edge_type_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = spark.createDataFrame([(k,) for k in ("file", "class", "function", "method", "interface", "object")], "kind string")
+    brands = table(spark, sf_dir, "part").select("p_brand").distinct()
+    pairs = brands.join(F.broadcast(kinds.withColumnRenamed("kind", "source_type")).alias("a"), F.lit(True)).join(F.broadcast(kinds.withColumnRenamed("kind", "target_type")), F.lit(True))
+    even = F.length("p_brand") % 2 == 0
+    kind = edges.classify(F.col("source_type"), F.col("target_type"), even, ~even)
+    return pairs.select("p_brand", "source_type", "target_type", kind.alias("edge_type"))
+
+
+def _line_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order -> part edges, of which parts above a price are no nodes."""
+    return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("source_id"), F.concat(F.lit("p"), "l_partkey").alias("target_id"), F.lit("calls").alias("edge_type"), F.col("l_linenumber").cast("bigint").alias("call_site_line"))
+
+
+def _part_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").where("p_size <= 40").select(F.concat(F.lit("p"), "p_partkey").alias("id"))
+
+
+@query
+def dangling_edge_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges.purge_dangling(_line_edges(spark, sf_dir), _part_nodes(spark, sf_dir)).groupBy("target_id").agg(F.count(F.lit(1)).alias("n_edges"))
+
+
+@query
+def dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges.dangling(_line_edges(spark, sf_dir), _part_nodes(spark, sf_dir)).groupBy("target_id").agg(F.count(F.lit(1)).alias("n_edges"))
+
+
+@query
+def delete_outbound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("o"), "o_orderkey").alias("id"))
+    return edges.delete_outbound(_line_edges(spark, sf_dir), ids).groupBy("source_id").agg(F.count(F.lit(1)).alias("n_edges"))
+
+
+@query
+def foreign_key_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").select(F.concat(F.lit("o"), "o_orderkey").alias("id"))
+    return schemas.cascade(_line_edges(spark, sf_dir), _part_nodes(spark, sf_dir).unionByName(orders)).groupBy("source_id").agg(F.count(F.lit(1)).alias("n_edges"))
+
+
+@query
+def distinct_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges.distinct_callers(_line_edges(spark, sf_dir), table(spark, sf_dir, "part").where("p_size = 1").select(F.concat(F.lit("p"), "p_partkey").alias("id")))
+
+
+@query
+def callers_callees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph_edges = corpus.supply_graph(spark, sf_dir).where("edge_type <> 'inherits'").withColumn("edge_type", F.lit("calls"))
+    ids = graph_edges.select(F.col("source_id").alias("id")).unionByName(graph_edges.select(F.col("target_id").alias("id"))).distinct()
+    near = edges.neighbours(graph_edges, ids.withColumn("qualified_name", F.col("id")))
+    return near.select("id", F.array_join("callers", ",").alias("callers"), F.array_join("callees", ",").alias("callees"))
+
+
+@query
+def parent_child_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _turn_nodes(spark, sf_dir)
+    both = edges.kinship(nodes).join(edges.children(nodes), "id", "left")
+    return both.select("id", "parent", F.coalesce(F.array_join("children", ","), F.lit("")).alias("children"))
+
+
+def _turn_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as units with their turns as members."""
+    turns = table(spark, sf_dir, "conversations")
+    path = F.concat(F.lit("conv/"), F.col("conv_id").cast("string"))
+    top = turns.select(path.alias("file_path"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("qualified_name"), F.lit(-1).alias("ord")).distinct()
+    rows = turns.select(path.alias("file_path"), F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".t"), F.col("turn").cast("string")).alias("qualified_name"), F.col("turn").cast("int").alias("ord"))
+    return top.unionByName(rows).withColumn("id", F.concat("file_path", F.lit("::"), "qualified_name")).withColumn("signature", F.lit(None).cast("string"))
+
+
+# Graph traversal.
+
+
+def _reached(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    return graph.reach(ROOT, corpus.supply_graph(spark, sf_dir), **how).select("id", F.col("hop").cast("bigint").alias("hop"))
+
+
+@query
+def graph_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reached(spark, sf_dir, depth=3)
+
+
+@query
+def graph_outbound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reached(spark, sf_dir, depth=2, direction="outbound")
+
+
+@query
+def graph_inbound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reached(spark, sf_dir, depth=2, direction="inbound")
+
+
+@query
+def graph_edge_type_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reached(spark, sf_dir, depth=2, edge_types=["calls", "imports"])
+
+
+@query
+def graph_induced_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = _reached(spark, sf_dir, depth=2, edge_types=["calls", "imports"])
+    return graph.induced(corpus.supply_graph(spark, sf_dir), near).select("source_id", "target_id", "edge_type")
+
+
+# Full-text search.
+
+
+def _scored(spark: SparkSession, sf_dir: str, text: str, every: bool) -> DataFrame:
+    index, docs = _text_index(spark, sf_dir)
+    return bm25.score(index, query_text.phrases(text), docs, every).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query
+def bm25_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, "license", False)
+
+
+@query
+def bm25_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, PHRASES, True)
+
+
+@query
+def bm25_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, PHRASES, False)
+
+
+@query
+def bm25_and_then_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, docs = _text_index(spark, sf_dir)
+    best = bm25.top(index, query_text.phrases(PHRASES), docs, 10)
+    return best.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("leg").cast("bigint").alias("leg"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query
+def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, _ = _text_index(spark, sf_dir)
+    found = bm25.phrase_counts(index, query_text.phrases("public_license"))
+    return found.where(F.col("counts")[0] > 0).select(F.col("id").alias("doc_id"), F.col("counts")[0].cast("bigint").alias("n_matches"))
+
+
+@query
+def index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, docs = _text_index(spark, sf_dir)
+    size = index.groupBy("id").agg(F.sum(F.size("places")).alias("n_tokens"))
+    return size.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).crossJoin(index.agg(F.countDistinct("term").alias("n_terms")))
+
+
+@query
+def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full-text search over customers' and suppliers' names, all text columns indexed."""
+    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_brand", "p_type")
+    index = bm25.postings(nodes, ("p_name", "p_brand", "p_type"))
+    best = bm25.top(index, query_text.phrases("red Widget brand#17"), nodes.select("id"), 25)
+    return best.select("id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query
+def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifier hits, then full-text hits, each document where it comes first."""
+    docs = _docs(spark, sf_dir)
+    hits = corpus.document_lines(docs).where(word_count("text", "MIT") > 0).groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
+    ids = docs.select(corpus.document_path().alias("file_path"), F.col("doc_id").alias("id"))
+    first = hits.join(ids, "file_path").select("id", F.expr("row_number() over (order by n desc, id)").alias("rank"), F.col("n").cast("double").alias("score")).where("rank <= 20")
+    index, all_ids = _text_index(spark, sf_dir)
+    second = bm25.top(index, query_text.phrases(PHRASES), all_ids, 20).select("id", "rank", F.round("score", 6).alias("score"))
+    return search.first_wins([first, second], 30).select("id", F.col("rank").cast("bigint").alias("rank"), "score")
+
+
+# Directories.
+
+
+@query
+def dir_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.directories(corpus.page_paths(table(spark, sf_dir, "pages"))).select("dir_path", F.col("depth").cast("bigint").alias("depth"))
+
+
+def _page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return corpus.page_paths(pages).select(F.col("page_id").alias("id"), F.col("path").alias("file_path"), F.lit("file").alias("node_type"), F.col("path").alias("qualified_name"), F.lit(0).alias("ord"))
+
+
+@query
+def dir_child_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dirs = rollup.directories(corpus.page_paths(table(spark, sf_dir, "pages")))
+    return rollup.child_directories(dirs).select("dir_path", F.array_join("child_dirs", ",").alias("child_dirs"))
+
+
+@query
+def dir_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.counts(_page_nodes(spark, sf_dir))
+
+
+@query
+def dir_direct_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.direct_files(_page_nodes(spark, sf_dir)).groupBy("dir_path").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+@query
+def hierarchical_nodes_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three largest hosts, and the first ten pages below each."""
+    nodes = _page_nodes(spark, sf_dir)
+    best = rollup.counts(nodes).where((F.col("dir_path") != ".") & ~F.col("dir_path").contains("/")).orderBy(F.col("node_count").desc(), "dir_path").limit(3)
+    wanted = best.select("dir_path", F.expr("row_number() over (order by node_count desc, dir_path)").alias("place"))
+    return rollup.listing(nodes, wanted, 10).select("dir_path", F.col("id").alias("page_id"), F.col("place").cast("bigint").alias("place"), F.col("within").cast("bigint").alias("within"))
+
+
+@query
+def hierarchical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directories by what their pages are called, then described."""
+    nodes = _page_nodes(spark, sf_dir)
+    listed = nodes.select(parent_dir("file_path").alias("dir_path"), "file_path").groupBy("dir_path").agg(F.array_join(F.array_sort(F.collect_list("file_path")), " ").alias("summary"))
+    summaries = listed.select("dir_path", "summary", F.array(F.regexp_extract("dir_path", r"[^/]*$", 0)).alias("domain_tags"), F.col("dir_path").alias("responsibility"))
+    found = search.hierarchical("blog example fr", nodes.withColumn("name", F.col("qualified_name")).withColumns({c: F.lit(None).cast("string") for c in ("signature", "semantic_summary", "domain_tags")}).withColumns({"start_line": F.lit(1), "end_line": F.lit(1)}), summaries)
+    return found["directories"].select("dir_path", F.col("rank").cast("bigint").alias("rank"), "file_count", "node_count")
+
+
+@query
+def dir_rollup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents of the directories of documents: files with a label tell it, others list their units."""
+    docs = _docs(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels")
+    paths = docs.select("doc_id", corpus.document_path().alias("file_path"))
+    told = paths.join(labels, "doc_id").select("file_path", F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("semantic_summary"))
+    nodes = corpus.document_nodes(docs).join(told, "file_path", "left").withColumn("semantic_summary", F.when(F.col("node_type") == "file", F.col("semantic_summary")))
+    dirs = paths.select(parent_dir("file_path").alias("dir_path")).distinct()
+    none = spark.createDataFrame([], schemas.DIRECTORY)
+    return rollup.contents(nodes, none, dirs).select("dir_path", F.sha2("contents", 256).alias("contents_sha256"), F.col("child_count").cast("bigint").alias("child_count"))
+
+
+@query
+def needs_reenrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types as directories, users as their nodes: which were stamped before a user's last event."""
+    events = table(spark, sf_dir, "events")
+    nodes = events.select(F.concat("event_type", F.lit("/"), F.col("user_id").cast("string")).alias("file_path"), F.col("ts").alias("enriched_at"))
+    stamped = events.where("value < 5").groupBy(F.col("event_type").alias("dir_path")).agg(F.max("ts").alias("enriched_at"))
+    return rollup.stale_directories(events.select(F.col("event_type").alias("dir_path")).distinct(), nodes, stamped)
+
+
+# Writes and maintenance.
+
+
+@query
+def unenriched_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("enriched_at")).dropDuplicates(["doc_id"])
+    return enrichment.unenriched(_docs(spark, sf_dir).select("doc_id").join(labels, "doc_id", "left")).select("doc_id")
+
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Files now, and as they were: some with another text, some absent, some more."""
+    now = _docs(spark, sf_dir).select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("content_hash"))
+    old_text = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("old "), "text")).otherwise(F.col("text"))
+    before = _docs(spark, sf_dir).select(F.when(F.col("doc_id") % 11 == 0, F.col("doc_id") + 1_000_000_000).otherwise(F.col("doc_id")).alias("path"), F.sha2(old_text, 256).alias("content_hash"))
+    return now, before
+
+
+@query
+def hash_gate_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.gate(*_snapshots(spark, sf_dir)).select("path", "content_hash")
+
+
+@query
+def stale_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.gone(*_snapshots(spark, sf_dir)).select("path")
+
+
+@query
+def incremental_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now, before = _snapshots(spark, sf_dir)
+    return store.upsert(before.join(store.gone(now, before).select("path"), "path", "left_anti"), store.gate(now, before), ["path"])
+
+
+@query
+def last_wins_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts", "value")
+    return store.last_wins(events, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
+
+
+@query
+def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("enriched_at")).dropDuplicates(["doc_id"])
+    nodes = _docs(spark, sf_dir).select("doc_id").join(labels, "doc_id", "left")
+    return store.summary({"nodes": nodes, "edges": table(spark, sf_dir, "lineitem")})
+
+
+@query
+def meta_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts as key/value rows, newer over older ones."""
+    row = lambda key, value: value.select(F.lit(key).alias("key"), F.col("v").cast("string").alias("value"))
+    n = lambda name: table(spark, sf_dir, name).agg(F.count(F.lit(1)).alias("v"))
+    old = row("total_nodes", n("orders")).unionByName(row("total_edges", n("lineitem")))
+    new = row("total_nodes", n("documents")).unionByName(row("unenriched_nodes", n("labels")))
+    return store.upsert(old, new, ["key"])
+
+
+@query
+def key_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that break the edge table's checks: lines of orders by flag, some of them twice."""
+    kind = F.when(F.col("l_returnflag") == "A", "calls").when(F.col("l_returnflag") == "N", "imports").otherwise("returned")
+    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("source_id"), F.concat(F.lit("p"), "l_partkey").alias("target_id"), kind.alias("edge_type"), F.lit(0).alias("call_site_line"))
+    return schemas.violations(rows, "edges").groupBy("problem").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# Scalars, chunks and formats.
+
+
+@query
+def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", token_estimate("text").cast("bigint").alias("n_tokens"))
+
+
+@query
+def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("content_hash"))
+
+
+@query
+def folded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.sha2(fold("text"), 256).alias("folded_sha256"))
+
+
+@query
+def path_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = corpus.page_paths(table(spark, sf_dir, "pages"))
+    return paths.select("page_id", "path", parent_dir("path").alias("parent"), F.array_join(ancestors("path"), ",").alias("ancestors"), depth("path").cast("bigint").alias("depth"))
+
+
+@query
+def ignore_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = corpus.page_paths(table(spark, sf_dir, "pages"))
+    return paths.where(~ignored("path", ["*.html", "fr/", "!*1.html", "m.*"])).select("page_id", "path")
+
+
+@query
+def language_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suffixes = F.element_at(F.array(*[F.lit(s) for s in (".py", ".KT", ".tsx", ".java", ".rb", ".go", ".txt", "")]), (F.col("p_partkey") % 8 + 1).cast("int"))
+    paths = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("src/"), F.replace("p_name", F.lit(" "), F.lit("_")), suffixes).alias("path"))
+    return paths.select("p_partkey", files.language("path").alias("language"), files.unsupported("path").alias("unsupported"))
+
+
+@query
+def route_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.col("p_partkey") % 6
+    text = F.when(number == 0, F.replace("p_name", F.lit(" "), F.lit("_"))).when(number == 1, F.concat(F.lit("find "), F.replace("p_name", F.lit(" "), F.lit("_")))).when(number == 2, F.concat("p_type", F.lit(".usage callers"))).when(number == 3, F.lower("p_type")).when(number == 4, F.concat(F.lit("get"), F.initcap(F.lower("p_type")), F.lit(" in directory"))).otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.alias("query"), query_text.strategy_column(text).alias("strategy"))
+
+
+@query
+def tags_json_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers in JSON objects, and arrays of strings where they are some."""
+    made = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('["'), "event_type", F.lit('","x"]'))).when(F.col("event_id") % 3 == 1, F.lit("[broken")).otherwise(F.lit(None))
+    from lodegrid.functions.columns import json_strings
+
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"), F.array_join(json_strings(made), "|").alias("tags"))
+
+
+@query
+def chunk_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents over a budget of tokens, cut between lines: (path, chunk, start_line, end_line)."""
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for path, text in zip(batch["path"], batch["text"], strict=True):
+                lines = text.split("\n")
+                unit = chunking.make(path, "function", path, path, 1, len(lines), text, "python")
+                rows += [(path, i, c["start_line"], c["end_line"]) for i, c in enumerate(chunking.split(unit, lines, 512, [(n, n) for n in range(1, len(lines) + 1)]))]
+            yield pd.DataFrame(rows, columns=["path", "chunk", "start_line", "end_line"])
+
+    return corpus.document_files(_docs(spark, sf_dir)).select("path", "text").mapInPandas(run, "path string, chunk bigint, start_line bigint, end_line bigint")
+
+
+@query
+def merge_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of short turns of a conversation, merged: (conv_id, merged, start_turn, end_turn)."""
+
+    def run(key, rows):
+        import pandas as pd
+
+        units = [chunking.make(f"conv/{key[0]}", "method", f"t{t}", f"c{key[0]}.t{t}", t, t, x or "", "python") for t, x in sorted(zip(rows["turn"].tolist(), rows["text"].tolist(), strict=True))]
+        found = [u for u in chunking.merge(units, 300) if u["name"].startswith("merged_")]
+        return pd.DataFrame([(key[0], i, u["start_line"], u["end_line"]) for i, u in enumerate(found, 1)], columns=["conv_id", "merged", "start_turn", "end_turn"])
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return turns.groupBy("conv_id").applyInPandas(run, "conv_id bigint, merged bigint, start_turn bigint, end_turn bigint")
+
+
+@query
+def enrichment_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of a stub model, good ones fenced or bare, bad ones of several kinds."""
+    n = F.col("c_custkey") % 5
+    body = F.concat(F.lit('{"semantic_summary": "'), "c_name", F.lit('", "domain_tags": ["'), "c_mktsegment", F.lit('"], "inferred_responsibility": "buys"}'))
+    reply = F.when(n == 0, body).when(n == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(n == 2, F.lit('{"semantic_summary": "x"}')).when(n == 3, F.lit("no json")).otherwise(F.lit('{"semantic_summary": "x", "domain_tags": "t", "inferred_responsibility": "y"}'))
+    found = table(spark, sf_dir, "customer").select("c_custkey", enrichment.parse_reply(reply).alias("r"))
+    return found.select("c_custkey", F.col("r.semantic_summary").alias("summary"), F.array_join("r.domain_tags", ",").alias("tags"))
+
+
+@query
+def enrichment_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    nodes = corpus.document_nodes(docs).withColumns({c: F.lit(None).cast("string") for c in ("signature", "docstring", "raw_source")}).withColumn("enriched_at", F.lit(None).cast("timestamp"))
+    prompts = enrichment.node_prompts(nodes, _edges(spark, sf_dir))
+    return prompts.select("id", F.length("prompt").cast("bigint").alias("n_chars"))
+
+
+@query
+def format_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formats.json_rows(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+
+
+@query
+def format_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = corpus.document_nodes(_docs(spark, sf_dir))
+    return nodes.select("id", formats.text_line(False).alias("line"))
+
+
+@query
+def lines_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = corpus.document_lines(_docs(spark, sf_dir))
+    return lines.groupBy("file_path").agg(F.count(F.lit(1)).alias("n_lines"), F.max(F.length("text")).cast("bigint").alias("longest"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_found)
+
+
+def oracle_sql() -> dict[str, str]:
+    return catalog_sql.queries()
