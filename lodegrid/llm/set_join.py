@@ -3,13 +3,16 @@
 1. A document is its set of word shingles (64-bit hashes).  Equal sets are one
    set, named by a 64-bit digest: a group of copies is one row from here on.
 2. Candidates by pigeonhole.  Two sets of sizes in one range differ in at most d
-   tokens if they link.  The tokens are dealt by hash into more than d segments,
-   so the linked sets agree on at least one whole segment.  A set gives a
-   signature for each of its segments, in the two size ranges it belongs to.
-   A segment agrees only if all its tokens do: a passage that many documents
-   share makes no candidates.  Sets that share a signature hang on the least.
-3. Families are the components of those candidate links: every true link lies
-   within one.  Families are the groups of similar documents.
+   tokens if they link.  The tokens are dealt by hash into segments, and a set gives
+   a signature for each of its segments, in the two size ranges it belongs to.  With
+   more than d segments, linked sets agree on at least one; where fewer do, their
+   number is such that the odds of no agreement are below e^-30 for the most unlike
+   sets that link (like the odds of two equal hashes).  A segment agrees only if all
+   its tokens do, so a passage that many documents share makes few candidates.
+3. Sets of one signature are compared by bitmaps of their tokens: differing bits
+   count no more than differing tokens, so sets whose bitmaps differ too much can't
+   link.  Those left make families, the components of what may link; every true
+   link lies within one.  Families are the groups of similar documents.
 4. Large families are thinned first: each set is verified against the one that it
    shares most signatures with (one test each), and verified sets form a core.
 5. A family is worked through in blocks of ``BLOCK`` sets, the core against the
@@ -35,6 +38,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +54,10 @@ from lodegrid.llm.scratch import Scratch
 BLOCK = 256
 #: Members whose tokens form one union.
 GROUP = 32
+#: Linked sets agree on no segment with odds below e to the minus this, where that isn't certain.
+ODDS = 30
+#: Bits of a set's bitmap: at least as many as its tokens, up to this; sets of more than twice that have none.
+BITS = 1024
 #: Sets named in a broadcast (8 bytes each) when their tokens are fetched; more are joined by shuffle.
 BROADCAST_SETS = 1_000_000
 _U = np.uint64
@@ -85,19 +93,40 @@ class Rule:
         n, empty = [], []
         for i in range(levels + 2):
             low, high = int(edges[min(i, len(edges) - 1)]), int(edges[min(i + 2, len(edges) - 1)]) - 1
-            # |x| + |y| is at most 2 * high, and differ() grows with it but for rounding: add one.
-            d = self.differ(max(high, 1)) + 1
-            allowed = 0
-            for _ in range(4):
-                allowed = math.ceil((d + 1 + allowed) * math.exp(-low / (d + 1 + allowed)) * 1.25)
-            n.append(d + 1 + allowed)
-            empty.append(allowed)
+            found = _segments(low, self.differ(max(high, 1)) + 1)  # differ() grows with sizes but for rounding: add one
+            n.append(found[0])
+            empty.append(found[1])
         return np.array(n), np.array(empty)
 
+    def limit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The most tokens in which linked sets of these sizes differ; -1 where sizes alone forbid a link."""
+        total = a + b
+        out = total - 2 * (-(-self.percent * total // (100 + self.percent)))
+        return np.where(100 * np.minimum(a, b) >= self.percent * np.maximum(a, b), out, -1)
+
     def links(self, both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return 100 * both >= self.percent * (a + b - both)
 
 
+@cache
+def _segments(low: int, d: int) -> tuple[int, int]:
+    """Segments for sets of at least ``low`` tokens that differ in at most ``d``, and how many may be empty.
+
+    Of s segments, d tokens leave s e^(-d / s) untouched in the mean, and none with odds below
+    e to the minus that; a segment counts if one of the common tokens is in it.
+    """
+    allowed = 0
+    for _ in range(6):
+        mean = (d + 1 + allowed) * math.exp(-low / (d + 1 + allowed))
+        allowed = math.ceil(mean + 3 * math.sqrt(mean))
+    sure = d + 1 + allowed
+    common = max(1, low - d)
+    for n in range(sure // 8, sure, max(1, sure // 200)):
+        if n > 8 and n * math.exp(-d / n) * (1 - math.exp(-common / n)) >= ODDS:
+            return n, n  # empty segments never count: the untouched ones aren't all empty
+    return sure, allowed
+
+
 def token_sets(texts: W.Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingles of texts, and how many each has."""
     split = W.split(texts)
@@ -149,20 +178,104 @@ def segment_signatures(tokens: np.ndarray, counts: np.ndarray, rule: Rule) -> tu
     return np.concatenate(out), np.concatenate(owner)
 
 
+def bitmaps(tokens: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """A bitmap of each set: a bit for each token's hash."""
+    width = np.where(counts > 2 * BITS, 0, np.clip(1 << np.ceil(np.log2(np.maximum(counts, 64))).astype(np.int64), 64, BITS))
+    base = np.cumsum(width) - width
+    flat = np.zeros(int(width.sum()), bool)
+    kept = np.repeat(width > 0, counts)
+    own = np.repeat(width, counts)[kept]
+    flat[np.repeat(base, counts)[kept] + (W.mix64(tokens[kept] * _U(0x9E3779B97F4A7C15)).astype(np.int64) & (own - 1))] = True
+    packed = np.packbits(flat, bitorder="little").tobytes()
+    return [packed[a // 8 : (a + w) // 8] for a, w in zip(base.tolist(), width.tolist(), strict=True)]
+
+
 def _described(rule: Rule):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in W.slices(batch.column("text")):
                 tokens, counts = token_sets(texts, rule.k)
-                signatures, owner = segment_signatures(tokens, counts, rule)
-                order = np.argsort(owner, kind="stable")
-                per = lists(pa.array(signatures[order].view(np.int64)), np.bincount(owner, minlength=len(counts)))
                 ids = batch.column("doc_id").slice(texts.first, len(texts))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(counts.astype(np.int64)), pa.array(digests(tokens, counts)), per], names=["doc_id", "n", "set", "signatures"])
+                bits = pa.array(bitmaps(tokens, counts), pa.binary())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(counts.astype(np.int64)), pa.array(digests(tokens, counts)), bits], names=["doc_id", "n", "set", "bits"])
 
     return describe
 
 
+def _signed(rule: Rule):
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in W.slices(batch.column("text")):
+                tokens, counts = token_sets(texts, rule.k)
+                signatures, owner = segment_signatures(tokens, counts, rule)
+                yield pa.RecordBatch.from_arrays([pa.array(signatures.view(np.int64)), pa.array(digests(tokens, counts)[owner])], names=["signature", "set"])
+
+    return sign
+
+
+def _folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps (rows of 64-bit words) at a smaller width."""
+    return np.bitwise_or.reduce(bits.reshape(len(bits), -1, width), axis=1) if bits.shape[1] > width else bits
+
+
+def may_link(sizes: np.ndarray, bits: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
+    """A forest over sets of one signature that joins all pairs whose bitmaps allow a link: (set, the set it hangs on)."""
+    k = len(sizes)
+    width = min(len(b) for b in bits)
+    table = np.concatenate([_folded(b[None, :], width) for b in bits]) if width else np.zeros((k, 1), np.uint64)
+    left, out = np.arange(1, k), []
+    hang = [0]
+    while len(left) or hang:
+        if not hang:
+            hang, left = [int(left[0])], left[1:]
+        i = hang.pop()
+        if not len(left):
+            break
+        near = np.bitwise_count(table[left] ^ table[i]).sum(1, dtype=np.int64) <= rule.limit(sizes[left], sizes[i])
+        found = left[near]
+        out += [(int(j), i) for j in found]
+        hang += found.tolist()
+        left = left[~near]
+    return out
+
+
+def _hung(rule: Rule):
+    """Rows (signature, set, n, bits) in order of signature to candidates (set, other)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def work(rows: pa.Table) -> pa.RecordBatch:
+            signature, sets, sizes = (rows[c].to_numpy() for c in ("signature", "set", "n"))
+            column = rows["bits"].combine_chunks()
+            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+            words = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.empty(0, np.uint8)
+            words = words[offsets[0] : offsets[-1]].copy().view(np.uint64)
+            first = (offsets - offsets[0]) // 8
+            starts = np.flatnonzero(np.concatenate(([True], signature[1:] != signature[:-1])))
+            a, b = [], []
+            for low, high in zip(starts.tolist(), np.append(starts[1:], len(signature)).tolist(), strict=True):
+                own = low + np.unique(sets[low:high], return_index=True)[1] if high - low > 1 else ()
+                if len(own) > 1:
+                    for i, j in may_link(sizes[own], [words[first[x] : first[x + 1]] for x in own.tolist()], rule):
+                        a.append(sets[own[i]])
+                        b.append(sets[own[j]])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["set", "other"])
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([rest, rows]) if rest is not None else rows
+            signature = rows["signature"].to_numpy()
+            cut = int(np.searchsorted(signature, signature[-1]))  # the last signature may go on
+            if cut:
+                yield work(rows.slice(0, cut))
+            rest = rows.slice(cut)
+        if rest is not None and rest.num_rows:
+            yield work(rest)
+
+    return run
+
+
 def _tokens(rule: Rule):
     """Sets and their tokens, each once for a task; tasks of later steps pass over what is left of repeated rows."""
 
@@ -363,21 +476,27 @@ def verify(families: DataFrame, best: DataFrame, tokens: DataFrame, rule: Rule,
 
 def classes(docs: DataFrame, rule: Rule) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of documents (doc_id, text)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "join")
+    scratch = Scratch(docs.sparkSession, "join")
     docs = docs.select("doc_id", "text")
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, set bigint, signatures array<bigint>"
-    described = scratch.table(map_arrow(docs, _described(rule), schema), "sets")
-    rows = described.select(F.explode("signatures").alias("signature"), "set")
-    return joined(docs, described.select("doc_id", "n", "set"), rows, rule, scratch)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, set bigint, bits binary"
+    sets = scratch.table(map_arrow(docs, _described(rule), schema), "sets")
+    signatures = map_arrow(docs.select("text"), _signed(rule), "signature bigint, set bigint")
+    return joined(docs, sets, signatures, rule, scratch)
 
 
 def joined(docs: DataFrame, sets: DataFrame, signatures: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
-    """Classes from sets (doc_id, n, set) and candidate rows (signature, set)."""
-    # Sets of one signature hang on the least: a running first value, not a group in memory.
-    order = Window.partitionBy("signature").orderBy("set").rowsBetween(Window.unboundedPreceding, 0)
-    hung = signatures.withColumn("other", F.first("set").over(order)).where("set <> other")
+    """Classes from sets (doc_id, n, set, bits) and candidate rows (signature, set)."""
+    # Most signatures are of one set: those rows end here, and only the others get bitmaps.
+    order = Window.partitionBy("signature").orderBy("set")
+    near = signatures.withColumns({"before": F.lag("set").over(order), "after": F.lead("set").over(order)})
+    fresh = F.col("before").isNull() | (F.col("before") != F.col("set"))
+    shared = near.where(fresh & (F.col("before").isNotNull() | F.col("after").isNotNull())).select("signature", "set")
+    shared = scratch.table(shared, "shared")
+    each = sets.where("n > 0").groupBy("set").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    marked = shared.join(each, "set").select("signature", "set", "n", "bits").repartition("signature").sortWithinPartitions("signature", "set")
+    hung = map_arrow(marked, _hung(rule), "set bigint, other bigint")
     candidates = scratch.table(hung.groupBy("set", "other").agg(F.count(F.lit(1)).alias("n")), "candidates")
+    sets = sets.drop("bits")
     families = scratch.table(components(candidates.select(F.col("set").alias("a"), F.col("other").alias("b")), scratch).select(F.col("node").alias("set"), F.col("component").alias("family")), "families")
     best = candidates.groupBy("set").agg(F.max_by("other", F.struct("n", "other")).alias("other"))
     # One text for each set of a family gives its tokens again.
