@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +26,8 @@ def parse(path: str, language: str, source: str, limit: int = TOKEN_LIMIT) -> li
 
 
 _COLUMNS = [f.name for f in NODE.fields]
+_KINDS = {"string": pa.string(), "int": pa.int32(), "timestamp": pa.timestamp("us", "UTC"), "array<string>": pa.list_(pa.string()), "boolean": pa.bool_()}
+_ARROW = pa.schema([(f.name, _KINDS[f.dataType.simpleString()]) for f in NODE.fields] + [("parsed", pa.int32()), ("failed", pa.bool_())])
 _SCHEMA = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in NODE.fields) + ", parsed int, failed boolean"
 
 
@@ -35,19 +37,15 @@ def extract(files: DataFrame, limit: int = TOKEN_LIMIT) -> DataFrame:
     A file that can't be parsed gives one row, ``failed``, of which only file_path holds.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for path, language, text in zip(batch["path"], batch["language"], batch["text"], strict=True):
+            for path, language, text in zip(*(batch.column(c).to_pylist() for c in ("path", "language", "text")), strict=True):
                 found = parse(path, language, text, limit)
                 rows += [n | {"failed": False} for n in found] if found is not None else [{"file_path": path, "failed": True}]
-            out = pd.DataFrame(rows, columns=[*_COLUMNS, "parsed", "failed"])
-            for c in ("start_line", "end_line", "ord", "parsed"):
-                out[c] = out[c].astype("Int32")
-            out["enriched_at"] = pd.to_datetime(out["enriched_at"])
-            yield out.astype({c: object for c in _COLUMNS if out[c].dtype == object}).where(out.notna(), None)
+            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
-    return files.select("path", "language", "text").mapInPandas(run, _SCHEMA)
+    return files.select("path", "language", "text").mapInArrow(run, _SCHEMA)
 
 
 def nodes_of(extracted: DataFrame) -> DataFrame:
