@@ -478,10 +478,14 @@ def classes(docs: DataFrame, rule: Rule) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of documents (doc_id, text)."""
     scratch = Scratch(docs.sparkSession, "join")
     docs = docs.select("doc_id", "text")
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, set bigint, bits binary"
-    sets = scratch.table(map_arrow(docs, _described(rule), schema), "sets")
     signatures = map_arrow(docs.select("text"), _signed(rule), "signature bigint, set bigint")
-    return joined(docs, sets, signatures, rule, scratch)
+    return joined(docs, described(docs, rule, scratch), signatures, rule, scratch)
+
+
+def described(docs: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """(doc_id, n, set, bits): sizes, names and bitmaps of the documents' sets, stored."""
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, set bigint, bits binary"
+    return scratch.table(map_arrow(docs, _described(rule), schema), "sets")
 
 
 def joined(docs: DataFrame, sets: DataFrame, signatures: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:

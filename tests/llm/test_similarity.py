@@ -112,6 +112,14 @@ def test_fingerprints_estimate_likeness():
     assert (minhash.signatures(pa.array([None, "", "  "])) == 0xFFFFFFFF).all()
 
 
+def test_near_duplicates_by_bands(spark):
+    rng = random.Random(21)
+    docs = families(rng, 30, [2, 5, 12], [0, 0.01, 0.04])
+    found = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == jaccard_classes(docs, 5, 80)
+    assert minhash.near_duplicates(clash(spark.createDataFrame(odd_docs(), DOCS), "set")).count() == len(odd_docs())
+
+
 @pytest.mark.parametrize("rows", [4096, 3])
 def test_edits_by_hand(spark, monkeypatch, rows):
     monkeypatch.setattr(minhash, "RANGE_ROWS", rows)
