@@ -15,7 +15,8 @@ a passage that a third of them share costs each of them its own look-ups.
 Defined cases: null or empty text has no words and no match; an item without words
 has no window, one of fewer words than a window is one window; repeated items and
 windows count once for each item_id; a null item_id is the item ''; empty tables
-give empty results; all other columns of the documents stay.
+give empty results; all other columns of the documents stay, those of the same names as
+new ones being replaced.
 """
 
 from __future__ import annotations
@@ -232,6 +233,7 @@ def match(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int |
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontamination")
     zero = F.lit(0).cast("bigint")
+    docs = docs.drop("match_spans", "match_items", "n_words", "n_hit")
     out = docs.withColumns({
         "match_spans": F.expr("cast(array() as array<array<bigint>>)"), "match_items": F.expr("cast(array() as array<string>)"), "n_words": zero, "n_hit": zero,
     })

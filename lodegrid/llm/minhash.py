@@ -10,7 +10,7 @@ in Spark, verifies the exact Jaccard similarity and returns classes; see
 ``set_join`` for how groups of any size are worked through.
 
 Neighbours: a document is compared with an edited text made of it and its
-successor by id.  Ids are cut into ranges of some ``RANGE_ROWS`` rows; each range is
+successor by id.  Ids are cut into ranges (``RANGE_ROWS``, ``RANGES``); each range is
 sorted by itself and gets the first document of the next one as a guest.
 
 Defined cases: null text is empty; a text without words has no shingle and the
@@ -37,7 +37,9 @@ from lodegrid.llm.scratch import Scratch
 
 SHINGLE = 5
 PERMUTATIONS = 128
-RANGE_ROWS = 4_096
+RANGE_ROWS = 1_024
+#: Ranges at most: beyond that they grow, as they are read as streams. The driver gets the first id of each.
+RANGES = 50_000
 #: Bands of a signature: at 4 minima each, sets of similarity 0.8 share none with odds of 5 in 10^8.
 BANDS = 32
 _RANDOM = np.random.default_rng(128)
@@ -177,8 +179,7 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 def against_edits(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """Fingerprints of documents, of their edited texts, and their likeness to those and to the next document's."""
     ids = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)).cast("bigint")).alias("doc_id"))
-    ranged = ids.repartitionByRange(max(1, -(-ids.count() // RANGE_ROWS)), "doc_id").groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("first"))
-    # One row for each range: some 16 bytes for every RANGE_ROWS documents.
+    ranged = ids.repartitionByRange(min(RANGES, max(1, -(-ids.count() // RANGE_ROWS))), "doc_id").groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("first"))
     firsts = sorted(r["first"] for r in ranged.select("first").collect())
     guests = [(x, i - 1 if i else len(firsts) - 1) for i, x in enumerate(firsts)]
     placed = map_arrow(docs.select("doc_id", "text"), _placed(firsts[1:], guests), "range bigint, guest tinyint, doc_id bigint, text string")

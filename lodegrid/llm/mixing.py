@@ -14,7 +14,8 @@ hot spot, and a task that is run again decides as before.
 
 Defined cases: null text has size 0 and is never taken; a null source is a source
 of its own, last in order; documents of equal key and id (repeated rows) are
-taken together; an empty table gives an empty result; other columns stay.
+taken together; an empty table gives an empty result; other columns stay, those of the
+same names as new ones being replaced.
 """
 
 from __future__ import annotations
@@ -128,6 +129,7 @@ def mix(docs: DataFrame, weight: Column | None = None, weights: tuple[int, ...]
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
+    docs = docs.drop("source_size", "target", "epochs", "last_key", "last_id", "inclusive", "mix_source")
     keyed = with_keys(docs, F.lit(1.0) if weight is None else weight, seed)
     slim = scratch.table(keyed.select("doc_id", "source", "mix_size", "mix_key"), "keys")
     per_source = slim.groupBy("source").agg(F.sum("mix_size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))

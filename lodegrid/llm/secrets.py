@@ -204,6 +204,7 @@ def _bin(p: Column) -> Column:
 
 def find(docs: DataFrame) -> DataFrame:
     """Documents without their texts, with ``secrets``: spans (start, kind, end) in order, kinds numbered as KINDS."""
+    docs = docs.drop("secret_base", "secret_candidates", "secrets")
     schema = T.StructType([f for f in docs.schema.fields if f.name != "text"] + [T.StructField("secret_base", T.ArrayType(_SPAN)), T.StructField("secret_candidates", T.ArrayType(_FOUND))])
     scanned = Scratch(docs.sparkSession, "secrets").table(map_arrow(docs, _scanned, schema), "spans")
     each = scanned.select(F.inline("secret_candidates")).groupBy("stratum", _bin(F.col("p")).alias("bin")).count()

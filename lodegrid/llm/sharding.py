@@ -10,7 +10,8 @@ one task: rows are numbered within sub-shards, whose counts are added up.
 
 Defined cases: a null key counts as hash 42 (that of Spark's xxhash64 of null);
 null text has 0 bytes and checksum 0; equal keys (repeated rows) share a shard and
-get slots of their own; an empty table gives an empty result; other columns stay.
+get slots of their own; an empty table gives an empty result; other columns stay, those of
+the same names as new ones being replaced.
 """
 
 from __future__ import annotations
@@ -50,6 +51,7 @@ def shard(docs: DataFrame, shards: int = 24, key: str = "doc_id", order: list[st
 
     ``order``: columns by which a sub-shard's rows are numbered (the key first).
     """
+    docs = docs.drop("shard", "sub_shard", "slot", "slot_base", "grown_shard")
     part = jump(key, shards)
     sub_of = lambda n: F.pmod(F.xxhash64(F.col(key), F.lit("slot")), F.lit(n))
     ids = docs.select(F.col(key))

@@ -60,7 +60,7 @@ def test_better_documents_are_drawn_first(spark):
 
 
 def test_mix_of_odd_rows(spark):
-    docs = clash(spark.createDataFrame(odd_docs(), DOCS), "bucket", "rest", "w", "cap")
+    docs = clash(spark.createDataFrame(odd_docs(), DOCS), "bucket", "rest", "w", "cap", "target", "size", "taken", "epochs")
     found = mixing.mix(docs).collect()
     assert len(found) == len(odd_docs()) and {r.bucket for r in found} == {"own"}
     twice = [r.taken for r in found if r.doc_id == 11]
@@ -94,7 +94,7 @@ def test_jump_is_the_published_loop(spark):
 
 def test_shards_and_slots(spark):
     rows = odd_docs() + [(i, "x" * (i % 9), "en", "a", 0) for i in range(100, 5000)]
-    docs = clash(spark.createDataFrame(rows, DOCS), "sub", "count")
+    docs = clash(spark.createDataFrame(rows, DOCS), "sub", "count", "slot", "slot_base", "sub_shard", "shard")
     found = sharding.shard(docs, 7, order=["text"]).collect()
     assert len(found) == len(rows)
     slots = collections.defaultdict(list)

@@ -46,7 +46,7 @@ def test_languages_and_mixtures(spark, spoken):
 
 
 def test_language_of_odd_rows(spark, spoken):
-    docs = clash(spark.createDataFrame(odd_docs(), DOCS), "score", "bucket")
+    docs = clash(spark.createDataFrame(odd_docs(), DOCS), "score", "bucket", "lang_pred")
     for model in (None, language.fit(spark.createDataFrame(spoken[0], "doc_id bigint, text string, lang string"))):
         rows = language.predict(docs, model).collect()
         assert len(rows) == len(odd_docs()) and all(0 <= r.score <= 1 for r in rows)
@@ -67,7 +67,7 @@ def corpus(rng, n):
 
 def test_base_scores_by_hand(spark):
     rows = corpus(random.Random(1), 400) + [(1000, None), (1001, ""), (1002, "Never SEEN at all"), (1002, "Never SEEN at all"), (None, "no id")]
-    docs = clash(spark.createDataFrame(rows, "doc_id bigint, text string"), "key", "n", "lm_row2")
+    docs = clash(spark.createDataFrame(rows, "doc_id bigint, text string"), "key", "n", "lm_row", "n_tokens", "rare", "score")
     train = [(i, t) for i, t in rows if crc(i, 7) != 2]
     counts = collections.Counter(w for _, t in train for w in [*words(t), None])
     total = sum(counts.values())
@@ -151,7 +151,7 @@ def test_matches_by_hand(spark, block):
     rng = random.Random(5)
     items = [(i, prose(rng, n, 6)) for i, n in enumerate([3, 9, 10, 12, 30, 1])] + [(7, ""), (8, None), (9, "Ünï x"), (None, "noid"), (3, prose(rng, 11, 6))]
     docs = [(i, prose(rng, 80, 6)) for i in range(30)] + [(r[0], r[1]) for r in odd_docs()] + [(200, "a ünï, X! b"), (201, items[4][1].upper() + ". " + items[4][1]), (202, "noid")]
-    frame = clash(spark.createDataFrame(docs, "doc_id bigint, text string"), "term", "item")
+    frame = clash(spark.createDataFrame(docs, "doc_id bigint, text string"), "term", "item", "n_hit", "match_spans")
     found = decontamination.match(frame, spark.createDataFrame(items, "item_id bigint, text string"), 10, None, block).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r.match_items) for r in found), key=str) == matched(docs, items, 10)
     assert all(sum(b - a for a, b in r.match_spans) == r.n_hit for r in found)
@@ -253,7 +253,7 @@ def test_found_secrets(spark):
     rng = random.Random(12)
     strings = ["".join(rng.choice(secrets.ENCODINGS["alnum"]) for _ in range(40)) for _ in range(60)]
     rows = [(i, f"héllo {s} world") for i, s in enumerate(strings)] + [(100 + i, "plainwordswithoutanydigitsatall/and/a/path/of/words " + "x1" * 20) for i in range(60)] + [(r[0], r[1]) for r in odd_docs()]
-    frame = clash(spark.createDataFrame(rows, "doc_id bigint, text string"), "stratum", "p")
+    frame = clash(spark.createDataFrame(rows, "doc_id bigint, text string"), "stratum", "p", "secrets")
     got = collections.defaultdict(list)
     for r in secrets.find(frame).select("doc_id", secrets.joined(F.col("secrets")).alias("s")).collect():
         got[r.doc_id].append(r.s)
