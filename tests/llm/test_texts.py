@@ -289,7 +289,7 @@ def test_registered_queries_and_the_pipeline(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["op1_mixing", "op7_decontamination", "op10_chat"])
+@pytest.mark.parametrize("name", ["op1_mixing", "op6_set_join", "op7_decontamination", "op10_chat"])
 def test_sql_agrees(spark, name):
     import duckdb
 
