@@ -179,6 +179,20 @@ SELECT 'edge_type' AS problem, n AS n_rows FROM b WHERE n > 0 UNION ALL SELECT '
 SELECT p_partkey, query, CASE WHEN query NOT LIKE '% %' AND (regexp_matches(query, '^[A-Za-z_][A-Za-z0-9_]*([.][A-Za-z_][A-Za-z0-9_]*)*$') OR regexp_matches(query, '[a-z][A-Z]') OR regexp_matches(query, '[a-z]_[a-z]')) THEN 'lexical'
   WHEN len(string_split(query, ' ')) > 1 AND len(list_filter(string_split(query, ' '), lambda w: regexp_matches(w, '[a-z][A-Z]') OR regexp_matches(w, '[a-z]_[a-z]') OR (w LIKE '%.%' AND regexp_matches(w, '^[A-Za-z_][A-Za-z0-9_]*([.][A-Za-z_][A-Za-z0-9_]*)*$')))) > 0 THEN 'hybrid' ELSE 'semantic' END AS strategy FROM q""",
         "tags_json_decode": "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, CASE WHEN event_id % 3 = 0 THEN event_type || '|x' ELSE '' END AS tags FROM events",
+        "chunk_split": f"""WITH RECURSIVE {_FILES}, big AS (SELECT file_path, ls FROM files WHERE length(text) // 4 > 512
+), st AS (
+  SELECT file_path, 1 AS i, 0 AS chunk, length(ls[1]) AS n FROM big
+  UNION ALL SELECT file_path, i + 1, CASE WHEN greatest(1, (n + 1 + length(ls[i + 1])) // 4) <= 512 THEN chunk ELSE chunk + 1 END,
+    CASE WHEN greatest(1, (n + 1 + length(ls[i + 1])) // 4) <= 512 THEN n + 1 + length(ls[i + 1]) ELSE length(ls[i + 1]) END FROM st JOIN big USING (file_path) WHERE i < len(ls)
+) SELECT file_path AS path, chunk::BIGINT AS chunk, min(i)::BIGINT AS start_line, max(i)::BIGINT AS end_line FROM st GROUP BY 1, 2""",
+        "merge_siblings": """WITH RECURSIVE t AS (
+  SELECT conv_id, turn, greatest(1, length(coalesce(text, '')) // 4) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations
+), st AS (
+  SELECT conv_id, turn, i, 1 AS run, CASE WHEN size < 100 THEN size END AS used FROM t WHERE i = 1
+  UNION ALL SELECT t.conv_id, t.turn, t.i, CASE WHEN size < 100 AND used + size <= 300 THEN run ELSE run + 1 END,
+    CASE WHEN size >= 100 THEN NULL WHEN used + size <= 300 THEN used + size ELSE size END FROM st JOIN t ON t.conv_id = st.conv_id AND t.i = st.i + 1
+), runs AS (SELECT conv_id, run, min(turn) AS a, max(turn) AS b FROM st WHERE used IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY run) AS merged, a AS start_turn, b AS end_turn FROM runs""",
         "enrichment_parse": "SELECT c_custkey, CASE WHEN c_custkey % 5 < 2 THEN c_name END AS summary, CASE WHEN c_custkey % 5 < 2 THEN c_mktsegment END AS tags FROM customer",
         "format_json": """SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS value FROM nation""",
         "format_text": f"WITH {_NODES} SELECT id, rpad(node_type, 10, ' ') || ' ' || qualified_name || '  (' || file_path || ':' || s || '-' || e || ')' AS line FROM nodes",
