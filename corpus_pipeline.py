@@ -57,8 +57,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out documents so that sources meet their targets; clean prose is drawn first."""
-    letters = F.expr(r"regexp_count(text, '[\\p{L}\\x20\\x0A.,]') / greatest(length(text), 1)")
-    mix = mixing.mix(docs, F.when(letters >= 0.9, 2.0).otherwise(0.5))
+    odd = F.expr(r"regexp_count(text, '[^\\p{L}\\x20\\x0A.,]') / greatest(length(text), 1)")
+    mix = mixing.mix(docs, F.when(odd <= 0.1, 2.0).otherwise(0.5))
     return mixing.repeat(mix, COLUMNS)
 
 
