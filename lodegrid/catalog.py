@@ -261,7 +261,8 @@ def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     hits = corpus.document_lines(docs).where(word_count("text", "MIT") > 0).groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
     ids = docs.select(corpus.document_path().alias("file_path"), F.col("doc_id").alias("id"))
-    first = hits.join(ids, "file_path").select("id", F.expr("row_number() over (order by n desc, id)").alias("rank"), F.col("n").cast("double").alias("score")).where("rank <= 20")
+    best = hits.join(ids, "file_path").orderBy(F.col("n").desc(), "id").limit(20)
+    first = best.select("id", F.expr("row_number() over (order by n desc, id)").alias("rank"), F.col("n").cast("double").alias("score"))
     index, all_ids = _text_index(spark, sf_dir)
     second = bm25.top(index, query_text.phrases(PHRASES), all_ids, 20).select("id", "rank", F.round("score", 6).alias("score"))
     return search.first_wins([first, second], 30).select("id", F.col("rank").cast("bigint").alias("rank"), "score")

@@ -59,8 +59,8 @@ def contents(nodes: DataFrame, summaries: DataFrame, dirs: DataFrame) -> DataFra
 
 
 def listing(nodes: DataFrame, wanted: DataFrame, each: int) -> DataFrame:
-    """The first ``each`` nodes below each of the directories (dir_path, place), by type and name; each node once."""
-    spread = nodes.select("*", F.explode(ancestors("file_path")).alias("dir_path")).join(wanted, "dir_path")
+    """The first ``each`` nodes below each of the directories (dir_path, place: a handful), by type and name; each node once."""
+    spread = nodes.select("*", F.explode(ancestors("file_path")).alias("dir_path")).join(F.broadcast(wanted), "dir_path")
     first = Window.partitionBy("dir_path").orderBy("node_type", "qualified_name", "id")
     ranked = spread.withColumn("within", F.row_number().over(first)).where(F.col("within") <= each)
     once = Window.partitionBy("id").orderBy("place", "within")
