@@ -37,7 +37,7 @@ from lodegrid.llm.scratch import Scratch
 
 SHINGLE = 5
 PERMUTATIONS = 128
-RANGE_ROWS = 1_024
+RANGE_ROWS = 4_096
 #: Ranges at most: beyond that they grow, as they are read as streams. The driver gets the first id of each.
 RANGES = 50_000
 #: Bands of a signature: at 4 minima each, sets of similarity 0.8 share none with odds of 5 in 10^8.
