@@ -11,7 +11,6 @@ import contextlib
 import fcntl
 import json
 import os
-import shutil
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
@@ -67,56 +66,85 @@ def summary(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 class Index:
-    """An index in a folder that the driver can write."""
+    """An index in a folder: a local path, or the URI of any store that Spark's Hadoop can write."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, os.path.abspath(root)
-
-    @property
-    def _pointer(self) -> str:
-        return os.path.join(self.root, "CURRENT")
+        self.spark, self.local = spark, "://" not in root
+        self.root = os.path.abspath(root) if self.local else root.rstrip("/")
+        self.uri = f"file://{self.root}" if self.local else self.root
+
+    def _hadoop(self, name: str = ""):
+        """The store, and a path in it."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.uri}/{name}" if name else self.uri)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _put(self, name: str, text: str) -> None:
+        """A small file, whole or not at all: renamed into place locally, one object elsewhere."""
+        if self.local:
+            at = os.path.join(self.root, name)
+            with open(f"{at}.new", "w", encoding="utf-8") as f:
+                f.write(text)
+            os.replace(f"{at}.new", at)
+            return
+        store, path = self._hadoop(name)
+        out = store.create(path, True)
+        out.write(bytearray(text.encode()))
+        out.close()
 
     def exists(self) -> bool:
-        return os.path.exists(self._pointer)
+        store, path = self._hadoop("CURRENT")
+        return store.exists(path)
+
+    def _current(self) -> dict:
+        return json.loads(self.spark.read.text(f"{self.uri}/CURRENT", wholetext=True).first()[0])
 
     @contextlib.contextmanager
     def lock(self) -> Iterator[None]:
-        """One build at a time; BlockingIOError if another holds it."""
-        os.makedirs(self.root, exist_ok=True)
-        with open(os.path.join(self.root, "lock"), "w") as f:
-            fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
+        """One build at a time; BlockingIOError if another holds it.
+
+        Locally the lock goes with its process.  In other stores it is an object that a build
+        that died leaves behind, for ``reset`` to remove.
+        """
+        if self.local:
+            os.makedirs(self.root, exist_ok=True)
+            with open(os.path.join(self.root, "lock"), "w") as f:
+                fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
+                yield
+            return
+        store, path = self._hadoop("lock")
+        if not store.createNewFile(path):
+            raise BlockingIOError(self.root)
+        try:
             yield
+        finally:
+            store.delete(path, False)
 
     def read(self) -> dict[str, DataFrame]:
         """The tables; empty ones where there is no snapshot yet."""
         if not self.exists():
             return {n: self.spark.createDataFrame([], s) for n, s in schemas.TABLES.items()}
-        with open(self._pointer, encoding="utf-8") as f:
-            at = os.path.join(self.root, json.load(f)["snapshot"])
-        return {n: self.spark.read.schema(s).parquet(f"file://{at}/{n}") for n, s in schemas.TABLES.items()}
+        at = f"{self.uri}/{self._current()['snapshot']}"
+        return {n: self.spark.read.schema(s).parquet(f"{at}/{n}") for n, s in schemas.TABLES.items()}
 
     def write(self, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
         """A new snapshot with these tables, the others copied from the last one."""
         whole = self.read() | tables
         name = f"snapshot-{datetime.now(UTC):%Y%m%dT%H%M%S%f}"
         for n, s in schemas.TABLES.items():
-            whole[n].select(*[F.col(f.name).cast(f.dataType) for f in s.fields]).write.parquet(f"file://{self.root}/{name}/{n}")
-        before = [x for x in os.listdir(self.root) if x.startswith("snapshot-") and x != name]
-        with open(self._pointer + ".new", "w", encoding="utf-8") as f:
-            json.dump({"snapshot": name, "schema_version": schemas.SCHEMA_VERSION}, f)
-        os.replace(self._pointer + ".new", self._pointer)
-        for old in sorted(before)[:-1]:  # the last one stays for readers that have it open
-            shutil.rmtree(os.path.join(self.root, old))
+            whole[n].select(*[F.col(f.name).cast(f.dataType) for f in s.fields]).write.parquet(f"{self.uri}/{name}/{n}")
+        store, path = self._hadoop()
+        before = sorted(x for x in (f.getPath().getName() for f in store.listStatus(path)) if x.startswith("snapshot-") and x != name)
+        self._put("CURRENT", json.dumps({"snapshot": name, "schema_version": schemas.SCHEMA_VERSION}))
+        for old in before[:-1]:  # the last one stays for readers that have it open
+            store.delete(self._hadoop(old)[1], True)
         return self.read()
 
     def schema_version(self) -> int:
-        if not self.exists():
-            return 0
-        with open(self._pointer, encoding="utf-8") as f:
-            return json.load(f)["schema_version"]
+        return self._current()["schema_version"] if self.exists() else 0
 
     def reset(self) -> None:
-        shutil.rmtree(self.root, ignore_errors=True)
+        store, path = self._hadoop()
+        store.delete(path, True)
 
     def meta(self) -> dict[str, str]:
         return {r["key"]: r["value"] for r in self.read()["meta"].collect()}

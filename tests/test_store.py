@@ -55,6 +55,17 @@ def test_incremental_equals_full(spark, tmp_path):
     assert a.meta()["total_nodes"] == str(again["nodes"].count())
 
 
+def test_index_in_a_store_by_uri(spark, tmp_path):
+    write(tmp_path / "src", m_py="import n\n\ndef foo():\n    return 1\n")
+    index = store.Index(spark, f"file://{tmp_path}/by-uri")
+    tables, _ = index.build(str(tmp_path / "src"))
+    assert tables["nodes"].count() == 2 and index.schema_version() == schemas.SCHEMA_VERSION
+    with index.lock(), pytest.raises(BlockingIOError), index.lock():
+        pass
+    index.reset()
+    assert not index.exists() and index.read()["nodes"].count() == 0
+
+
 def test_enrichment_is_kept_for_equal_content(spark):
     stamp = spark.sql("select timestamp'2024-01-01' t").first().t
     old = frame(spark, [node("a", "function", "f", 1, 1, 0, enriched_at=stamp, semantic_summary="F."), node("a", "function", "g", 2, 2, 1, enriched_at=stamp, raw_source="one")], schemas.NODE)
