@@ -39,6 +39,10 @@ def _text_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return bm25.postings(docs, ("text", "source"), "doc_id"), docs.select("doc_id")
 
 
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.text_lengths(_docs(spark, sf_dir), ("text", "source"), "doc_id")
+
+
 # Identifier search.
 
 
@@ -207,7 +211,7 @@ def graph_induced_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf_dir: str, text: str, every: bool) -> DataFrame:
     index, docs = _text_index(spark, sf_dir)
-    return bm25.score(index, query_text.phrases(text), docs, every).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    return bm25.score(index, query_text.phrases(text), docs, every, _sizes(spark, sf_dir)).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query
@@ -228,7 +232,7 @@ def bm25_or(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def bm25_and_then_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, docs = _text_index(spark, sf_dir)
-    best = bm25.top(index, query_text.phrases(PHRASES), docs, 10)
+    best = bm25.top(index, query_text.phrases(PHRASES), docs, 10, _sizes(spark, sf_dir))
     return best.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("leg").cast("bigint").alias("leg"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -264,7 +268,7 @@ def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = hits.join(ids, "file_path").orderBy(F.col("n").desc(), "id").limit(20)
     first = best.select("id", F.expr("row_number() over (order by n desc, id)").alias("rank"), F.col("n").cast("double").alias("score"))
     index, all_ids = _text_index(spark, sf_dir)
-    second = bm25.top(index, query_text.phrases(PHRASES), all_ids, 20).select("id", "rank", F.round("score", 6).alias("score"))
+    second = bm25.top(index, query_text.phrases(PHRASES), all_ids, 20, _sizes(spark, sf_dir)).select("id", "rank", F.round("score", 6).alias("score"))
     return search.first_wins([first, second], 30).select("id", F.col("rank").cast("bigint").alias("rank"), "score")
 
 

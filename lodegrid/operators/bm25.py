@@ -17,21 +17,29 @@ DIRECTORY_TEXTS = ("summary", "domain_tags", "responsibility")
 
 def postings(rows: DataFrame, texts: tuple[str, ...] = NODE_TEXTS, key: str = "id") -> DataFrame:
     """The index: (term, id, places). A place is the token's number, columns being far apart."""
-    kinds = dict(rows.dtypes)
-    text_of = lambda c: F.array_join(c, " ") if kinds[c].startswith("array") else F.col(c).cast("string")
 
     def placed(c: str, number: int) -> Column:
-        return F.transform(index_tokens(text_of(c)), lambda t, i: F.struct(t.alias("term"), (F.lit(number << 40).cast("bigint") + i).alias("place")))
+        return F.transform(_tokens(rows, c), lambda t, i: F.struct(t.alias("term"), (F.lit(number << 40).cast("bigint") + i).alias("place")))
 
     parts = F.concat(*[placed(c, n) for n, c in enumerate(texts)])
     return rows.select(F.col(key).alias("id"), F.inline(parts)).groupBy("term", "id").agg(F.sort_array(F.collect_list("place")).alias("places"))
 
 
+def _tokens(rows: DataFrame, c: str) -> Column:
+    return index_tokens(F.array_join(c, " ") if dict(rows.dtypes)[c].startswith("array") else F.col(c).cast("string"))
+
+
 def lengths(index: DataFrame) -> DataFrame:
-    """(id, length): tokens of each document; one without any is absent."""
+    """(id, length): tokens of each document of an index; one without any is absent."""
     return index.groupBy("id").agg(F.sum(F.size("places")).alias("length"))
 
 
+def text_lengths(rows: DataFrame, texts: tuple[str, ...] = NODE_TEXTS, key: str = "id") -> DataFrame:
+    """``lengths`` from the rows themselves, without a shuffle."""
+    size = sum((F.size(_tokens(rows, c)) for c in texts[1:]), F.size(_tokens(rows, texts[0])))
+    return rows.select(F.col(key).alias("id"), size.cast("bigint").alias("length")).where("length > 0")
+
+
 def phrase_counts(index: DataFrame, phrases: list[tuple[str, ...]]) -> DataFrame:
     """(id, counts): for documents with any term, how often each phrase stands in them."""
     terms = sorted({t for p in phrases for t in p})
@@ -47,15 +55,15 @@ def phrase_counts(index: DataFrame, phrases: list[tuple[str, ...]]) -> DataFrame
     return found.select("id", F.array(*[count(p) for p in phrases]).alias("counts"))
 
 
-def score(index: DataFrame, phrases: list[tuple[str, ...]], total: int | DataFrame, every: bool = False) -> DataFrame:
+def score(index: DataFrame, phrases: list[tuple[str, ...]], total: int | DataFrame, every: bool = False, sizes: DataFrame | None = None) -> DataFrame:
     """(id, score) of documents that have every phrase, or any.
 
-    ``total``: number of documents, those without tokens included.  Collection statistics
-    are one row, joined by broadcast.
+    ``total``: number of documents, those without tokens included.  ``sizes``: their lengths,
+    if they are at hand.  Collection statistics are one row, joined by broadcast.
     """
     if not phrases:
         return index.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
-    size = lengths(index)
+    size = lengths(index) if sizes is None else sizes
     counts = phrase_counts(index, phrases)
     rows = F.lit(total).cast("double") if isinstance(total, int) else F.col("total").cast("double")
     stats = counts.agg(F.array(*[F.count_if(F.col("counts")[i] > 0) for i in range(len(phrases))]).alias("with"))
@@ -75,10 +83,10 @@ def score(index: DataFrame, phrases: list[tuple[str, ...]], total: int | DataFra
     return joined.select("id", sum((part(i) for i in range(1, len(phrases))), part(0)).alias("score"))
 
 
-def top(index: DataFrame, phrases: list[tuple[str, ...]], total: int | DataFrame, k: int) -> DataFrame:
+def top(index: DataFrame, phrases: list[tuple[str, ...]], total: int | DataFrame, k: int, sizes: DataFrame | None = None) -> DataFrame:
     """(id, score, leg, rank): documents with all phrases first, then those with any, the best ``k``."""
-    legs = [score(index, phrases, total, every=True).withColumn("leg", F.lit(0))] if len(phrases) > 1 else []
-    legs.append(score(index, phrases, total).withColumn("leg", F.lit(1)))
+    legs = [score(index, phrases, total, True, sizes).withColumn("leg", F.lit(0))] if len(phrases) > 1 else []
+    legs.append(score(index, phrases, total, False, sizes).withColumn("leg", F.lit(1)))
     rows = reduce(DataFrame.unionByName, legs).groupBy("id").agg(F.min("leg").alias("leg"), F.max("score").alias("score"))
     best = rows.orderBy("leg", F.col("score").desc(), "id").limit(k)
     return best.select("id", "score", "leg").withColumn("rank", F.expr("cast(row_number() over (order by leg, score desc, id) as int)"))

@@ -51,7 +51,7 @@ def lexical(identifier: str, nodes: DataFrame, lines: DataFrame, k: int = 10, fi
 def semantic(text: str, nodes: DataFrame, k: int = 10, index: DataFrame | None = None) -> DataFrame:
     """(id, rank, score): full-text search, nodes with all terms before those with any."""
     index = bm25.postings(nodes) if index is None else index
-    return bm25.top(index, query_text.phrases(text), nodes.select("id"), k).select("id", "rank", "score")
+    return bm25.top(index, query_text.phrases(text), nodes.select("id"), k, bm25.text_lengths(nodes)).select("id", "rank", "score")
 
 
 def first_wins(legs: list[DataFrame], k: int) -> DataFrame:
