@@ -16,12 +16,15 @@ p(w | h) = (c(h w) + PRIOR p(w | h')) / (c(h) + PRIOR), h' being h without its f
 word.  With the failure weights every state sums to 1 over all tokens, unknown ones
 (together one token more) included.
 
-What is counted grows with the corpus: exact counts of all tokens, of the pairs of
-common ones and of the triples of common pairs.  What is kept is bounded by shares
-of the tokens, not by a cap: a token (or n-gram) as frequent as a share s of N tokens
-has at most 1/s - 1 others beside it, so the automaton has at most 1/KEEP arcs of each
-order at any size.  Rarer words have no arcs, only a unigram probability; their counts
-are joined to the texts that hold them in Spark, so no vocabulary is ever broadcast.
+What is counted and kept grows with the corpus: all tokens, and each pair and triple
+that occurs ``LEAST`` times, whatever its share.  A triple that often has pairs that
+often, and those have words that often, so what can't be kept is left out before it is
+shuffled, by bitmaps of bounded size (``SIEVE_BITS``) that let false keys pass but lose none.
+
+Logarithms add up, so a text's score is a sum of one weight for each n-gram in it
+(``gain``).  Weights are a table in Spark.  Its frequent part, n-grams that are a share
+``KEEP`` of the tokens or more (so at most 1/KEEP of each order, at any size), is
+broadcast; the texts' rarer n-grams are joined to the table.
 
 Defined cases: null text is empty, and an empty text is its end mark; with no training
 text all tokens are unknown (N = 0, V = 0, p = 1); repeated rows count and are scored
@@ -34,10 +37,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,10 +49,14 @@ from lodegrid.llm import words as W
 from lodegrid.llm.arrow import lists, map_arrow, with_columns
 from lodegrid.llm.scratch import Scratch
 
-#: Share of the tokens from which a token or n-gram has an arc; from which a word is in a pair; a pair in a triple.
-KEEP, PAIR_WORDS, TRIPLE_PAIRS = 1e-6, 1e-5, 1e-5
-#: Least count of a kept pair or triple, whatever its share.
-LEAST = 8
+#: Share of the tokens from which a token or n-gram is broadcast; rarer ones are joined.
+KEEP = 1e-6
+#: Least count of a kept pair or triple.
+LEAST = 3
+#: Weights in one task of their join to the texts, and passes of that join (each shuffles that share of the texts' n-grams).
+JOIN_ROWS, PASSES = 250_000, 2
+#: Most bits (as a power of 2) of a bitmap of keys.
+SIEVE_BITS = 27
 #: Weight of the shorter history, in tokens.
 PRIOR = 50.0
 END = int(W.mix64(np.array([0x454E44], np.uint64)).view(np.int64)[0])
@@ -62,33 +70,102 @@ def tokens(texts: W.Texts) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(hashes, np.cumsum(split.counts), END), split.counts + 1
 
 
-def _tally(keys: list[np.ndarray]) -> pa.RecordBatch:
-    values, n = np.unique(np.concatenate(keys), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(values), pa.array(n.astype(np.int64))], names=["key", "n"])
+def _tally(parts: list[tuple[np.ndarray, ...]], names: list[str]) -> pa.RecordBatch:
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    key = columns[0] if len(columns) == 1 else join_keys(*columns)
+    _, at, n = np.unique(key, return_index=True, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(c[at]) for c in columns] + [pa.array(n.astype(np.int64))], names=[*names, "n"])
 
 
-def _counted(key_of):
-    """Counts of the keys that ``key_of`` gives for slices, added up in part."""
+def _counted(keys_of, names: list[str]):
+    """Counts of the keys (columns ``names``) that ``keys_of`` gives for slices, added up in part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
             for texts in W.slices(batch.column("text")):
-                keys = key_of(*tokens(texts))
+                keys = keys_of(*tokens(texts))
                 held.append(keys)
-                n += len(keys)
+                n += len(keys[0])
                 if n > _COUNTED:
-                    yield _tally(held)
+                    yield _tally(held, names)
                     held, n = [], 0
         if n:
-            yield _tally(held)
+            yield _tally(held, names)
 
     return run
 
 
+def _count(texts: DataFrame, keys_of, *names: str) -> DataFrame:
+    schema = ", ".join(f"{c} bigint" for c in (*names, "n"))
+    return map_arrow(texts.select("text"), _counted(keys_of, list(names)), schema).groupBy(*names).agg(F.sum("n").alias("n"))
+
+
+def join_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The key of two tokens, or of a triple by its two pairs."""
+    return W.mix64(W.mix64(a.view(np.uint64)) * np.uint64(3) + b.view(np.uint64)).view(np.int64)
+
+
+def pair_hashes(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The token before each (before a text's first stands the end mark of none), and the key of both."""
+    last = np.empty_like(hashes)
+    last[1:] = hashes[:-1]
+    last[np.cumsum(counts) - counts] = END
+    return last, join_keys(last, hashes)
+
+
+def _not_first(counts: np.ndarray) -> np.ndarray:
+    out = np.ones(int(counts.sum()), bool)
+    out[np.cumsum(counts) - counts] = False
+    return out
+
+
+@dataclass
+class Sieve:
+    """A bitmap of keys by their first bits: it may have keys that weren't put in, but has all that were."""
+
+    bits: int
+    bitmap: np.ndarray
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = keys.view(np.uint64) >> np.uint64(64 - self.bits)
+        return (self.bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def sieve(keys: DataFrame) -> Sieve:
+    """The sieve of a table's ``key``: 16 bits a key, up to ``SIEVE_BITS`` in all."""
+    bits = min(SIEVE_BITS, max(10, (16 * keys.count()).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.zeros(1 << (bits - 3), np.uint8)
+        for batch in batches:
+            at = np.unique(batch.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - bits))
+            if len(at):
+                byte = (at >> np.uint64(3)).astype(np.int64)
+                first = np.flatnonzero(np.diff(byte, prepend=-1))
+                bitmap[byte[first]] |= np.bitwise_or.reduceat(np.uint8(1) << (at & np.uint64(7)).astype(np.uint8), first)
+        yield pa.RecordBatch.from_arrays([pa.array([bitmap.tobytes()], pa.binary())], names=["bitmap"])
+
+    found = map_arrow(keys.select("key").coalesce(4), run, "bitmap binary").collect()
+    bitmap = np.zeros(1 << (bits - 3), np.uint8)
+    for row in found:
+        bitmap |= np.frombuffer(row.bitmap, np.uint8)
+    return Sieve(bits, bitmap)
+
+
+def _keyed(df: DataFrame, a: str, b: str) -> DataFrame:
+    """With the ``key`` that columns ``a`` and ``b`` have together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield with_columns(batch, key=pa.array(join_keys(batch.column(a).to_numpy(), batch.column(b).to_numpy())))
+
+    return map_arrow(df, run, T.StructType([*df.schema.fields, T.StructField("key", T.LongType())]))
+
+
 def count_tokens(texts: DataFrame) -> DataFrame:
     """(key, n): how often the texts have each token."""
-    return map_arrow(texts.select("text"), _counted(lambda t, _: t), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    return _count(texts, lambda t, _: (t,), "key")
 
 
 def _find(table: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -102,7 +179,7 @@ def _find(table: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Automaton:
-    """Words by number (place in ``words``, sorted hashes); pairs and triples by sorted keys."""
+    """The frequent part: words by number (place in ``words``, sorted hashes); pairs and triples by sorted keys."""
 
     words: np.ndarray
     counts: np.ndarray
@@ -113,10 +190,9 @@ class Automaton:
         self.n = len(self.words)
         self.word_p = np.log10((self.counts + 1) / self.space)
         self.word_fail = np.zeros(self.n)
-        self.pairs, self.pair_p, self.pair_fail = np.empty(0, np.int64), np.empty(0), np.empty(0)
-        self.triples, self.triple_p = np.empty(0, np.int64), np.empty(0)
+        self.pairs, self.pair_gain, self.pair_fail = np.empty(0, np.int64), np.empty(0), np.empty(0)
+        self.triples, self.triple_gain = np.empty(0, np.int64), np.empty(0)
         self.end = int(_find(self.words, np.array([END]))[0])
-        self.pairable = self.counts >= max(LEAST, PAIR_WORDS * self.total)
 
     @property
     def space(self) -> float:
@@ -136,111 +212,125 @@ class Automaton:
         out[np.cumsum(counts) - counts] = self.end
         return out
 
-    def pair_keys(self, numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Keys of (token before, token) where both are kept words that may be in a pair, else -1."""
-        last = self.before(numbers, counts)
-        both = (numbers >= 0) & (last >= 0)
-        both[both] = self.pairable[numbers[both]] & self.pairable[last[both]]
-        return np.where(both, last * self.n + numbers, -1)
+    def add_words(self, fails: pa.Table) -> None:
+        """Failure weights of words (h, fail)."""
+        at = self.numbers(fails["h"].to_numpy())
+        self.word_fail[at[at >= 0]] = fails["fail"].to_numpy()[at >= 0]
 
-    def add_pairs(self, keys: np.ndarray, n: np.ndarray) -> None:
+    def add_pairs(self, found: pa.Table) -> None:
+        """Frequent pairs (h, w, key, step, fail)."""
+        keys = self.numbers(found["h"].to_numpy()) * self.n + self.numbers(found["w"].to_numpy())
         order = np.argsort(keys)
-        self.pairs, self.pair_n = keys[order], n[order]
-        h, w = self.pairs // self.n, self.pairs % self.n
-        shorter = 10.0 ** self.word_p[w]
-        p = (self.pair_n + PRIOR * shorter) / (self.counts[h] + PRIOR)
-        self.pair_p = np.log10(p)
-        self.word_fail = self._failure(h, p, shorter, self.n)
-        self.pair_fail = np.zeros(len(self.pairs))
-        self.in_triple = self.pair_n >= max(LEAST, TRIPLE_PAIRS * self.total)
-
-    def triple_keys(self, numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Keys of (pair before, token) where both pairs are frequent, else -1."""
-        place = _find(self.pairs, self.pair_keys(numbers, counts))
-        ok = place >= 0
-        ok[ok] = self.in_triple[place[ok]]
-        first = np.zeros(len(numbers), bool)
-        first[np.cumsum(counts) - counts] = True
-        both = ok & ~first
-        both[1:] &= ok[:-1]
-        out = np.full(len(numbers), -1, np.int64)
-        at = np.flatnonzero(both)
-        out[at] = place[at - 1] * self.n + numbers[at]
-        return out
+        self.pairs, self.pair_gain, self.pair_fail = keys[order], found["step"].to_numpy()[order], found["fail"].to_numpy()[order]
 
-    def add_triples(self, keys: np.ndarray, n: np.ndarray) -> None:
+    def add_triples(self, found: pa.Table) -> None:
+        """Frequent triples (h, w, last, step): words h and w of the pair, then the last one."""
+        pair = _find(self.pairs, self.numbers(found["h"].to_numpy()) * self.n + self.numbers(found["w"].to_numpy()))
+        keys = pair * self.n + self.numbers(found["last"].to_numpy())
         order = np.argsort(keys)
-        self.triples, n = keys[order], n[order]
-        h, w = self.triples // self.n, self.triples % self.n
-        last = self.pairs[h] % self.n
-        lower = _find(self.pairs, last * self.n + w)
-        shorter = 10.0 ** np.where(lower >= 0, self.pair_p[lower] if len(self.pairs) else 0, self.word_fail[last] + self.word_p[w])
-        p = (n + PRIOR * shorter) / (self.pair_n[h] + PRIOR)
-        self.triple_p = np.log10(p)
-        self.pair_fail = self._failure(h, p, shorter, len(self.pairs))
-
-    @staticmethod
-    def _failure(h: np.ndarray, p: np.ndarray, shorter: np.ndarray, n: int) -> np.ndarray:
-        """Weights of failure arcs: what the arcs leave, over what they would have in the shorter state."""
-        kept, below = np.bincount(h, p, n), np.bincount(h, shorter, n)
-        return np.log10(np.maximum(1 - kept, 1e-12) / np.maximum(1 - below, 1e-12))
+        self.triples, self.triple_gain = keys[order], found["step"].to_numpy()[order]
 
-    def walk(self, numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 probability of each token but for a rare token's own: that has no arc, and its failure weights alone."""
-        out = np.zeros(len(numbers))
+    def places(self, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each token's pair with the one before it, the state of the two before it, and its triple; -1 where not frequent."""
         last = self.before(numbers, counts)
-        pair = _find(self.pairs, self.pair_keys(numbers, counts))
-        state = np.full(len(numbers), -1, np.int64)  # the state of the two tokens before
+        pair = _find(self.pairs, np.where((numbers >= 0) & (last >= 0), last * self.n + numbers, -1))
+        state = np.full(len(numbers), -1, np.int64)
         state[1:] = pair[:-1]
         state[np.cumsum(counts) - counts] = -1
-        # Pair states: an arc for a triple, or failure to the last word's state.
-        at = np.flatnonzero(state >= 0)
-        arc = np.where(numbers[at] >= 0, _find(self.triples, state[at] * self.n + numbers[at]), -1)
-        out[at[arc >= 0]] = self.triple_p[arc[arc >= 0]]
-        out[at[arc < 0]] = self.pair_fail[state[at[arc < 0]]]
-        left = np.ones(len(numbers), bool)
-        left[at[arc >= 0]] = False
-        # Word states: an arc for a pair, or failure to the root.
-        at = np.flatnonzero(left & (last >= 0))
-        found = pair[at] >= 0
-        out[at[found]] += self.pair_p[pair[at[found]]]
-        out[at[~found]] += self.word_fail[last[at[~found]]]
-        left[at[found]] = False
-        # The root reads the rest.
-        at = np.flatnonzero(left & (numbers >= 0))
-        out[at] += self.word_p[numbers[at]]
+        triple = _find(self.triples, np.where((state >= 0) & (numbers >= 0), state * self.n + numbers, -1))
+        return pair, state, triple
+
+    def walk(self, numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """log10 probability of each token, less what rarer words and n-grams (which aren't here) add to it."""
+        last = self.before(numbers, counts)
+        out = np.zeros(len(numbers))
+        for values, at in zip((self.word_p, self.word_fail, self.pair_gain, self.pair_fail, self.triple_gain), (numbers, last, *self.places(numbers, counts)), strict=True):
+            out[at >= 0] += values[at[at >= 0]]
         return out
 
 
-def _collected(counted: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of at least ``least``: at most the tokens divided by it."""
-    found = counted.where(F.col("n") >= least).toArrow()
-    return found["key"].to_numpy(), found["n"].to_numpy()
+def _fail(kept: str, below: str) -> Column:
+    """Weights of failure arcs: what the arcs leave, over what they would have in the shorter state."""
+    rest = lambda c: F.greatest(1 - F.sum(c), F.lit(1e-12))
+    return F.log10(rest(kept) / rest(below)).alias("fail")
 
 
 def train(texts: DataFrame, scratch: Scratch) -> tuple[Automaton, DataFrame]:
-    """The automaton of training texts, and all their token counts (key, n)."""
-    spark = texts.sparkSession
+    """The frequent part of the automaton of training texts, and all their token counts (key, n)."""
+    return learn(texts, scratch)[:2]
+
+
+def learn(texts: DataFrame, scratch: Scratch) -> tuple[Automaton, DataFrame, DataFrame]:
+    """The automaton's frequent part, all token counts, and what isn't in that part: (key, word, base, gain) of each token and kept n-gram."""
+    share = texts.sparkSession.sparkContext.broadcast
     counts = scratch.table(count_tokens(texts), "tokens")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    keys, n = _collected(counts, max(1.0, KEEP * total))
+    often = max(1.0, KEEP * total)
+    found = counts.where(F.col("n") >= often).toArrow()
+    keys, n = found["key"].to_numpy(), found["n"].to_numpy()
     order = np.argsort(keys)
     model = Automaton(keys[order], n[order], total, distinct)
-    for key_of, add in (("pair_keys", "add_pairs"), ("triple_keys", "add_triples")):
-        shared = spark.sparkContext.broadcast(model)
-
-        def keyed(t: np.ndarray, c: np.ndarray, shared=shared, key_of=key_of) -> np.ndarray:
-            found = getattr(shared.value, key_of)(shared.value.numbers(t), c)
-            return found[found >= 0]
 
-        counted = map_arrow(texts.select("text"), _counted(keyed), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-        getattr(model, add)(*_collected(counted, model.least))
-    return model, counts
+    # Pairs whose words may both be kept, then triples whose pairs may.
+    words = counts.where(F.col("n") >= LEAST)
+    common = share(sieve(words))
+
+    def pair_of(t: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        last, _ = pair_hashes(t, c)
+        ok = common.value.has(t) & common.value.has(last)
+        return last[ok], t[ok]
+
+    kept = scratch.table(_keyed(_count(texts, pair_of, "h", "w").where(F.col("n") >= LEAST), "h", "w"), "pair_counts")
+    scratch.release()
+    paired = share(sieve(kept))
+
+    def triple_of(t: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        _, pair = pair_hashes(t, c)
+        ok = paired.value.has(pair)
+        at = np.flatnonzero(_not_first(c) & ok & np.roll(ok, 1))
+        return pair[at - 1], pair[at]
+
+    kept3 = scratch.table(_keyed(_count(texts, triple_of, "first", "second").where(F.col("n") >= LEAST), "first", "second"), "triple_counts")
+    scratch.release()
+
+    # Probabilities, shorter histories first; failure weights; one weight for each n-gram.
+    p1 = lambda c: (F.col(c) + 1) / F.lit(model.space)
+    pairs = kept.join(words.select(F.col("key").alias("w"), F.col("n").alias("n_w")), "w").join(words.select(F.col("key").alias("h"), F.col("n").alias("n_h")), "h")
+    pairs = pairs.withColumn("p1", p1("n_w")).withColumn("p", (F.col("n") + PRIOR * F.col("p1")) / (F.col("n_h") + PRIOR)).select("key", "h", "w", "n", "p1", "p")
+    pairs = scratch.table(pairs, "pairs")
+    word_fail = scratch.table(pairs.groupBy("h").agg(_fail("p", "p1")), "word_fail")
+    end = pairs.select(F.col("key").alias("second"), F.col("w").alias("last"), F.col("p").alias("p2"))
+    triples = kept3.join(end, "second").join(pairs.select(F.col("key").alias("first"), "h", "w", F.col("n").alias("n_h")), "first")
+    triples = triples.withColumn("p", (F.col("n") + PRIOR * F.col("p2")) / (F.col("n_h") + PRIOR)).select("key", "first", "h", "w", "last", "n", "p2", "p")
+    triples = scratch.table(triples, "triples")
+    pair_fail = scratch.table(triples.groupBy("first").agg(_fail("p", "p2")), "pair_fail")
+    scratch.drop(kept)
+    scratch.drop(kept3)
+    scratch.release()
+    held = [pairs, triples, word_fail, pair_fail]
+
+    by_h = pairs.join(word_fail, "h").withColumn("step", F.log10("p") - F.log10("p1") - F.col("fail")).drop("fail")
+    pairs = by_h.join(pair_fail.withColumnRenamed("first", "key"), "key", "left").select("key", "h", "w", "n", "step", F.coalesce("fail", F.lit(0.0)).alias("fail"))
+    triples = triples.join(pair_fail, "first").withColumn("step", F.log10("p") - F.col("fail") - F.log10("p2"))
+    pairs, triples = scratch.table(pairs, "pair_steps"), scratch.table(triples, "triple_steps")
+    model.add_words(word_fail.join(counts.where(F.col("n") >= often).select(F.col("key").alias("h")), "h", "left_semi").toArrow())
+    frequent = F.col("n") >= model.least
+    model.add_pairs(pairs.where(frequent).toArrow())
+    model.add_triples(triples.where(frequent).select("h", "w", "last", "step").toArrow())
+    own = counts.where(F.col("n") < often).join(word_fail.withColumnRenamed("h", "key"), "key", "left").withColumn("base", F.log10(p1("n")))
+    weights = own.select("key", F.lit(1).alias("word"), "base", (F.col("base") + F.coalesce("fail", F.lit(0.0))).alias("gain"))
+    for table, gain in ((pairs, F.col("step") + F.col("fail")), (triples, F.col("step"))):
+        weights = weights.unionByName(table.where(~frequent).select("key", F.lit(0).alias("word"), F.lit(0.0).alias("base"), gain.alias("gain")))
+    weights = scratch.table(weights, "weights")
+    for table in (*held, pairs, triples):
+        scratch.drop(table)
+    scratch.release()
+    return model, counts, weights
 
 
 def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model, kept = shared.value
         for batch in batches:
             for texts in W.slices(batch.column("text")):
                 hashes, counts = tokens(texts)
@@ -249,8 +339,16 @@ def _scored(shared):
                 known = numbers >= 0
                 base = np.zeros(len(numbers))
                 base[known] = model.word_p[numbers[known]]
-                rare, n_rare = W.distinct(hashes[~known].view(np.uint64), np.add.reduceat((~known).astype(np.int64), first))
-                times = _times(hashes[~known].view(np.uint64), np.add.reduceat((~known).astype(np.int64), first))
+                # What the frequent part hasn't: all words, and the pairs and triples that may be kept.
+                pair, _, triple = model.places(numbers, counts)
+                _, pairs = pair_hashes(hashes, counts)
+                triples = join_keys(np.roll(pairs, 1), pairs)
+                rest = [(hashes, ~known), (pairs, (pair < 0) & kept.has(pairs)), (triples, (triple < 0) & _not_first(counts) & kept.has(triples))]
+                text_of = np.repeat(np.arange(len(counts)), counts)
+                order = np.argsort(np.concatenate([text_of[m] for _, m in rest]), kind="stable")
+                keys = np.concatenate([k[m] for k, m in rest])[order].view(np.uint64)
+                per = sum(np.add.reduceat(m.astype(np.int64), first) for _, m in rest)
+                rare, times, n_rare = _distinct(keys, per)
                 structs = pa.StructArray.from_arrays([pa.array(rare.view(np.int64)), pa.array(times)], names=["key", "times"])
                 yield with_columns(
                     batch.slice(texts.first, len(texts)), ("text",), n_tokens=pa.array(counts.astype(np.int64)), n_common=pa.array(np.add.reduceat(known.astype(np.int64), first)),
@@ -260,8 +358,8 @@ def _scored(shared):
     return run
 
 
-def _times(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """How often each text has each of its distinct values, in order."""
+def _distinct(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's values sorted, each once, how often the text has each, and how many it has."""
     first = np.concatenate(([0], np.cumsum(counts)))
     values = values.copy()
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
@@ -270,27 +368,36 @@ def _times(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     new[1:] = values[1:] != values[:-1]
     new[first[:-1][counts > 0]] = True
     starts = np.flatnonzero(new)
-    return np.diff(np.append(starts, len(values)))
+    return values[new], np.diff(np.append(starts, len(values))), np.diff(np.searchsorted(starts, first))
 
 
 def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     """Documents without their texts, with n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
-    model, counts = train(training, scratch)
+    model, _, weights = learn(training, scratch)
+    kept = sieve(weights.where("word = 0"))
     rare_type = T.ArrayType(T.StructType([T.StructField("key", T.LongType()), T.StructField("times", T.LongType())]))
     more = [T.StructField("n_tokens", T.LongType()), T.StructField("n_common", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("walk", T.DoubleType()), T.StructField("rare", rare_type)]
-    numbered = docs.drop(*[f.name for f in more], "rare_p", "rare_known", "n_known", "train_tokens", "base_score", "score").withColumn("lm_row", F.monotonically_increasing_id())
+    numbered = docs.drop(*[f.name for f in more], "rare_base", "rare_gain", "rare_known", "n_known", "train_tokens", "base_score", "score").withColumn("lm_row", F.monotonically_increasing_id())
     schema = T.StructType([f for f in numbered.schema.fields if f.name != "text"] + more)
-    scored = scratch.table(map_arrow(numbered, _scored(spark.sparkContext.broadcast(model)), schema), "scored")
-    rare = scored.select("lm_row", F.inline("rare")).join(counts, "key", "left")
-    p = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(model.space))
-    sums = rare.groupBy("lm_row").agg(F.sum(p * F.col("times")).alias("rare_p"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"))
-    rows = scored.drop("rare").join(sums, "lm_row", "left")
-    rare_p = F.coalesce("rare_p", F.lit(0.0))
+    scored = scratch.table(map_arrow(numbered, _scored(spark.sparkContext.broadcast((model, kept))), schema), "scored")
+    scratch.release()
+    tasks = max(spark.sparkContext.defaultParallelism, weights.count() // JOIN_ROWS + 1)
+    summed = lambda rows, times: rows.groupBy("lm_row").agg(*[F.sum(times * F.col(c)).alias(c) for c in ("rare_base", "rare_gain", "rare_known")])
+    weights = weights.select("key", F.col("base").alias("rare_base"), F.col("gain").alias("rare_gain"), F.col("word").alias("rare_known"))
+    parts = []
+    for k in range(PASSES):
+        own = F.pmod("key", F.lit(PASSES)) == k
+        rare = scored.select("lm_row", F.inline("rare")).where(own).repartition(tasks, "key").join(weights.where(own).repartition(tasks, "key").hint("shuffle_hash"), "key")
+        parts.append(scratch.table(summed(rare, F.col("times")), "sums"))
+        scratch.release()
+    sums = summed(reduce(DataFrame.unionByName, parts), F.lit(1))
+    rows = scored.drop("rare").join(sums, "lm_row", "left").withColumn("n_known", F.col("n_common") + F.coalesce("rare_known", F.lit(0)))
+    unknown = (F.col("n_tokens") - F.col("n_known")) * F.lit(-math.log10(model.space))
     return rows.withColumns({
-        "n_known": F.col("n_common") + F.coalesce("rare_known", F.lit(0)), "train_tokens": F.lit(model.total).cast("bigint"), "base_score": F.col("base") + rare_p, "score": F.col("walk") + rare_p,
-    }).drop("lm_row", "n_common", "base", "walk", "rare_p", "rare_known")
+        "train_tokens": F.lit(model.total).cast("bigint"), "base_score": F.col("base") + F.coalesce("rare_base", F.lit(0.0)) + unknown, "score": F.col("walk") + F.coalesce("rare_gain", F.lit(0.0)) + unknown,
+    }).drop("lm_row", "n_common", "base", "walk", "rare_base", "rare_gain", "rare_known")
 
 
 def perplexity(score: float, n_tokens: int) -> float:

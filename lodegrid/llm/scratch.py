@@ -8,6 +8,7 @@ temporary folder is made and set.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -66,3 +67,8 @@ class Scratch:
         """Delete a table that nothing will read again."""
         if path := self._paths.pop(id(df), None):
             remove(self.spark, path)
+
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of queries that nothing refers to any more."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()

@@ -114,6 +114,46 @@ def test_every_state_sums_to_one(spark):
         assert abs(total - 1) < 1e-6, context
 
 
+@pytest.mark.parametrize("keep", [1e-6, 2e-2, 1])
+def test_rare_ngrams_count_whatever_their_share(spark, monkeypatch, keep):
+    monkeypatch.setattr(language_model, "KEEP", keep)
+    rng = random.Random(6)
+    common = [f"c{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(common) for _ in range(2000)) for _ in range(200)] + ["one rare passage here"] * 3 + ["seen twice"] * 2
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in language_model.score(docs, docs).collect()}
+    counts = [collections.Counter() for _ in range(3)]
+    own = [[None, *words(t), None] for t in texts]
+    for t in own:
+        counts[0].update(t[1:])
+        counts[1].update(zip(t, t[1:]))
+        counts[2].update(zip(t, t[1:], t[2:]))
+    space = counts[0].total() + len(counts[0]) + 1
+    kept = [{g: n for g, n in c.items() if n >= language_model.LEAST} for c in counts[1:]]
+    p = [{w: (n + 1) / space for w, n in counts[0].items()}, {}, {}]
+    fails = [{}, {}]
+    for k, (have, before) in enumerate(zip(kept, counts, strict=False)):
+        sums = collections.defaultdict(lambda: [0.0, 0.0])
+        for g, n in have.items():
+            h, lower = (g[0], g[1]) if k == 0 else (g[:2], g[1:])
+            p[k + 1][g] = (n + language_model.PRIOR * p[k][lower]) / (before[h] + language_model.PRIOR)
+            sums[h][0] += p[k + 1][g]
+            sums[h][1] += p[k][lower]
+        fails[k] = {h: math.log10(max(1 - a, 1e-12) / max(1 - b, 1e-12)) for h, (a, b) in sums.items()}
+    for i in (0, 200, 203):
+        total = 0.0
+        for j in range(1, len(own[i])):
+            u, v, w = own[i][j - 2] if j > 1 else "none", own[i][j - 1], own[i][j]
+            if j > 1 and (u, v, w) in p[2]:
+                total += math.log10(p[2][u, v, w])
+                continue
+            total += fails[1].get((u, v), 0.0) if j > 1 else 0.0
+            total += math.log10(p[1][v, w]) if (v, w) in p[1] else fails[0].get(v, 0.0) + math.log10(p[0][w])
+        assert abs(got[i].score - total) < 1e-6, i
+    assert got[200].score > got[200].base_score + 2
+
+
 def test_scores_without_training(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id bigint, text string")
     rows = language_model.score(docs, docs.limit(0)).collect()
