@@ -4,7 +4,8 @@ Patterns find assigned passwords and tokens, access key ids and long hexadecimal
 strings.  The battery finds other random strings: a candidate is a run of at least
 ``LEAST`` characters of the base64 and base64url alphabets.  Its encoding is the
 smallest alphabet that holds it (hexadecimal of either case, base32, letters and
-digits, base64, base64url), and three tests ask if its symbols could be uniform and
+digits, base64, base64url); a run that fits none, for it mixes the symbols of base64
+and base64url, is cut at those of either, and its pieces are candidates.  Three tests ask if its symbols could be uniform and
 independent draws from that alphabet:
 
 * chi-squared uniformity over at most 8 equal bins of the alphabet,
@@ -16,8 +17,8 @@ length, for a short string can't be told from chance as a long one can.  In each
 stratum the Benjamini-Hochberg procedure over the whole corpus declares strings
 structured at false discovery rate ``RATE``: few random strings are lost.  The rest
 are random as far as the tests can tell, and are reported where their length gives
-the tests power: at least ``LEAST_BITS`` bits, symbols of three classes (or hexadecimal) at
-least, and not one case of letters alone.
+the tests power: at least ``LEAST_BITS`` bits, digits and letters, and letters of both cases
+where the alphabet has both.
 
 What the procedure needs of the corpus are counts by stratum and p-value bin, some
 thousands of numbers at any size.  Documents never move between tasks.
@@ -54,6 +55,7 @@ _ASSIGN = re.compile(ASSIGN, re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(ACCESS)
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % LEAST)
+_PIECES = (re.compile(r"[A-Za-z0-9_-]{%d,}" % LEAST), re.compile(r"[A-Za-z0-9+/]{%d,}" % LEAST))
 #: Texts without a match of this have no span of any kind.
 _SIEVE = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{16}|[A-Za-z0-9+/_-]{%d}" % LEAST
 _LOW, _UP, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -140,7 +142,7 @@ def _powerful(text: str, encoding: str) -> bool:
     letters = sum(c.isalpha() for c in text)
     if not digits or not letters:
         return False
-    return encoding in ("hex", "HEX", "upper", "base32") or (any(c.islower() for c in text) and any(c.isupper() for c in text))
+    return encoding in ("hex", "HEX", "upper", "lower", "base32") or (any(c.islower() for c in text) and any(c.isupper() for c in text))
 
 
 def stratum(n: int) -> int:
@@ -148,6 +150,15 @@ def stratum(n: int) -> int:
     return int(2 * math.log2(n))
 
 
+def pieces(run: str, at: int = 0) -> list[tuple[int, int]]:
+    """Spans to test: the run itself, or where it fits no alphabet its pieces of one, but none within another that has power."""
+    if encoding_of(run) is not None:
+        return [(at, at + len(run))]
+    spans = sorted({m.span() for cut in _PIECES for m in cut.finditer(run)})
+    whole = [(a, b) for a, b in spans if _powerful(run[a:b], encoding_of(run[a:b]))]
+    return [(at + a, at + b) for a, b in spans if not any(c <= a and b <= d and (c, d) != (a, b) for c, d in whole)]
+
+
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, float, bool]]]:
     """Pattern spans (start, kind, end), and candidates (start, end, stratum, p, powerful)."""
     base = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 12]
@@ -156,11 +167,11 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     base.sort()
     found = []
     for m in _CANDIDATE.finditer(text):
-        a, b = m.span()
-        if any(s < b and a < e for s, _, e in base):
-            continue
-        own = m[0]
-        if (encoding := encoding_of(own)) is not None:
+        for a, b in pieces(m[0], m.start()):
+            if any(s < b and a < e for s, _, e in base):
+                continue
+            own = text[a:b]
+            encoding = encoding_of(own)
             found.append((a, b, stratum(b - a), combined(battery(own, encoding)), _powerful(own, encoding)))
     return base, found
 

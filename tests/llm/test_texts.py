@@ -303,6 +303,17 @@ def test_found_secrets(spark):
     assert secrets.find(frame.limit(0)).count() == 0
 
 
+def test_lower_case_and_mixed_runs_are_candidates():
+    rng = random.Random(13)
+    lower = "".join(rng.choice("0123456789abcdefghijklmnopqrstuvwxyz") for _ in range(40))
+    assert secrets.encoding_of(lower) == "lower"
+    assert [(a, b, ok) for a, b, _, p, ok in secrets.scan(f"x {lower} y")[1] if p > 0.01] == [(2, 42, True)]
+    for token, before in (("q8Zr2LpX0vTn_YbKc7Wd3HsJ9-GmA1eU", "example/some/path/hooks/"), ("q8Zr2LpX0vTn+YbKc7Wd3HsJ9/GmA1eU", "my_own-")):
+        text = f"see https://{before}{token} é"
+        at = text.index(token)
+        assert (at, at + len(token)) in [(a, b) for a, b, _, p, ok in secrets.scan(text)[1] if ok and p > 0.01]
+
+
 # All together.
 
 
