@@ -195,22 +195,27 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def thresholds(counts: list[tuple[int, int, int]], rate: float = RATE, bins: int = BINS) -> dict[int, int]:
-    """Benjamini-Hochberg by stratum from (stratum, p-value bin, count): the first bin that isn't structured."""
+    """Benjamini-Hochberg by stratum from (stratum, p-value bin, count): the first bin that isn't structured.
+
+    Bin b >= 0 ends at (b + 1) / bins, and bin -k at 10^(-k/10).
+    """
     by: dict[int, dict[int, int]] = {}
     for level, p, n in counts:
         by.setdefault(level, {})[p] = n
     out = {}
     for level, own in by.items():
-        total, upto, out[level] = sum(own.values()), 0, 0
+        total, upto, out[level] = sum(own.values()), 0, min(0, *own)
         for p in sorted(own):
             upto += own[p]
-            if (p + 1) / bins <= rate * upto / total:
+            if ((p + 1) / bins if p >= 0 else 10 ** (p / 10)) <= rate * upto / total:
                 out[level] = p + 1
     return out
 
 
 def _bin(p: Column) -> Column:
-    return F.least(F.floor(p * BINS), F.lit(BINS - 1))
+    """Equal bins, but below the first one's end tenths of log10 p, numbered downwards from -1."""
+    small = F.floor(F.log10(F.greatest(p, F.lit(1e-300))) * 10) + 1
+    return F.when(p * BINS >= 1, F.least(F.floor(p * BINS), F.lit(BINS - 1))).otherwise(F.least(small, F.lit(-1)))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -219,7 +224,7 @@ def find(docs: DataFrame) -> DataFrame:
     schema = T.StructType([f for f in docs.schema.fields if f.name != "text"] + [T.StructField("secret_base", T.ArrayType(_SPAN)), T.StructField("secret_candidates", T.ArrayType(_FOUND))])
     scanned = Scratch(docs.sparkSession, "secrets").table(map_arrow(docs, _scanned, schema), "spans")
     each = scanned.select(F.inline("secret_candidates")).groupBy("stratum", _bin(F.col("p")).alias("bin")).count()
-    first = thresholds([tuple(r) for r in each.collect()])  # at most BINS rows for each stratum
+    first = thresholds([tuple(r) for r in each.collect()])  # at most BINS + 3000 rows for each stratum
     limit = F.create_map(*[F.lit(x) for pair in first.items() for x in pair]) if first else F.create_map(F.lit(0), F.lit(0))
     kept = F.filter("secret_candidates", lambda c: c["powerful"] & (_bin(c["p"]) >= F.coalesce(F.element_at(limit, c["stratum"].cast("int")), F.lit(0))))
     more = F.transform(kept, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))

@@ -303,6 +303,15 @@ def test_found_secrets(spark):
     assert secrets.find(frame.limit(0)).count() == 0
 
 
+def test_small_p_values_keep_their_size(spark):
+    rows = [(i / 1000,) for i in range(1, 1000)] + [(1e-30,), (0.0,)]
+    bins = collections.Counter(r.b for r in spark.createDataFrame(rows, "p double").select(secrets._bin(F.col("p")).alias("b")).collect())
+    first = secrets.thresholds([(8, b, n) for b, n in bins.items()])[8]
+    got = {r.p: r.b for r in spark.createDataFrame(rows, "p double").select("p", secrets._bin(F.col("p")).alias("b")).collect()}
+    assert got[1e-30] < first and got[0.0] < first and got[0.001] >= first
+    assert secrets.thresholds([(8, -299, 1), (8, 500, 1999)]) == {8: -298}
+
+
 def test_lower_case_and_mixed_runs_are_candidates():
     rng = random.Random(13)
     lower = "".join(rng.choice("0123456789abcdefghijklmnopqrstuvwxyz") for _ in range(40))
