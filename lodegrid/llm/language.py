@@ -37,10 +37,10 @@ from lodegrid.llm.arrow import lists, map_arrow, with_columns
 BUCKETS = 1 << 16
 #: Labelled documents of each language that the model is fitted on, near enough.
 SAMPLE = 2_000
-#: Languages of one document at most, and how much likelihood each has to earn.
-MOST = 3
+#: How much likelihood each further language of a document has to earn.
 PENALTY = 2.0
-STEPS = 6
+#: Steps of the mixture of all languages, which ranks them; change of proportions at which a set's mixture is done, and steps at most.
+STEPS, TOLERANCE, MOST_STEPS = 6, 1e-4, 1000
 UNKNOWN = "und"
 _LETTER = np.full(256, 0x20, np.uint8)
 _LETTER[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -84,21 +84,50 @@ class Model:
         count, first = counts[full], (np.cumsum(counts) - counts)[full]
         p = [row[bucket] for row in self.likelihood]
         alone = np.stack([np.add.reduceat(np.log(x), first) for x in p], 1)
-        mixed = self._expect(p, np.full((len(full), n_lang), 1 / n_lang), count, first, STEPS)[0]
+        n_all = np.full((len(full), n_lang), 1 / n_lang)
+        before = self._expect(p, n_all, count, first, STEPS - 1)[0]
+        mixed, fit = self._expect(p, before, count, first, 1)
+        # No mixture of any set is likelier than this (the likelihood is concave in the proportions).
+        bound = fit + count * (np.max(mixed / np.maximum(before, 1e-300), axis=1, initial=1.0) - 1) * 1.001 + 1
         order = np.argsort(-mixed, axis=1, kind="stable")
+        rank = np.argsort(order, axis=1, kind="stable")
         best = np.argmax(alone, axis=1)
         chosen = np.zeros_like(mixed)
         chosen[np.arange(len(full)), best] = 1.0
         score = alone.max(1)
-        for k in range(2, min(MOST, n_lang) + 1):
-            start = np.where(np.argsort(order, axis=1, kind="stable") < k, np.maximum(mixed, 1e-6), 0)
-            part, fit = self._expect(p, start / start.sum(1, keepdims=True), count, first, 2)
-            fit = fit - PENALTY * 3 * (k - 1) * np.log(np.maximum(count, 2))
-            better = fit > score
-            chosen[better], score[better] = part[better], fit[better]
+        for k in range(2, n_lang + 1):
+            cost = PENALTY * 3 * (k - 1) * np.log(np.maximum(count, 2))
+            open_ = np.flatnonzero(bound - cost > score)
+            if not len(open_):
+                break
+            start = np.where(rank[open_] < k, np.maximum(mixed[open_], 1e-6), 0)
+            part, fit = self._converged(p, start / start.sum(1, keepdims=True), count, first, open_)
+            fit = fit - cost[open_]
+            better = fit > score[open_]
+            chosen[open_[better]], score[open_[better]] = part[better], fit[better]
         share[full] = chosen
         return share, share > 0, counts
 
+    def _converged(self, p: list[np.ndarray], share: np.ndarray, count: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Proportions and log-likelihoods of some texts, by expectation-maximisation until none changes by ``TOLERANCE``."""
+        out, fits = share.copy(), np.zeros(len(rows))
+        left = np.arange(len(rows))
+        held = None
+        for _ in range(MOST_STEPS):
+            if held is None:
+                own = count[rows[left]]
+                starts = np.cumsum(own) - own
+                at = np.repeat(first[rows[left]] - starts, own) + np.arange(own.sum())
+                held = [x[at] for x in p]
+            part, fits[left] = self._expect(held, out[left], own, starts, 1)
+            moved = np.abs(part - out[left]).max(1) >= TOLERANCE
+            out[left] = part
+            if not moved.any():
+                break
+            if not moved.all():
+                left, held = left[moved], None
+        return out, fits
+
     @staticmethod
     def _expect(p: list[np.ndarray], share: np.ndarray, count: np.ndarray, first: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
         """Steps of expectation-maximisation, and the log-likelihood before the last of them."""

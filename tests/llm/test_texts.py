@@ -45,6 +45,16 @@ def test_languages_and_mixtures(spark, spoken):
     assert r.lang_pred == "aa" and set(r.lang_set) == {"aa", "cc"} and 0.6 < r.score < 0.9
 
 
+def test_sets_of_more_than_three_languages(spark):
+    rng = random.Random(9)
+    kinds = dict(zip(("aa", "bb", "cc", "dd"), ("abcdef", "ghijkl", "mnopqr", "stuvwx"), strict=True))
+    rows = [(i, tongue(rng, kinds[lang], 60), lang) for i, lang in enumerate(list(kinds) * 40)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    text = " ".join(tongue(rng, letters, n) for letters, n in zip(kinds.values(), (800, 400, 400, 400), strict=True))
+    r = language.predict(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), model).first()
+    assert r.lang_pred == "aa" and set(r.lang_set) == set(kinds) and 0.37 < r.score < 0.43
+
+
 def test_language_of_odd_rows(spark, spoken):
     docs = clash(spark.createDataFrame(odd_docs(), DOCS), "score", "bucket", "lang_pred")
     for model in (None, language.fit(spark.createDataFrame(spoken[0], "doc_id bigint, text string, lang string"))):
