@@ -31,15 +31,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the least id of each group that links at a Jaccard similarity of 0.8 over 5-word shingles.
 
-    Of repeated rows (equal id and text) one stays.
+    Of repeated rows (equal id and text) one stays.  Rows whose id is null or repeated go by their own sets.
     """
     scratch = Scratch(spark, "pipeline")
-    classes = scratch.table(set_join.classes(docs, set_join.Rule(k=5, percent=80)), "classes")
+    rule = set_join.Rule(k=5, percent=80)
+    classes = scratch.table(set_join.classes(docs, rule, named=True), "classes")
     gone = classes.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
+    repeated = scratch.table(classes.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select("doc_id"), "repeated")
     kept = _without(docs, scratch.table(gone, "duplicates"))
-    repeated = scratch.table(classes.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if not repeated.isEmpty():
-        again = kept.join(repeated, kept["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi").select(*COLUMNS)
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set")).alias("kept")
+        full = classes.where("n_shingles > 0")
+        other = full.join(full.groupBy("component").agg(first), "component").where(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("set") == F.col("kept.set"))))
+        other = other.select(F.col("doc_id").alias("gone_id"), F.col("set").alias("gone_set")).distinct()
+        again = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi").select(*COLUMNS)
+        again = set_join.named_sets(again, rule).join(other, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("set") == F.col("gone_set")), "left_anti").select(*COLUMNS)
         kept = kept.join(repeated, kept["doc_id"].eqNullSafe(repeated["doc_id"]), "left_anti").select(*COLUMNS).unionByName(again.dropDuplicates(["doc_id", "text"]))
     return kept.select(*COLUMNS)
 

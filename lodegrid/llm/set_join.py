@@ -44,9 +44,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodegrid.llm import words as W
-from lodegrid.llm.arrow import lists, map_arrow
+from lodegrid.llm.arrow import lists, map_arrow, with_columns
 from lodegrid.llm.components import components
 from lodegrid.llm.scratch import Scratch
 
@@ -474,12 +475,23 @@ def verify(families: DataFrame, best: DataFrame, tokens: DataFrame, rule: Rule,
     return links.unionByName(first).unionByName(second)
 
 
-def classes(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of documents (doc_id, text)."""
+def named_sets(docs: DataFrame, rule: Rule) -> DataFrame:
+    """Add ``set``, the digest that names each row's set."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in W.slices(batch.column("text")):
+                yield with_columns(batch.slice(texts.first, len(texts)), set=pa.array(digests(*token_sets(texts, rule.k))))
+
+    return map_arrow(docs, name, T.StructType([*docs.schema.fields, T.StructField("set", T.LongType())]))
+
+
+def classes(docs: DataFrame, rule: Rule, named: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of documents (doc_id, text); ``named`` adds set and component."""
     scratch = Scratch(docs.sparkSession, "join")
     docs = docs.select("doc_id", "text")
     signatures = map_arrow(docs.select("text"), _signed(rule), "signature bigint, set bigint")
-    return joined(docs, described(docs, rule, scratch), signatures, rule, scratch)
+    return joined(docs, described(docs, rule, scratch), signatures, rule, scratch, named)
 
 
 def described(docs: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
@@ -488,7 +500,7 @@ def described(docs: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     return scratch.table(map_arrow(docs, _described(rule), schema), "sets")
 
 
-def joined(docs: DataFrame, sets: DataFrame, signatures: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+def joined(docs: DataFrame, sets: DataFrame, signatures: DataFrame, rule: Rule, scratch: Scratch, named: bool = False) -> DataFrame:
     """Classes from sets (doc_id, n, set, bits) and candidate rows (signature, set)."""
     # Most signatures are of one set: those rows end here, and only the others get bitmaps.
     order = Window.partitionBy("signature").orderBy("set")
@@ -512,8 +524,8 @@ def joined(docs: DataFrame, sets: DataFrame, signatures: DataFrame, rule: Rule,
     tokens = map_arrow(texts.select("text"), _tokens(rule), "set bigint, tokens array<bigint>")
     tokens = scratch.table(tokens.join(F.broadcast(families.select("set")) if few else families.select("set"), "set", "left_semi"), "tokens")
     links = verify(families, best, tokens, rule, scratch)
-    named = components(links, scratch).withColumnRenamed("node", "set")
-    labelled = sets.join(named, "set", "left").withColumn("component", F.coalesce("component", "set"))
+    linked_sets = components(links, scratch).withColumnRenamed("node", "set")
+    labelled = sets.join(linked_sets, "set", "left").withColumn("component", F.coalesce("component", "set"))
     least = labelled.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
     rows = labelled.join(least, "component", "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), *(["set", "component"] if named else []))

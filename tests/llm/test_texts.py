@@ -336,6 +336,15 @@ def test_lower_case_and_mixed_runs_are_candidates():
 # All together.
 
 
+def test_near_duplicates_go_by_row(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (None, c), (None, c + " end"), (None, b), (7, ""), (8, "x y")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    got = sorted(((r.doc_id, r.text[:2]) for r in pipeline.near_duplicates(spark, docs, "").collect()), key=str)
+    assert got == sorted([(3, "a0"), (5, "b0"), (None, "c0"), (7, ""), (8, "x ")], key=str)
+
+
 @needs_data
 def test_registered_queries_and_the_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
