@@ -50,6 +50,26 @@ def test_hashes_depend_on_the_word_alone():
     assert (one == other[::-1]).all() and len(set(one.tolist())) == len(set(names))
 
 
+def thue_morse(n, swap=False):
+    return "".join("ab"[(i.bit_count() + swap) % 2] for i in range(n))
+
+
+def test_hashes_of_related_words_differ():
+    rng = random.Random(4)
+    names = {thue_morse(1 << k, swap) for k in range(3, 13) for swap in (False, True)}
+    names |= {"x" * n for n in range(1, 600)} | {"x" * n + "y" for n in range(600)} | {"y" + "x" * n for n in range(600)}
+    names |= {"".join(rng.choice("ab") for _ in range(24)) for _ in range(20_000)}
+    names = sorted(names)
+    assert len(set(W.split(next(W.slices(pa.array([" ".join(names)])))).hashes().tolist())) == len(names)
+
+
+def test_hashes_depend_on_the_bytes_of_the_word_alone():
+    for n in (1, 7, 8, 9, 16, 255, 256, 257, 5000):
+        word = thue_morse(n)
+        one = [W.split(next(W.slices(pa.array([t])))).hashes().tolist() for t in (word, f"{word} {word}", f"é{'z' * (n % 5)} {word} q", word.upper())]
+        assert one[0] == one[3] and one[1] == one[0] * 2 and one[2][1] == one[0][0]
+
+
 def test_distinct():
     values, counts = W.distinct(np.array([3, 1, 3, 2, 2], np.uint64), np.array([3, 0, 2]))
     assert values.tolist() == [1, 3, 2] and counts.tolist() == [2, 0, 1]
