@@ -15,17 +15,20 @@ Executors write where all of them and the driver can read, under a name of the
 task's attempt that is renamed when it is whole; the manifest names the attempts
 that ended well, so a task that is run again or twice leaves no trace.
 
-Texts are cut where no token of a word-level vocabulary spans the cut (``pieces``),
-and a worker encodes each distinct piece once while it remembers it
-(``CACHE_PIECES``).  For other vocabularies give ``cut=False``: whole texts are encoded.
+For a vocabulary that is seen to be word-level (``cuttable``) texts are cut where no
+token spans the cut (``pieces``), and a worker encodes each distinct piece, told apart
+by its bytes, once while it remembers it (``CACHE_PIECES``).  For other vocabularies
+whole texts are encoded.
 
 Defined cases: null and empty texts have the end id alone; equal ids (repeated
 rows) follow one another, ordered by a hash of their texts; an empty table makes
-no files and an empty result; other columns of the documents are not stored.
+no files and an empty result; a very long text is one text all the same; other columns of
+the documents are not stored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -44,6 +47,9 @@ from lodegrid.llm.scratch import Scratch
 #: Distinct pieces of text that a worker remembers.
 CACHE_PIECES = 300_000
 NULL_ID = -(2**63)
+# How a word-level vocabulary whose texts may be cut prepares them.
+CUTTABLE_STEPS = ["NFC", "Replace", "Lowercase"]
+CUTTABLE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def _is_local(path: str) -> bool:
@@ -110,18 +116,28 @@ def pieces(texts: W.Texts) -> W.Words:
     return W.Words(starts, ends, np.diff(np.searchsorted(starts, texts.offsets)), split.lowered)
 
 
+def cuttable(tokenizer: str) -> bool:
+    """If the vocabulary's own description says that its tokens end where ``pieces`` cuts."""
+    with open(tokenizer, encoding="utf-8") as f:
+        described = json.load(f)
+    steps = [x.get("type") for x in (described.get("normalizer") or {}).get("normalizers", [])]
+    first = next(iter((described.get("pre_tokenizer") or {}).get("pretokenizers", [])), {})
+    plain = not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or not t["content"].startswith("<|") for t in described.get("added_tokens", []))
+    return plain and steps == CUTTABLE_STEPS and first.get("pattern") == {"Regex": CUTTABLE_PATTERN} and first.get("behavior") == "Removed" and first.get("invert") is True
+
+
 class Encoder:
     """Encodes texts by their distinct pieces."""
 
-    def __init__(self, tokenizer: str, end_id: int, cut: bool = True):
+    def __init__(self, tokenizer: str, end_id: int, cut: bool | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end_id, self.cut = Tokenizer.from_file(tokenizer), end_id, cut
+        self.tokenizer, self.end_id, self.cut = Tokenizer.from_file(tokenizer), end_id, cuttable(tokenizer) if cut is None else cut
         self.wide = self.tokenizer.get_vocab_size(True) > 1 << 16 or end_id >= 1 << 16
         special = [(t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special]
         self.between = special[0] if special else None
-        self.known: dict[int, int] = {}
+        self.known: dict[str, int] = {}
         self.flat = np.array([end_id], np.uint32)
         self.first = np.array([0, 1], np.int64)
         self.used = np.array([2], np.int64)
@@ -135,7 +151,7 @@ class Encoder:
         self.flat = self.flat[np.repeat(self.first[kept] - (upto - n), n) + np.arange(upto[-1])]
         self.first = np.concatenate(([0], upto))
         number = dict(zip(kept.tolist(), range(len(kept)), strict=True))
-        self.known = {h: number[i] for h, i in self.known.items() if i in number}
+        self.known = {x: number[i] for x, i in self.known.items() if i in number}
         self.used = np.minimum(self.used[kept], 1)
         self.used[0] = 2
 
@@ -163,16 +179,15 @@ class Encoder:
             end = np.array([self.end_id], np.uint32)
             return np.concatenate([x for e in own for x in (e, end)]), np.array([len(e) + 1 for e in own])
         split = pieces(texts)
-        distinct, where, inverse = np.unique(split.hashes(), return_index=True, return_inverse=True)
-        names = distinct.tolist()
+        coded = split.strings().dictionary_encode()
+        names, inverse = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         if len(self.known) + len(names) > CACHE_PIECES:
             self.forget()
-        fresh = [i for i, h in enumerate(names) if h not in self.known]
+        fresh = [x for x in names if x not in self.known]
         if fresh:
-            data = split.lowered.tobytes()
-            ids, lengths = self.encode_pieces([data[a:b].decode() for a, b in zip(split.starts[where[fresh]].tolist(), split.ends[where[fresh]].tolist(), strict=True)])
+            ids, lengths = self.encode_pieces(fresh)
             n = len(self.first) - 1
-            self.known.update(zip([names[i] for i in fresh], range(n, n + len(fresh)), strict=True))
+            self.known.update(zip(fresh, range(n, n + len(fresh)), strict=True))
             self.flat = np.concatenate([self.flat, ids])
             self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(lengths)])
             self.used = np.concatenate([self.used, np.zeros(len(fresh), np.int64)])
@@ -189,7 +204,7 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def _encoder(tokenizer: str, end_id: int, cut: bool) -> Encoder:
+def _encoder(tokenizer: str, end_id: int, cut: bool | None) -> Encoder:
     """The worker's encoder, kept from task to task."""
     key = (tokenizer, end_id, cut)
     if key not in _encoders:
@@ -198,7 +213,7 @@ def _encoder(tokenizer: str, end_id: int, cut: bool) -> Encoder:
     return _encoders[key]
 
 
-def _write(folder: str, tokenizer: str, end_id: int, cut: bool):
+def _write(folder: str, tokenizer: str, end_id: int, cut: bool | None):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         name = f"{folder}/part-{context.partitionId():06d}-{context.taskAttemptId()}"
@@ -224,7 +239,7 @@ def _write(folder: str, tokenizer: str, end_id: int, cut: bool):
     return write
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, cut: bool = True) -> list[dict]:
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, cut: bool | None = None) -> list[dict]:
     """Write token files of documents (doc_id, text); the manifest, in order, with each part's base."""
     ordered = docs.select("doc_id", "text").orderBy("doc_id", F.xxhash64("text"))
     written = map_arrow(ordered, _write(folder, tokenizer, end_id, cut), "part bigint, file string, docs bigint, tokens bigint, width bigint")
@@ -258,7 +273,7 @@ def read(spark: SparkSession, manifest: list[dict]) -> DataFrame:
     return map_arrow(parts.repartition(max(1, len(manifest))), _read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end_id: int, cut: bool = True) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, end_id: int, cut: bool | None = None) -> DataFrame:
     """Write the documents' token files to the shared folder and read their digests back."""
     spark = docs.sparkSession
     return read(spark, write(docs, Scratch(spark, "tokens").path("files"), tokenizer, end_id, cut))

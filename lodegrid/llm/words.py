@@ -129,8 +129,8 @@ class Words:
     def strings(self) -> pa.Array:
         """The lower-cased words as an Arrow array."""
         inside = np.zeros(len(self.lowered) + 1, np.int8)
-        np.add.at(inside, self.starts, 1)
-        np.add.at(inside, self.ends, -1)
+        inside[self.starts] += 1
+        inside[self.ends] -= 1
         kept = self.lowered[np.cumsum(inside[:-1]).astype(bool)]
         offsets = np.concatenate(([0], np.cumsum(self.ends - self.starts))).astype(np.int32)
         return pa.StringArray.from_buffers(len(self.starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(kept)))

@@ -19,6 +19,11 @@ def prose(rng, n, names=40):
     return " ".join(rng.choice(vocabulary) for _ in range(n))
 
 
+def thue_morse(n, swap=False):
+    """Words whose polynomial hashes modulo powers of 2 are equal for both values of ``swap``."""
+    return "".join("ab"[(i.bit_count() + swap) % 2] for i in range(n))
+
+
 def odd_docs():
     """Null, empty, blank, repeated, long and unusual texts, with nulls in every column."""
     rng = random.Random(3)

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lodegrid.llm import words as W
-from tests.llm.helpers import LOWER, odd_docs, words
+from tests.llm.helpers import LOWER, odd_docs, thue_morse, words
 
 
 @settings(max_examples=200, deadline=None)
@@ -50,10 +50,6 @@ def test_hashes_depend_on_the_word_alone():
     assert (one == other[::-1]).all() and len(set(one.tolist())) == len(set(names))
 
 
-def thue_morse(n, swap=False):
-    return "".join("ab"[(i.bit_count() + swap) % 2] for i in range(n))
-
-
 def test_hashes_of_related_words_differ():
     rng = random.Random(4)
     names = {thue_morse(1 << k, swap) for k in range(3, 13) for swap in (False, True)}
