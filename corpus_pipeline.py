@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegrid.llm import decontamination, language, mixing, set_join, sharding
+from lodegrid.llm.hot import by_key
 from lodegrid.llm.scratch import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -40,12 +41,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     repeated = scratch.table(classes.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select("doc_id"), "repeated")
     kept = _without(docs, scratch.table(gone, "duplicates"))
     if not repeated.isEmpty():
-        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set")).alias("kept")
-        full = classes.where("n_shingles > 0")
-        other = full.join(full.groupBy("component").agg(first), "component").where(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("set") == F.col("kept.set"))))
-        other = other.select(F.col("doc_id").alias("gone_id"), F.col("set").alias("gone_set")).distinct()
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "check")).alias("kept")
+        full = classes.where("n_shingles > 0").select("doc_id", "component", "check")
+        firsts = full.groupBy("component").agg(first, F.count(F.lit(1)).alias("key_rows"))
+        other = by_key(full, firsts, "component", classes.count()).where(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("check") == F.col("kept.check"))))
+        other = other.select(F.col("doc_id").alias("gone_id"), F.col("check").alias("gone_check")).distinct()
         again = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi").select(*COLUMNS)
-        again = set_join.named_sets(again, rule).join(other, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("set") == F.col("gone_set")), "left_anti").select(*COLUMNS)
+        again = set_join.named_sets(again, rule).join(other, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("check") == F.col("gone_check")), "left_anti").select(*COLUMNS)
         kept = kept.join(repeated, kept["doc_id"].eqNullSafe(repeated["doc_id"]), "left_anti").select(*COLUMNS).unionByName(again.dropDuplicates(["doc_id", "text"]))
     return kept.select(*COLUMNS)
 

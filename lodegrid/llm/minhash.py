@@ -40,8 +40,8 @@ PERMUTATIONS = 128
 RANGE_ROWS = 4_096
 #: Ranges at most: beyond that they grow, as they are read as streams. The driver gets the first id of each.
 RANGES = 50_000
-#: Bands of a signature: at 4 minima each, sets of similarity 0.8 share none with odds of 5 in 10^8.
-BANDS = 32
+#: Odds that two sets which link share no band: 32 bands of 4 minima have 5 in 10^8 at a similarity of 0.8.
+MISSED = 1e-6
 _RANDOM = np.random.default_rng(128)
 _A = _RANDOM.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RANDOM.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
@@ -76,29 +76,41 @@ def fingerprint_bytes(signature: np.ndarray) -> np.ndarray:
     return (signature & np.uint32(0xFF)).astype(np.uint8)
 
 
-def _banded(rule: set_join.Rule):
+def bands_of(percent: int) -> int:
+    """Bands into which signatures are cut: the fewest, a power of 2, by which two sets of that similarity share none with odds below MISSED."""
+    n = 1
+    while n < PERMUTATIONS and (1 - (percent / 100) ** (PERMUTATIONS // n)) ** n > MISSED:
+        n *= 2
+    return n
+
+
+def _banded(rule: set_join.Rule, shared: np.ndarray):
+    n = bands_of(rule.percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("text")
-            for texts in W.slices(column):
-                tokens, counts = set_join.token_sets(texts, rule.k)
-                minima = signatures(column.slice(texts.first, len(texts)), rule.k).reshape(len(texts), BANDS, -1).astype(np.uint64)
-                bands = np.tile(W.mix64(np.arange(BANDS, dtype=np.uint64) + np.uint64(1)), (len(texts), 1))
-                for j in range(minima.shape[2]):
-                    bands = W.mix64(bands ^ minima[:, :, j])
-                full = np.flatnonzero(counts)
-                names = np.repeat(set_join.digests(tokens, counts)[full], BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(bands[full].ravel().view(np.int64)), pa.array(names)], names=["signature", "set"])
+        for names, _, counts, rows, which in set_join.fresh_sets(batches, rule, shared):
+            full = counts > 0
+            minima = signatures(rows.column("text").take(pa.array(which[full])), rule.k).reshape(int(full.sum()), n, PERMUTATIONS // n).astype(np.uint64)
+            bands = np.tile(W.mix64(np.arange(n, dtype=np.uint64) + np.uint64(1)), (len(minima), 1))
+            for j in range(minima.shape[2]):
+                bands = W.mix64(bands ^ minima[:, :, j])
+            yield pa.RecordBatch.from_arrays([pa.array(bands.ravel().view(np.int64)), pa.array(np.repeat(names[full], n))], names=["signature", "set"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, component_id): classes of documents that share a band and whose exact similarity reaches ``percent``."""
+def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE, named: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id): classes of documents that share a band and whose exact similarity reaches ``percent``.
+
+    Raises ValueError below a similarity at which even single minima would miss too many.
+    """
+    if (1 - percent / 100) ** PERMUTATIONS > MISSED:
+        raise ValueError(f"{PERMUTATIONS} permutations are too few for a similarity of {percent} %")
     rule, scratch = set_join.Rule(k, percent), Scratch(docs.sparkSession, "minhash")
     docs = docs.select("doc_id", "text")
-    bands = map_arrow(docs.select("text"), _banded(rule), "signature bigint, set bigint")
-    return set_join.joined(docs, set_join.described(docs, rule, scratch), bands, rule, scratch)
+    sets, shared = set_join.described(docs, rule, scratch)
+    bands = map_arrow(docs.select("text"), _banded(rule, shared), "signature bigint, set bigint")
+    return set_join.joined(docs, sets, shared, bands, rule, scratch, named)
 
 
 def _placed(splits: list[int], firsts: list[tuple[int, int]]):

@@ -1,8 +1,8 @@
 """Intermediate tables that outlive an executor.
 
 Tables are Parquet below the folder that the cluster names in
-``spark.checkpoint.dir``.  Only where that is unset (tests, a notebook) a
-temporary folder is made and set.
+``spark.checkpoint.dir``.  Only where that is unset and the session is local (tests, a
+notebook) a temporary folder is made and set; a cluster without the setting is refused.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="lodegrid-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)

@@ -1,14 +1,15 @@
 """Exact Jaccard join of n-gram sets by a token-group matrix, returned as classes.
 
 1. A document is its set of word shingles (64-bit hashes).  Equal sets are one
-   set, named by a 64-bit digest: a group of copies is one row from here on.
+   set, named by a 64-bit digest: a group of copies is one row from here on.  A second
+   digest shows names that different sets share; those sets are named again by both.
 2. Candidates by pigeonhole.  Two sets of sizes in one range differ in at most d
    tokens if they link.  The tokens are dealt by hash into segments, and a set gives
    a signature for each of its segments, in the two size ranges it belongs to.  With
-   more than d segments, linked sets agree on at least one; where fewer do, their
-   number is such that the odds of no agreement are below e^-30 for the most unlike
-   sets that link (like the odds of two equal hashes).  A segment agrees only if all
-   its tokens do, so a passage that many documents share makes few candidates.
+   more than d segments, linked sets agree on at least one; where fewer do, the odds
+   of no agreement are at most e^-30 for any pair that links (``_segments`` proves the
+   bound), as those of two hashes being equal.  A segment agrees only if all its
+   tokens do, so a passage that many documents share makes few candidates.
 3. Sets of one signature are compared by bitmaps of their tokens: differing bits
    count no more than differing tokens, so sets whose bitmaps differ too much can't
    link.  Those left make families, the components of what may link; every true
@@ -49,6 +50,7 @@ from pyspark.sql import types as T
 from lodegrid.llm import words as W
 from lodegrid.llm.arrow import lists, map_arrow, with_columns
 from lodegrid.llm.components import components
+from lodegrid.llm.hot import by_key
 from lodegrid.llm.scratch import Scratch
 
 #: Sets of one block of a family.
@@ -70,6 +72,9 @@ class Rule:
 
     k: int = 5
     percent: int = 80
+    odds: float = ODDS
+    #: Bits of sets' first names; fewer only in tests.
+    name_bits: int = 64
 
     def level(self, sizes: np.ndarray) -> np.ndarray:
         """The size range of sets: linked sets are in one or in neighbouring ranges."""
@@ -94,7 +99,7 @@ class Rule:
         n, empty = [], []
         for i in range(levels + 2):
             low, high = int(edges[min(i, len(edges) - 1)]), int(edges[min(i + 2, len(edges) - 1)]) - 1
-            found = _segments(low, self.differ(max(high, 1)) + 1)  # differ() grows with sizes but for rounding: add one
+            found = _segments(low, self.differ(max(high, 1)) + 1, self.odds)  # differ() grows with sizes but for rounding: add one
             n.append(found[0])
             empty.append(found[1])
         return np.array(n), np.array(empty)
@@ -110,11 +115,16 @@ class Rule:
 
 
 @cache
-def _segments(low: int, d: int) -> tuple[int, int]:
+def _segments(low: int, d: int, odds: float = ODDS) -> tuple[int, int]:
     """Segments for sets of at least ``low`` tokens that differ in at most ``d``, and how many may be empty.
 
-    Of s segments, d tokens leave s e^(-d / s) untouched in the mean, and none with odds below
-    e to the minus that; a segment counts if one of the common tokens is in it.
+    With n segments, call one good if none of the d tokens and at least one of the common ones
+    fall into it; sets agree on each good segment.  One is good with probability
+    q = (1 - 1/n)^d (1 - (1 - 1/n)^common).  Numbers of balls in bins are negatively associated
+    (Dubhashi and Ranjan, 1998), those of different tokens are independent, and being good falls
+    with the first and grows with the second number, so these events are negatively associated too:
+    none is good with probability at most (1 - q)^n <= e^(-n q), which is the bound taken here.
+    More common tokens or fewer differing ones only raise q, so it holds for all pairs of the range.
     """
     allowed = 0
     for _ in range(6):
@@ -123,7 +133,7 @@ def _segments(low: int, d: int) -> tuple[int, int]:
     sure = d + 1 + allowed
     common = max(1, low - d)
     for n in range(sure // 8, sure, max(1, sure // 200)):
-        if n > 8 and n * math.exp(-d / n) * (1 - math.exp(-common / n)) >= ODDS:
+        if n > 8 and n * (1 - 1 / n) ** d * (1 - (1 - 1 / n) ** common) >= odds:
             return n, n  # empty segments never count: the untouched ones aren't all empty
     return sure, allowed
 
@@ -134,11 +144,25 @@ def token_sets(texts: W.Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
     return W.distinct(*W.shingles(split.hashes(), split.counts, k))
 
 
-def digests(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A 64-bit name for each set, 0 for the empty set."""
-    sums = np.concatenate(([_U(0)], np.cumsum(W.mix64(tokens ^ _U(0xD1B54A32D192ED03)))))
+def _digests(tokens: np.ndarray, counts: np.ndarray, salt: int) -> np.ndarray:
+    sums = np.concatenate(([_U(0)], np.cumsum(W.mix64(tokens ^ _U(salt)))))
     end = np.cumsum(counts)
-    out = W.mix64(sums[end] - sums[end - counts] + counts.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+    return W.mix64(sums[end] - sums[end - counts] + counts.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+
+
+def checks(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The second digest of each set."""
+    return _digests(tokens + _U(0x9FB21C651E98DF25), counts, 0x8CB92BA72F3D8DD7).view(np.int64)
+
+
+def digests(tokens: np.ndarray, counts: np.ndarray, rule: Rule | None = None, shared: np.ndarray | None = None) -> np.ndarray:
+    """A name for each set, 0 for the empty set; ``shared``: the names, sorted, that need the second digest as well."""
+    out = _digests(tokens, counts, 0xD1B54A32D192ED03)
+    if rule and rule.name_bits < 64:
+        out = out >> _U(64 - rule.name_bits)
+    if shared is not None and len(shared):
+        found = np.isin(out.view(np.int64), shared)
+        out = np.where(found, W.mix64(out ^ W.mix64(checks(tokens, counts).view(np.uint64))), out)
     return np.where(counts > 0, out, _U(0)).view(np.int64)
 
 
@@ -191,25 +215,36 @@ def bitmaps(tokens: np.ndarray, counts: np.ndarray) -> list[bytes]:
     return [packed[a // 8 : (a + w) // 8] for a, w in zip(base.tolist(), width.tolist(), strict=True)]
 
 
-def _described(rule: Rule):
+def _described(rule: Rule, shared: np.ndarray | None):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in W.slices(batch.column("text")):
                 tokens, counts = token_sets(texts, rule.k)
                 ids = batch.column("doc_id").slice(texts.first, len(texts))
                 bits = pa.array(bitmaps(tokens, counts), pa.binary())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(counts.astype(np.int64)), pa.array(digests(tokens, counts)), bits], names=["doc_id", "n", "set", "bits"])
+                names, check = digests(tokens, counts, rule, shared), checks(tokens, counts)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(counts.astype(np.int64)), pa.array(names), pa.array(check), bits], names=["doc_id", "n", "set", "check", "bits"])
 
     return describe
 
 
-def _signed(rule: Rule):
+def fresh_sets(batches: Iterator[pa.RecordBatch], rule: Rule, shared: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch, np.ndarray]]:
+    """Each set of a task's texts once: (names, tokens, counts, rows, which of the rows these are)."""
+    seen: set[int] = set()
+    for batch in batches:
+        for texts in W.slices(batch.column("text")):
+            tokens, counts = token_sets(texts, rule.k)
+            names = digests(tokens, counts, rule, shared)
+            fresh = np.array([x not in seen and not seen.add(x) for x in names.tolist()], bool)
+            if fresh.any():
+                yield names[fresh], tokens[np.repeat(fresh, counts)], counts[fresh], batch.slice(texts.first, len(texts)), np.flatnonzero(fresh)
+
+
+def _signed(rule: Rule, shared: np.ndarray):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for texts in W.slices(batch.column("text")):
-                tokens, counts = token_sets(texts, rule.k)
-                signatures, owner = segment_signatures(tokens, counts, rule)
-                yield pa.RecordBatch.from_arrays([pa.array(signatures.view(np.int64)), pa.array(digests(tokens, counts)[owner])], names=["signature", "set"])
+        for names, tokens, counts, _, _ in fresh_sets(batches, rule, shared):
+            signatures, owner = segment_signatures(tokens, counts, rule)
+            yield pa.RecordBatch.from_arrays([pa.array(signatures.view(np.int64)), pa.array(names[owner])], names=["signature", "set"])
 
     return sign
 
@@ -244,7 +279,8 @@ def _hung(rule: Rule):
     """Rows (signature, set, n, bits) in order of signature to candidates (set, other)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
+        held: list[pa.RecordBatch] = []  # rows of the last signature, which may go on
+        last = None
 
         def work(rows: pa.Table) -> pa.RecordBatch:
             signature, sets, sizes = (rows[c].to_numpy() for c in ("signature", "set", "n"))
@@ -264,31 +300,28 @@ def _hung(rule: Rule):
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["set", "other"])
 
         for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = pa.concat_tables([rest, rows]) if rest is not None else rows
-            signature = rows["signature"].to_numpy()
-            cut = int(np.searchsorted(signature, signature[-1]))  # the last signature may go on
-            if cut:
-                yield work(rows.slice(0, cut))
-            rest = rows.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield work(rest)
+            if not batch.num_rows:
+                continue
+            signature = batch.column("signature").to_numpy()
+            if held and signature[-1] != last:
+                cut = int(np.searchsorted(signature, signature[-1]))
+                yield work(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = [batch.slice(cut)]
+            else:
+                held.append(batch)
+            last = signature[-1]
+        if held:
+            yield work(pa.Table.from_batches(held))
 
     return run
 
 
-def _tokens(rule: Rule):
+def _tokens(rule: Rule, shared: np.ndarray):
     """Sets and their tokens, each once for a task; tasks of later steps pass over what is left of repeated rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for texts in W.slices(batch.column("text")):
-                tokens, counts = token_sets(texts, rule.k)
-                names = digests(tokens, counts)
-                fresh = np.array([x not in seen and not seen.add(x) for x in names.tolist()], bool)  # rows may be repeated
-                kept = tokens[np.repeat(fresh, counts)]
-                yield pa.RecordBatch.from_arrays([pa.array(names[fresh]), lists(pa.array(kept.view(np.int64)), counts[fresh])], names=["set", "tokens"])
+        for names, tokens, counts, _, _ in fresh_sets(batches, rule, shared):
+            yield pa.RecordBatch.from_arrays([pa.array(names), lists(pa.array(tokens.view(np.int64)), counts)], names=["set", "tokens"])
 
     return run
 
@@ -434,8 +467,10 @@ def verify(families: DataFrame, best: DataFrame, tokens: DataFrame, rule: Rule,
     families: (set, family); best: (set, other), for each set the one it is most like;
     tokens: (set, tokens) of all sets in families.
     """
+    total = families.count()
     sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("m"))
-    small = families.join(sizes.where(F.col("m") <= BLOCK).select("family"), "family")
+    families = scratch.table(by_key(families, sizes.withColumn("key_rows", F.col("m")), "family", total), "sized")
+    small = families.where(F.col("m") <= BLOCK)
     tasks = small.select(F.col("family").alias("task"), F.lit(0).alias("side"), "set", F.col("set").alias("component"))
 
     def run(t: DataFrame) -> DataFrame:
@@ -445,20 +480,21 @@ def verify(families: DataFrame, best: DataFrame, tokens: DataFrame, rule: Rule,
         return map_arrow(dealt, _blocks_linked(rule), "a bigint, b bigint")
 
     links = scratch.table(run(tasks), "links")
-    large = scratch.table(families.join(sizes.where(F.col("m") > BLOCK), "family"), "large")
+    large = scratch.table(families.where(F.col("m") > BLOCK), "large")
     if large.isEmpty():
         return links
     # A core first: every set against the one most like it, hubs in blocks of their followers.
     pair = large.join(best, "set").where("set <> other").select("set", "other")
-    hubs = pair.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-    pair = pair.join(hubs, "other").withColumn("part", F.pmod(F.xxhash64("set", F.lit(1)), F.col("parts")))
+    hubs = pair.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"), F.count(F.lit(1)).alias("key_rows"))
+    pair = by_key(pair, hubs, "other", total).withColumn("part", F.pmod(F.xxhash64("set", F.lit(1)), F.col("parts")))
     star = pair.select(F.xxhash64("other", "part").alias("task"), F.lit(1).alias("side"), "set", F.col("set").alias("component"))
     hub = pair.select(F.xxhash64("other", "part").alias("task"), F.lit(2).alias("side"), F.col("other").alias("set"), F.col("other").alias("component")).distinct()
     first = scratch.table(run(star.unionByName(hub)), "links")
     named = large.join(components(first, scratch).withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     by_size = named.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
     cores = by_size.groupBy("family").agg(F.max(F.struct("n", "component")).alias("c"), F.sum("n").alias("members"))
-    cored = named.join(cores.select("family", F.col("c.component").alias("core"), F.col("c.n").alias("n_core"), "members"), "family")
+    cores = scratch.table(cores.select("family", F.col("c.component").alias("core"), F.col("c.n").alias("n_core"), "members", F.col("members").alias("key_rows")), "cores")
+    cored = by_key(named, cores, "family", total)
     outside = F.col("component") != F.col("core")
     count = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK))
     cored = cored.withColumn("outside", outside).withColumn("of_core", count(F.col("n_core"))).withColumn("of_rest", F.when(F.col("members") > F.col("n_core"), count(F.col("members") - F.col("n_core"))).otherwise(0))
@@ -476,56 +512,69 @@ def verify(families: DataFrame, best: DataFrame, tokens: DataFrame, rule: Rule,
 
 
 def named_sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Add ``set``, the digest that names each row's set."""
+    """Add ``check``, the second digest of each row's set."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in W.slices(batch.column("text")):
-                yield with_columns(batch.slice(texts.first, len(texts)), set=pa.array(digests(*token_sets(texts, rule.k))))
+                yield with_columns(batch.slice(texts.first, len(texts)), check=pa.array(checks(*token_sets(texts, rule.k))))
 
-    return map_arrow(docs, name, T.StructType([*docs.schema.fields, T.StructField("set", T.LongType())]))
+    return map_arrow(docs, name, T.StructType([*docs.schema.fields, T.StructField("check", T.LongType())]))
 
 
 def classes(docs: DataFrame, rule: Rule, named: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of documents (doc_id, text); ``named`` adds set and component."""
+    """(doc_id, n_shingles, component_id) for each row of documents (doc_id, text); ``named`` adds component and check."""
     scratch = Scratch(docs.sparkSession, "join")
     docs = docs.select("doc_id", "text")
-    signatures = map_arrow(docs.select("text"), _signed(rule), "signature bigint, set bigint")
-    return joined(docs, described(docs, rule, scratch), signatures, rule, scratch, named)
-
-
-def described(docs: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
-    """(doc_id, n, set, bits): sizes, names and bitmaps of the documents' sets, stored."""
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, set bigint, bits binary"
-    return scratch.table(map_arrow(docs, _described(rule), schema), "sets")
-
-
-def joined(docs: DataFrame, sets: DataFrame, signatures: DataFrame, rule: Rule, scratch: Scratch, named: bool = False) -> DataFrame:
-    """Classes from sets (doc_id, n, set, bits) and candidate rows (signature, set)."""
+    sets, shared = described(docs, rule, scratch)
+    signatures = map_arrow(docs.select("text"), _signed(rule, shared), "signature bigint, set bigint")
+    return joined(docs, sets, shared, signatures, rule, scratch, named)
+
+
+def described(docs: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, n, set, check, bits): sizes, names and bitmaps of the documents' sets, stored; and names that different sets shared."""
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, set bigint, check bigint, bits binary"
+    sets = scratch.table(map_arrow(docs, _described(rule, None), schema), "sets")
+    apart = sets.where("n > 0").groupBy("set").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b").select("set")
+    # One is expected where there are 6 x 10^9 sets, and 100,000 where there are 2 x 10^12.
+    shared = np.sort(apart.limit(BROADCAST_SETS + 1).toArrow()["set"].to_numpy())
+    if len(shared) > BROADCAST_SETS:
+        raise ValueError("too many sets share a name")
+    if len(shared):
+        sets = scratch.table(map_arrow(docs, _described(rule, shared), schema), "sets")
+    return sets, shared
+
+
+def joined(docs: DataFrame, sets: DataFrame, shared: np.ndarray, signatures: DataFrame, rule: Rule, scratch: Scratch, named: bool = False) -> DataFrame:
+    """Classes from sets (as ``described``) and candidate rows (signature, set)."""
     # Most signatures are of one set: those rows end here, and only the others get bitmaps.
     order = Window.partitionBy("signature").orderBy("set")
     near = signatures.withColumns({"before": F.lag("set").over(order), "after": F.lead("set").over(order)})
     fresh = F.col("before").isNull() | (F.col("before") != F.col("set"))
-    shared = near.where(fresh & (F.col("before").isNotNull() | F.col("after").isNotNull())).select("signature", "set")
-    shared = scratch.table(shared, "shared")
-    each = sets.where("n > 0").groupBy("set").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    marked = shared.join(each, "set").select("signature", "set", "n", "bits").repartition("signature").sortWithinPartitions("signature", "set")
+    common = near.where(fresh & (F.col("before").isNotNull() | F.col("after").isNotNull())).select("signature", "set")
+    common = scratch.table(common, "common")
+    # From here on a set is one row, however many documents have it.
+    each = sets.where("n > 0").groupBy("set").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    marked = common.join(each.select("set", "n", "bits"), "set").select("signature", "set", "n", "bits").repartition("signature").sortWithinPartitions("signature", "set")
     hung = map_arrow(marked, _hung(rule), "set bigint, other bigint")
     candidates = scratch.table(hung.groupBy("set", "other").agg(F.count(F.lit(1)).alias("n")), "candidates")
     sets = sets.drop("bits")
+    each = scratch.table(each.select("set", "least", "copies"), "each")
     families = scratch.table(components(candidates.select(F.col("set").alias("a"), F.col("other").alias("b")), scratch).select(F.col("node").alias("set"), F.col("component").alias("family")), "families")
     best = candidates.groupBy("set").agg(F.max_by("other", F.struct("n", "other")).alias("other"))
     # One text for each set of a family gives its tokens again.
-    wanted = sets.join(families.select("set"), "set").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
-    wanted = scratch.table(wanted, "wanted")
+    wanted = scratch.table(each.join(families.select("set"), "set").select(F.col("least").alias("doc_id")), "wanted")
     few = wanted.count() <= BROADCAST_SETS
-    ids = wanted.select("doc_id").distinct()
+    ids = wanted.distinct()
     texts = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    tokens = map_arrow(texts.select("text"), _tokens(rule), "set bigint, tokens array<bigint>")
+    tokens = map_arrow(texts.select("text"), _tokens(rule, shared), "set bigint, tokens array<bigint>")
     tokens = scratch.table(tokens.join(F.broadcast(families.select("set")) if few else families.select("set"), "set", "left_semi"), "tokens")
     links = verify(families, best, tokens, rule, scratch)
     linked_sets = components(links, scratch).withColumnRenamed("node", "set")
-    labelled = sets.join(linked_sets, "set", "left").withColumn("component", F.coalesce("component", "set"))
-    least = labelled.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
-    rows = labelled.join(least, "component", "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), *(["set", "component"] if named else []))
+    placed = scratch.table(each.join(linked_sets, "set", "left").withColumn("component", F.coalesce("component", "set")), "placed")
+    total = sets.count()
+    least = placed.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("key_rows"))
+    placed = by_key(placed.drop("least"), least, "component", total).withColumnRenamed("copies", "key_rows")
+    placed = scratch.table(placed, "classes")
+    rows = by_key(sets.withColumn("set", F.when(F.col("n") > 0, F.col("set"))), placed, "set", total)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *(["component", "check"] if named else []))

@@ -8,10 +8,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lodegrid.llm import minhash, set_join
+from lodegrid.llm import hot, minhash, set_join
 from lodegrid.llm.components import components
 from lodegrid.llm.scratch import Scratch
-from tests.llm.helpers import DOCS, clash, jaccard_classes, odd_docs
+from tests.llm.helpers import DOCS, clash, jaccard_classes, odd_docs, thue_morse
 
 
 def edited(rng, text, rate):
@@ -46,6 +46,47 @@ def test_large_families_are_worked_through_in_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == jaccard_classes(docs, 3, 90)
 
 
+@pytest.mark.parametrize("bits", [3, 7])
+def test_sets_that_share_a_name_are_told_apart(spark, bits):
+    rng = random.Random(31)
+    docs = families(rng, 40, [2, 6, 12], [0, 0.004, 0.01])
+    found = set_join.classes(spark.createDataFrame(docs, "doc_id bigint, text string"), set_join.Rule(3, 90, name_bits=bits))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == jaccard_classes(docs, 3, 90)
+
+
+def test_constructed_words_make_no_links(spark):
+    a, b = thue_morse(1024), thue_morse(1024, True)
+    docs = [(1, f"{a} x y z"), (2, f"{b} x y z"), (3, a), (4, b), (5, f"{a} x y z")]
+    found = set_join.classes(spark.createDataFrame(docs, "doc_id bigint, text string"), set_join.Rule(3, 90)).collect()
+    assert {r.doc_id: r.component_id for r in found} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+def test_bound_on_missed_links():
+    """Fewer segments than differing tokens: pairs without a common signature are as rare as proved."""
+    rng = np.random.default_rng(8)
+    rule, n, drawn = set_join.Rule(3, 90, odds=2.0), 600, 400
+    d = rule.differ(n)
+    missed = 0
+    for _ in range(drawn):
+        a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[d // 2 :], rng.integers(0, 1 << 62, d // 2).astype(np.uint64)]))
+        signatures, owner = set_join.segment_signatures(np.concatenate([a, b]), np.array([len(a), len(b)]), rule)
+        assert len(signatures[owner == 0]) < 3 * d
+        missed += not set(signatures[owner == 0].tolist()) & set(signatures[owner == 1].tolist())
+    assert missed / drawn < 1.2 * np.exp(-2.0)
+
+
+def test_hot_keys_join_as_any(spark, monkeypatch):
+    monkeypatch.setattr(hot, "LEAST", 5)
+    rows = [(i, None if i % 11 == 0 else i % 7 if i % 2 else 1000 + i) for i in range(400)]
+    n = collections.Counter(k for _, k in rows)
+    table = [(k, f"v{k}", c) for k, c in n.items() if k is not None and k % 5]
+    got = hot.by_key(spark.createDataFrame(rows, "id bigint, k bigint"), spark.createDataFrame(table, "k bigint, v string, key_rows bigint"), "k", 400).collect()
+    known = {k: v for k, v, _ in table}
+    assert sorted((r.id, r.k, r.v) for r in got if r.k is not None) == sorted((i, k, known.get(k)) for i, k in rows if k is not None)
+    assert [r.v for r in got if r.k is None] == [None] * n[None] and got[0].asDict().keys() == {"id", "k", "v"}
+
+
 def test_join_of_odd_rows(spark):
     docs = clash(spark.createDataFrame(odd_docs(), DOCS), "set", "n", "tokens", "component")
     rows = set_join.classes(docs, set_join.Rule(3, 90)).collect()
