@@ -41,26 +41,27 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodegrid.llm import blobs
 from lodegrid.llm import words as W
-from lodegrid.llm.arrow import lists, map_arrow, with_columns
+from lodegrid.llm.arrow import map_arrow, with_columns
 from lodegrid.llm.scratch import Scratch
 
 #: Share of the tokens from which a token or n-gram is broadcast; rarer ones are joined.
 KEEP = 1e-6
 #: Least count of a kept pair or triple.
 LEAST = 3
-#: Weights in one task of their join to the texts, and passes of that join (each shuffles that share of the texts' n-grams).
-JOIN_ROWS, PASSES = 250_000, 2
+#: Passes of the rarer weights' join to the texts: each shuffles that share of the texts' n-grams.
+PASSES = 2
 #: Most bits (as a power of 2) of a bitmap of keys.
 SIEVE_BITS = 27
 #: Weight of the shorter history, in tokens.
 PRIOR = 50.0
 END = int(W.mix64(np.array([0x454E44], np.uint64)).view(np.int64)[0])
-_COUNTED = 2_000_000
 
 
 def tokens(texts: W.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -70,35 +71,14 @@ def tokens(texts: W.Texts) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(hashes, np.cumsum(split.counts), END), split.counts + 1
 
 
-def _tally(parts: list[tuple[np.ndarray, ...]], names: list[str]) -> pa.RecordBatch:
-    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-    key = columns[0] if len(columns) == 1 else join_keys(*columns)
-    _, at, n = np.unique(key, return_index=True, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(c[at]) for c in columns] + [pa.array(n.astype(np.int64))], names=[*names, "n"])
+def _count(texts: DataFrame, keys_of, names: list[str], total: int, least: int = 1) -> DataFrame:
+    """(key, names..., n) of the keys that ``keys_of`` gives for the tokens of slices."""
 
+    def pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        for part in W.slices(batch.column("text")):
+            yield keys_of(*tokens(part))
 
-def _counted(keys_of, names: list[str]):
-    """Counts of the keys (columns ``names``) that ``keys_of`` gives for slices, added up in part."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            for texts in W.slices(batch.column("text")):
-                keys = keys_of(*tokens(texts))
-                held.append(keys)
-                n += len(keys[0])
-                if n > _COUNTED:
-                    yield _tally(held, names)
-                    held, n = [], 0
-        if n:
-            yield _tally(held, names)
-
-    return run
-
-
-def _count(texts: DataFrame, keys_of, *names: str) -> DataFrame:
-    schema = ", ".join(f"{c} bigint" for c in (*names, "n"))
-    return map_arrow(texts.select("text"), _counted(keys_of, list(names)), schema).groupBy(*names).agg(F.sum("n").alias("n"))
+    return blobs.count(texts.select("text"), pieces, join_keys if len(names) > 1 else lambda t: t, names, blobs.parts_for(total, texts), least)
 
 
 def join_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -153,19 +133,10 @@ def sieve(keys: DataFrame) -> Sieve:
     return Sieve(bits, bitmap)
 
 
-def _keyed(df: DataFrame, a: str, b: str) -> DataFrame:
-    """With the ``key`` that columns ``a`` and ``b`` have together."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield with_columns(batch, key=pa.array(join_keys(batch.column(a).to_numpy(), batch.column(b).to_numpy())))
-
-    return map_arrow(df, run, T.StructType([*df.schema.fields, T.StructField("key", T.LongType())]))
-
-
 def count_tokens(texts: DataFrame) -> DataFrame:
     """(key, n): how often the texts have each token."""
-    return _count(texts, lambda t, _: (t,), "key")
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return _count(texts, lambda t, _: (t,), ["token"], size // 32).select("key", "n")
 
 
 def _find(table: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -280,7 +251,7 @@ def learn(texts: DataFrame, scratch: Scratch) -> tuple[Automaton, DataFrame, Dat
         ok = common.value.has(t) & common.value.has(last)
         return last[ok], t[ok]
 
-    kept = scratch.table(_keyed(_count(texts, pair_of, "h", "w").where(F.col("n") >= LEAST), "h", "w"), "pair_counts")
+    kept = scratch.table(_count(texts, pair_of, ["h", "w"], total, LEAST), "pair_counts")
     scratch.release()
     paired = share(sieve(kept))
 
@@ -290,7 +261,7 @@ def learn(texts: DataFrame, scratch: Scratch) -> tuple[Automaton, DataFrame, Dat
         at = np.flatnonzero(_not_first(c) & ok & np.roll(ok, 1))
         return pair[at - 1], pair[at]
 
-    kept3 = scratch.table(_keyed(_count(texts, triple_of, "first", "second").where(F.col("n") >= LEAST), "first", "second"), "triple_counts")
+    kept3 = scratch.table(_count(texts, triple_of, ["first", "second"], total, LEAST), "triple_counts")
     scratch.release()
 
     # Probabilities, shorter histories first; failure weights; one weight for each n-gram.
@@ -349,10 +320,13 @@ def _scored(shared):
                 keys = np.concatenate([k[m] for k, m in rest])[order].view(np.uint64)
                 per = sum(np.add.reduceat(m.astype(np.int64), first) for _, m in rest)
                 rare, times, n_rare = _distinct(keys, per)
-                structs = pa.StructArray.from_arrays([pa.array(rare.view(np.int64)), pa.array(times)], names=["key", "times"])
+                packed = blobs.pack(np.repeat(np.arange(len(counts)), n_rare), {"keys": rare, "times": times.astype(np.int32)})
+                held = np.full(len(counts), -1, np.int64)
+                held[packed.column("part").to_numpy()] = np.arange(packed.num_rows)
+                held = pa.array(held, mask=held < 0)
                 yield with_columns(
                     batch.slice(texts.first, len(texts)), ("text",), n_tokens=pa.array(counts.astype(np.int64)), n_common=pa.array(np.add.reduceat(known.astype(np.int64), first)),
-                    base=pa.array(np.add.reduceat(base, first)), walk=pa.array(np.add.reduceat(model.walk(numbers, counts), first)), rare=lists(structs, n_rare),
+                    base=pa.array(np.add.reduceat(base, first)), walk=pa.array(np.add.reduceat(model.walk(numbers, counts), first)), rare_keys=packed.column("keys").take(held), rare_times=packed.column("times").take(held),
                 )
 
     return run
@@ -377,27 +351,116 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "lm")
     model, _, weights = learn(training, scratch)
     kept = sieve(weights.where("word = 0"))
-    rare_type = T.ArrayType(T.StructType([T.StructField("key", T.LongType()), T.StructField("times", T.LongType())]))
-    more = [T.StructField("n_tokens", T.LongType()), T.StructField("n_common", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("walk", T.DoubleType()), T.StructField("rare", rare_type)]
-    numbered = docs.drop(*[f.name for f in more], "rare_base", "rare_gain", "rare_known", "n_known", "train_tokens", "base_score", "score").withColumn("lm_row", F.monotonically_increasing_id())
+    more = [T.StructField(n, t()) for n, t in (("n_tokens", T.LongType), ("n_common", T.LongType), ("base", T.DoubleType), ("walk", T.DoubleType), ("rare_keys", T.BinaryType), ("rare_times", T.BinaryType))]
+    numbered = docs.drop(*[f.name for f in more], *RARE, "n_known", "train_tokens", "base_score", "score").withColumn("lm_row", F.monotonically_increasing_id())
     schema = T.StructType([f for f in numbered.schema.fields if f.name != "text"] + more)
     scored = scratch.table(map_arrow(numbered, _scored(spark.sparkContext.broadcast((model, kept))), schema), "scored")
     scratch.release()
-    tasks = max(spark.sparkContext.defaultParallelism, weights.count() // JOIN_ROWS + 1)
-    summed = lambda rows, times: rows.groupBy("lm_row").agg(*[F.sum(times * F.col(c)).alias(c) for c in ("rare_base", "rare_gain", "rare_known")])
-    weights = weights.select("key", F.col("base").alias("rare_base"), F.col("gain").alias("rare_gain"), F.col("word").alias("rare_known"))
-    parts = []
-    for k in range(PASSES):
-        own = F.pmod("key", F.lit(PASSES)) == k
-        rare = scored.select("lm_row", F.inline("rare")).where(own).repartition(tasks, "key").join(weights.where(own).repartition(tasks, "key").hint("shuffle_hash"), "key")
-        parts.append(scratch.table(summed(rare, F.col("times")), "sums"))
-        scratch.release()
-    sums = summed(reduce(DataFrame.unionByName, parts), F.lit(1))
-    rows = scored.drop("rare").join(sums, "lm_row", "left").withColumn("n_known", F.col("n_common") + F.coalesce("rare_known", F.lit(0)))
+    parts = blobs.parts_for(weights.count(), docs)
+    sums = [_looked_up(scored, weights, k, parts, scratch) for k in range(PASSES)]
+    sums = reduce(DataFrame.unionByName, sums).groupBy("lm_row").agg(*[F.sum(c).alias(c) for c in RARE])
+    rows = scored.drop("rare_keys", "rare_times").join(sums, "lm_row", "left").withColumn("n_known", F.col("n_common") + F.coalesce("rare_known", F.lit(0)))
     unknown = (F.col("n_tokens") - F.col("n_known")) * F.lit(-math.log10(model.space))
     return rows.withColumns({
         "train_tokens": F.lit(model.total).cast("bigint"), "base_score": F.col("base") + F.coalesce("rare_base", F.lit(0.0)) + unknown, "score": F.col("walk") + F.coalesce("rare_gain", F.lit(0.0)) + unknown,
-    }).drop("lm_row", "n_common", "base", "walk", "rare_base", "rare_gain", "rare_known")
+    }).drop("lm_row", "n_common", "base", "walk", *RARE)
+
+
+#: What weights add to a text: base probability, probability, and known tokens.
+RARE = ("rare_base", "rare_gain", "rare_known")
+
+
+def _looked_up(scored: DataFrame, weights: DataFrame, turn: int, parts: int, scratch: Scratch) -> DataFrame:
+    """(lm_row, RARE): the weights of texts' rarer n-grams, of each ``PASSES``-th part.
+
+    Both sides go to parts by key.  A part's weights come first and are held; the keys of some
+    texts at a time (``base``: the first one's number) are looked up there and added up by text.
+    """
+
+    def mine(part: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(part % PASSES == turn)
+
+    def deal_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column("key").to_numpy()
+            order = np.argsort(key.view(np.uint64))
+            part = blobs.part_of(key[order], parts)
+            order, part = order[mine(part)], part[mine(part)]
+            values = {"keys": key, "times": batch.column("word").to_numpy().astype(np.int32), "base_p": batch.column("base").to_numpy(), "gain": batch.column("gain").to_numpy()}
+            yield blobs.pack(part, {n: v[order] for n, v in values.items()}, base=-1)
+
+    def deal_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, base = [], 0, -1
+
+        def flush() -> pa.RecordBatch:
+            keys, rows, times = (np.concatenate(c) for c in zip(*held, strict=True))
+            part = blobs.part_of(keys, parts)
+            own = mine(part)
+            own = own[np.argsort(part[own], kind="stable")]
+            packed = blobs.pack(part[own], {"keys": keys[own], "times": times[own], "base_p": (rows[own] - base).astype("<i4")}, base=base)
+            return with_columns(packed, gain=pa.nulls(packed.num_rows, pa.binary()))
+
+        for batch in batches:
+            batch = batch.filter(batch.column("rare_keys").is_valid())
+            rows = batch.column("lm_row").to_numpy()
+            for a, b in blobs.equal(rows >> 33):
+                if held and (n > blobs.BATCH_KEYS // 2 or rows[a] >> 33 != base >> 33):
+                    yield flush()
+                    held, n = [], 0
+                base = int(rows[a]) if not held else base
+                column = batch.column("rare_keys").slice(a, b - a)
+                each = pa.compute.binary_length(column).to_numpy() // 8
+                held.append((blobs.unpack(column, "<i8"), np.repeat(rows[a:b], each), blobs.unpack(batch.column("rare_times").slice(a, b - a), "<i4")))
+                n += len(held[-1][0])
+        if held:
+            yield flush()
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _by_part(batches):
+            own = [np.concatenate([blobs.unpack(b.column(c), t) for b in rows[0]]) if rows[0] else np.empty(0, t) for c, t in (("keys", "<i8"), ("times", "<i4"), ("base_p", "<f8"), ("gain", "<f8"))]
+            order = np.argsort(own[0])
+            known, word, base_p, gain = (x[order] for x in own)
+            for b in rows[1]:
+                for i in range(b.num_rows):
+                    one = b.slice(i, 1)
+                    at = _find(known, blobs.unpack(one.column("keys"), "<i8"))
+                    hit = np.flatnonzero(at >= 0)
+                    if not len(hit):
+                        continue
+                    at, times = at[hit], blobs.unpack(one.column("times"), "<i4")[hit]
+                    text, of = np.unique(blobs.unpack(one.column("base_p"), "<i4")[hit], return_inverse=True)
+                    base = one.column("base")[0].as_py()
+                    values = {"rows": text.astype(np.int32), "rare_base": np.bincount(of, times * base_p[at]), "rare_gain": np.bincount(of, times * gain[at]), "rare_known": np.bincount(of, times * word[at]).astype(np.int32)}
+                    yield blobs.pack(np.full(len(text), base), values)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for base, rows in blobs.runs(batches):
+            text, of = np.unique(np.concatenate([blobs.unpack(b.column("rows"), "<i4") for b in rows]), return_inverse=True)
+            sums = [np.bincount(of, np.concatenate([blobs.unpack(b.column(c), t) for b in rows])) for c, t in zip(RARE, ("<f8", "<f8", "<i4"), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(base + text.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64))], names=["lm_row", *RARE])
+
+    schema = "part bigint, base bigint, keys binary, times binary, base_p binary, gain binary"
+    both = map_arrow(weights, deal_weights, schema).unionByName(map_arrow(scored.select("lm_row", "rare_keys", "rare_times"), deal_texts, schema))
+    found = map_arrow(blobs.dealt(both, -(-parts // PASSES), "base"), look_up, blobs.schema(["rows", *RARE]))
+    flushes = scored.select((F.col("lm_row") / F.lit(1 << 33)).cast("bigint").alias("p")).distinct().count()
+    sums = scratch.table(map_arrow(blobs.dealt(found, flushes), add_up, "lm_row bigint, rare_base double, rare_gain double, rare_known bigint"), "sums")
+    scratch.release()
+    return sums
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[list[pa.RecordBatch], Iterator[pa.RecordBatch]]]]:
+    """For each part its rows of weights (base -1), and its rows of texts one after another."""
+    held: list[pa.RecordBatch] = []
+    part = None
+    for batch in batches:
+        parts, base = batch.column("part").to_numpy(), batch.column("base").to_numpy()
+        for a, b in blobs.equal(parts, base < 0):
+            if parts[a] != part:
+                held, part = [], parts[a]
+            if base[a] < 0:
+                held.append(batch.slice(a, b - a))
+            else:
+                yield int(part), (held, iter([batch.slice(a, b - a)]))
 
 
 def perplexity(score: float, n_tokens: int) -> float:
