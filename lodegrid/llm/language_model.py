@@ -356,7 +356,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     schema = T.StructType([f for f in numbered.schema.fields if f.name != "text"] + more)
     scored = scratch.table(map_arrow(numbered, _scored(spark.sparkContext.broadcast((model, kept))), schema), "scored")
     scratch.release()
-    parts = blobs.parts_for(weights.count(), docs)
+    parts = blobs.parts_for(model.total, docs)
     sums = [_looked_up(scored, weights, k, parts, scratch) for k in range(PASSES)]
     sums = reduce(DataFrame.unionByName, sums).groupBy("lm_row").agg(*[F.sum(c).alias(c) for c in RARE])
     rows = scored.drop("rare_keys", "rare_times").join(sums, "lm_row", "left").withColumn("n_known", F.col("n_common") + F.coalesce("rare_known", F.lit(0)))
