@@ -40,10 +40,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", "text")
-    found = decontamination.match(docs, items)
+    found = decontamination.match(docs, items, near=1)
     joined = F.array_join(F.array_sort("match_items"), ",")
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size("match_items").cast("bigint").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+        "doc_id", "n_words", "n_hit", F.size("match_items").cast("bigint").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("bigint").alias("n_near_items"),
     )
 
 

@@ -78,14 +78,21 @@ WITH w AS (
   FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, ns WHERE len(ws) >= n)
 ), hits AS (
   SELECT doc_id, i, iw.n, item_id FROM dw JOIN iw ON dw.win = iw.win AND dw.n = iw.n
+), gaps AS (
+  SELECT doc_id, n, array_to_string(list_concat(ws[i : i + p - 1], ws[i + p + 1 : i + n]), ' ') AS win
+  FROM (SELECT doc_id, ws, n, i, unnest(range(1, n)) AS p FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 1)) AS i FROM w, ns WHERE len(ws) > n))
+), near AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (
+    SELECT doc_id, item_id FROM hits UNION ALL SELECT doc_id, item_id FROM gaps JOIN iw ON gaps.win = iw.win AND gaps.n = iw.n
+  ) GROUP BY 1
 ), per AS (
   SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY 1
 ), pos AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY 1
 )
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM w LEFT JOIN per USING (doc_id) LEFT JOIN pos USING (doc_id)
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near_items
+FROM w LEFT JOIN per USING (doc_id) LEFT JOIN pos USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 OP6 = r"""

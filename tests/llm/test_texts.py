@@ -196,22 +196,52 @@ def matched(docs, items, size):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block", [500_000, 5])
-def test_matches_by_hand(spark, block):
+@pytest.mark.parametrize("block,vocabulary", [(500_000, 2_000_000), (5, 2_000_000), (500_000, 1)])
+def test_matches_by_hand(spark, block, vocabulary):
     rng = random.Random(5)
     items = [(i, prose(rng, n, 6)) for i, n in enumerate([3, 9, 10, 12, 30, 1])] + [(7, ""), (8, None), (9, "Ünï x"), (None, "noid"), (3, prose(rng, 11, 6))]
     docs = [(i, prose(rng, 80, 6)) for i in range(30)] + [(r[0], r[1]) for r in odd_docs()] + [(200, "a ünï, X! b"), (201, items[4][1].upper() + ". " + items[4][1]), (202, "noid")]
     frame = clash(spark.createDataFrame(docs, "doc_id bigint, text string"), "term", "item", "n_hit", "match_spans")
-    found = decontamination.match(frame, spark.createDataFrame(items, "item_id bigint, text string"), 10, None, block).collect()
+    found = decontamination.match(frame, spark.createDataFrame(items, "item_id bigint, text string"), 10, 1, block, vocabulary).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r.match_items) for r in found), key=str) == matched(docs, items, 10)
     assert all(sum(b - a for a, b in r.match_spans) == r.n_hit for r in found)
+    close = sorted(((r.doc_id, r.near_items) for r in found), key=str)
+    assert close == sorted(near_matches(docs, items, 10, 1), key=str) and sum(len(x) for _, x in close) > sum(len(r.match_items) for r in found)
+
+
+def near_matches(docs, items, size, slop):
+    """Items of which a window's words stand in order among so many words more."""
+
+    def inside(window, own):
+        return any(window[0] == own[a] and in_order(window, own[a : a + len(window) + slop]) for a in range(len(own)))
+
+    def in_order(window, own):
+        rest = iter(own)
+        return all(w in rest for w in window)
+
+    out = []
+    for i, text in docs:
+        own, found = plain_words(text), set()
+        for name, x in items:
+            words_ = plain_words(x)
+            if any(inside(words_[j : j + size], own) for j in range(max(1, len(words_) - size + 1) if words_ else 0)):
+                found.add("" if name is None else str(name))
+        out.append((i, sorted(found)))
+    return out
+
+
+def test_constructed_words_match_themselves_alone(spark):
+    a, b = thue_morse(1024), thue_morse(1024, True)
+    docs = spark.createDataFrame([(1, f"x {a} y"), (2, f"x {b} y")], "doc_id bigint, text string")
+    found = decontamination.match(docs, spark.createDataFrame([(7, a)], "item_id bigint, text string")).collect()
+    assert {r.doc_id: r.n_hit for r in found} == {1: 1, 2: 0}
 
 
 def test_proximity(spark):
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id bigint, text string")
     docs = spark.createDataFrame([(1, "alpha x beta gamma"), (2, "alpha x y z beta gamma"), (3, "beta alpha gamma"), (4, "alpha beta gamma"), (5, "alpha"), (6, "gamma alpha beta alpha q beta q gamma")], "doc_id bigint, text string")
-    near = {r.doc_id: r.n_hit for r in decontamination.match(docs, items, 10, 2).collect()}
-    assert near == {1: 4, 2: 0, 3: 0, 4: 3, 5: 0, 6: 5}
+    near = {slop: {r.doc_id for r in decontamination.match(docs, items, 10, slop).collect() if r.near_items == ["1"]} for slop in (0, 1, 2, 3)}
+    assert near == {0: {4}, 1: {1, 4}, 2: {1, 4, 6}, 3: {1, 2, 4, 6}}
 
 
 def test_empty_tables(spark):
