@@ -22,7 +22,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents of one known language; ``lang`` becomes what the text is found to be.
 
     The model learns from all labelled documents.  Rejected are texts without a letter and
-    those of which no language makes up half.
+    those of which no language makes up half.  Null, empty and blank texts are rejected; null
+    lang or id is no reason to be; very long texts are taken whole; repeated rows go or stay together;
+    without any label, or of an empty table, nothing is left; other columns are dropped.
     """
     model = language.fit(docs)
     found = language.confident(language.predict(docs, model))
@@ -32,7 +34,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the least id of each group that links at a Jaccard similarity of 0.8 over 5-word shingles.
 
-    Of repeated rows (equal id and text) one stays.  Rows whose id is null or repeated go by their own sets.
+    Of repeated rows (equal id and text) one stays.  Rows whose id is null or repeated go by their own sets;
+    of a group of null ids alone one stays.  Null, empty and blank texts are like nothing and stay; very long
+    texts are compared whole; an empty table gives an empty one; other columns are dropped.
     """
     scratch = Scratch(spark, "pipeline")
     rule = set_join.Rule(k=5, percent=80)
@@ -59,20 +63,33 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that hold no window of a benchmark item."""
+    """Keep documents that hold no window of a benchmark item.
+
+    Null and empty texts hold none and stay; a very long text is searched whole; repeated rows and null ids are
+    rows as any; an empty benchmark drops nothing; an empty table gives an empty one; other columns are dropped.
+    """
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out documents so that sources meet their targets; clean prose is drawn first."""
+    """Repeat or leave out documents so that sources meet their targets; clean prose is drawn first.
+
+    Documents without a word (null, empty, blank) have no size and are left out; null is a source of its own;
+    ties and repeated rows (equal keys) go or stay together; a very long text may end a source's budget alone;
+    an empty table gives an empty one; other columns are dropped.
+    """
     odd = F.expr(r"regexp_count(text, '[^\\p{L}\\x20\\x0A.,]') / greatest(length(text), 1)")
     mix = mixing.mix(docs, F.when(odd <= 0.1, 2.0).otherwise(0.5))
     return mixing.repeat(mix, COLUMNS)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Give every row its shard and its slot there."""
-    return sharding.shard(docs.select(*COLUMNS), SHARDS)
+    """Give every row its shard and its slot there.
+
+    Rows of one id share a shard, null ids too; repeated rows have slots of their own; null and very long texts
+    are rows as any; an empty table gives an empty one; other columns are dropped.
+    """
+    return sharding.shard(docs.select(*COLUMNS), SHARDS, order=["text"])
 
 
 STAGES = [("language_id", language_id), ("ngram_jaccard_join", near_duplicates), ("decontamination", decontaminated), ("mixing", mixed), ("sharding", sharded)]

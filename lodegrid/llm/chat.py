@@ -1,12 +1,11 @@
 """Chat formatting by prefix-target expansion, in DataFrame expressions alone.
 
-Every assistant turn becomes an example: all turns before it are its context and
-only that reply is trainable.  The contexts of one conversation are prefixes of
-one another, so the formatted conversation is stored once, in pages of at most
-``PAGE_TURNS`` turn numbers, and an example is three offsets into it: where its
-context ends and where its trainable reply starts and ends.  ``render`` writes
-examples out as texts for those who want them so; the stored form grows with the
-turns, not with their square.
+Every assistant turn is exploded into an example, a row of its own (``examples``): its
+target, the only trainable text, the loss mask within it, and its context, all turns
+before it.  The contexts of one conversation are prefixes of one another, so the formatted
+conversation is stored once, in pages of at most ``PAGE_TURNS`` turn numbers, and an
+example names its context by where it ends there.  ``render`` writes contexts out as texts
+for those who want them so; the stored form grows with the turns, not with their square.
 
 Template: ``### role: text</turn>`` and a line feed.  Inside roles and texts a
 backslash is doubled, ``###`` becomes ``\\###`` and ``</turn>`` becomes
@@ -15,7 +14,8 @@ backslash is doubled, ``###`` becomes ``\\###`` and ``</turn>`` becomes
 Defined cases: null text or role is empty; turns are ordered by number (null
 first), then role, then text, so repeated rows stay side by side and count each;
 a null conv_id is a conversation of its own; a conversation without an assistant
-has pages and no example; an empty table gives an empty result.
+has pages and no example; a very long text is in one page with its turn; an empty table
+gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -82,8 +82,10 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
 
 def examples(pages: DataFrame) -> DataFrame:
-    """One row for each example: conv_id, page, context_end, loss_start, loss_end."""
-    return pages.select("conv_id", "page", F.inline("examples"))
+    """One row for each assistant turn: conv_id, page, context_end, target (the turn, formatted), and the loss mask loss_at and loss_chars in it."""
+    x = pages.select("conv_id", "page", "base", "text", F.inline("examples"))
+    target = F.substring("text", (F.col("context_end") - F.col("base") + 1).cast("int"), (F.col("loss_end") - F.col("context_end") + len(END)).cast("int"))
+    return x.select("conv_id", "page", "context_end", target.alias("target"), (F.col("loss_start") - F.col("context_end")).alias("loss_at"), (F.col("loss_end") - F.col("loss_start")).alias("loss_chars"))
 
 
 def render(pages: DataFrame) -> DataFrame:
@@ -103,24 +105,21 @@ def render(pages: DataFrame) -> DataFrame:
     )
 
 
-def read_back(pages: DataFrame) -> DataFrame:
-    """Digests of conversations from their stored pages: turns from the template, replies from the examples."""
+def read_back(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """Digests of conversations: turns from their stored pages by the template, replies from their examples by the loss mask."""
     parts = F.split("text", END, -1)
     parts = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
     pattern = r"(?s)^### ((?:[^\\:]|\\.)*): (.*)$"
     turns = F.transform(parts, lambda p: F.concat(unescape(F.regexp_extract(p, pattern, 1)), F.lit("\n"), unescape(F.regexp_extract(p, pattern, 2)), F.lit("\n")))
-    loss = F.transform("examples", lambda x: unescape(F.substring("text", (x["loss_start"] - F.col("base") + 1).cast("int"), (x["loss_end"] - x["loss_start"]).cast("int"))))
-    page = pages.select(
-        "conv_id", "page", F.size(parts).cast("bigint").alias("n"), F.array_join(turns, "").alias("turns"), F.array_join(loss, "").alias("loss"),
-        F.length("text").cast("bigint").alias("chars"), F.size("examples").cast("bigint").alias("examples"),
-        F.aggregate("examples", F.lit(0).cast("bigint"), lambda a, x: a + x["loss_end"] + len(END)).alias("example_chars"),
-    )
-    whole = page.groupBy("conv_id").agg(
-        F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.sum("examples").alias("n_examples"), F.sum("example_chars").alias("example_chars"),
-        F.array_sort(F.collect_list(F.struct("page", "turns", "loss"))).alias("pages"),
-    )
-    joined = lambda field: F.array_join(F.transform("pages", lambda p: p[field]), "")
-    return whole.select(
-        "conv_id", "n_turns", F.sha2(joined("turns"), 256).alias("turns_sha256"), F.length(joined("loss")).cast("bigint").alias("loss_chars"),
-        F.sha2(joined("loss"), 256).alias("loss_sha256"), "formatted_chars", "n_examples", "example_chars",
+    page = pages.select("conv_id", "page", F.size(parts).cast("bigint").alias("n"), F.array_join(turns, "").alias("turns"), F.length("text").cast("bigint").alias("chars"))
+    whole = page.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.array_sort(F.collect_list(F.struct("page", "turns"))).alias("pages"))
+    loss = unescape(F.substring("target", (F.col("loss_at") + 1).cast("int"), F.col("loss_chars").cast("int")))
+    replies = found.select(F.col("conv_id").alias("of"), "context_end", loss.alias("loss"), (F.col("context_end") + F.length("target")).alias("chars")).groupBy("of").agg(
+        F.count(F.lit(1)).alias("n_examples"), F.sum("chars").alias("example_chars"), F.array_sort(F.collect_list(F.struct("context_end", "loss"))).alias("replies")
+    )
+    joined = lambda rows, field: F.coalesce(F.array_join(F.transform(rows, lambda p: p[field]), ""), F.lit(""))
+    zero = F.lit(0).cast("bigint")
+    return whole.join(replies, F.col("conv_id").eqNullSafe(F.col("of")), "left").select(
+        "conv_id", "n_turns", F.sha2(joined("pages", "turns"), 256).alias("turns_sha256"), F.length(joined("replies", "loss")).cast("bigint").alias("loss_chars"),
+        F.sha2(joined("replies", "loss"), 256).alias("loss_sha256"), "formatted_chars", F.coalesce("n_examples", zero).alias("n_examples"), F.coalesce("example_chars", zero).alias("example_chars"),
     )

@@ -4,19 +4,21 @@ A language is a distribution over letter 3-grams (of UTF-8 bytes, hashed to
 ``BUCKETS``), learned from labelled documents.  A document is a mixture: its
 3-grams come from several languages in unknown proportions, which
 expectation-maximisation estimates over the whole text.  Sets of languages are
-compared by penalised likelihood: one language alone, the best two, and so on up
-to ``MOST``; a larger set has to raise the log-likelihood by ``PENALTY`` x ln(n)
+compared by penalised likelihood: one language alone, the best two, and so on as long as a
+larger set could win; a larger set has to raise the log-likelihood by ``PENALTY`` x ln(n)
 for each language more (n: 3-grams, thinned by 3, as neighbours overlap).
 
 The model is fitted on a bounded sample: about ``SAMPLE`` documents of each
 language, chosen by a hash of their ids.  It has BUCKETS x languages numbers, so
-its size doesn't depend on the corpus.  Documents never move between tasks.
+its size doesn't depend on the corpus; of more than ``LANGUAGES`` languages none is
+learned (ValueError), as the numbers are held by the driver and each worker.  Documents never move between tasks.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; a
 text with letters but no usable 3-gram gets the most frequent language of the
 sample with its share as the score; without any labelled document all texts are
-``und``; ties go to the language that sorts first; an empty table gives an empty
-result; other columns stay.
+``und``; ties go to the language that sorts first; repeated rows count and are predicted
+each; very long texts are taken whole; an empty table gives an empty result; other columns
+stay, those of the same names as new ones being replaced.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ from lodegrid.llm.arrow import lists, map_arrow, with_columns
 BUCKETS = 1 << 16
 #: Labelled documents of each language that the model is fitted on, near enough.
 SAMPLE = 2_000
+#: Languages at most: 256 KB each.
+LANGUAGES = 1_000
 #: How much likelihood each further language of a document has to earn.
 PENALTY = 2.0
 #: Steps of the mixture of all languages, which ranks them; change of proportions at which a set's mixture is done, and steps at most.
@@ -158,7 +162,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model from documents (doc_id, text, lang) with a language; None without any."""
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row for each language
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     if not sizes:
         return None
     limit = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n))]), F.col("lang"))

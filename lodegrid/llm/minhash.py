@@ -16,8 +16,8 @@ sorted by itself and gets the first document of the next one as a guest.
 Defined cases: null text is empty; a text without words has no shingle and the
 fingerprint of the empty set (all bytes ff), equal to itself alone; one of fewer
 words than a shingle has its whole sequence as one; equal ids (repeated rows) follow
-one another by a hash of their texts; a lone document is its own successor; an empty
-table gives an empty result.
+one another by a hash of their texts; a lone document is its own successor; very long texts
+are taken whole; an empty table gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -167,13 +167,14 @@ def _pairs(rows: pa.Table, k: int) -> Iterator[pa.RecordBatch]:
         edited.append(texts[i][: len(texts[i]) - n] + texts[i + 1][:n])
     plain = fingerprint_bytes(signatures(rows["text"], k))
     other = fingerprint_bytes(signatures(pa.array(edited), k))
+    check = np.concatenate([set_join.checks(*set_join.token_sets(part, k)) for part in W.slices(rows["text"])])[own]
     yield pa.RecordBatch.from_arrays(
         [
             rows["doc_id"].combine_chunks().take(pa.array(own)), pa.array([len(texts[i]) for i in own.tolist()], pa.int64()),
             pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited]), pa.array(_hex(plain[own])), pa.array(_hex(other)),
-            pa.array(likeness(plain[own], other)), pa.array(likeness(plain[own], plain[own + 1])),
+            pa.array(likeness(plain[own], other)), pa.array(likeness(plain[own], plain[own + 1])), pa.array(check),
         ],
-        names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+        names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "check"],
     )
 
 
@@ -189,12 +190,25 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 
 def against_edits(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """Fingerprints of documents, of their edited texts, and their likeness to those and to the next document's."""
+    """Fingerprints of documents, of their edited texts, their likeness to those and to the next document's, and ``check``, the digest of their shingles."""
     ids = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)).cast("bigint")).alias("doc_id"))
     ranged = ids.repartitionByRange(min(RANGES, max(1, -(-ids.count() // RANGE_ROWS))), "doc_id").groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("first"))
     firsts = sorted(r["first"] for r in ranged.select("first").collect())
     guests = [(x, i - 1 if i else len(firsts) - 1) for i, x in enumerate(firsts)]
     placed = map_arrow(docs.select("doc_id", "text"), _placed(firsts[1:], guests), "range bigint, guest tinyint, doc_id bigint, text string")
-    ordered = placed.repartition("range").sortWithinPartitions("range", "guest", "doc_id", F.xxhash64("text"))
-    schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, len(firsts))
+    ordered = placed.repartition(tasks, "range").sortWithinPartitions("range", "guest", "doc_id", F.xxhash64("text"))
+    schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, check bigint"
     return map_arrow(ordered, _compared(k), schema)
+
+
+def with_classes(docs: DataFrame, percent: int = 80, k: int = SHINGLE) -> DataFrame:
+    """``against_edits``, and for each row near_class, the least doc_id of its class of ``near_duplicates``."""
+    scratch = Scratch(docs.sparkSession, "fingerprints")
+    compared = scratch.table(against_edits(docs, k), "compared")
+    scratch.release()
+    found = near_duplicates(docs, percent, k, named=True)
+    # The class depends on the id and the shingles alone, so repeated rows are one here.
+    found = found.select(F.col("doc_id").cast("bigint").alias("class_id"), F.col("check").alias("class_check"), F.col("component_id").alias("near_class")).distinct()
+    joined = compared.join(scratch.table(found, "classes"), F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("check") == F.col("class_check")), "left")
+    return joined.drop("class_id", "class_check", "check")

@@ -34,8 +34,9 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("\\### Assistant: </turn> ok").alias("text"),
     )
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    pages = Scratch(spark, "chat").table(chat.format_conversations(turns), "pages")
-    return chat.read_back(pages)
+    scratch = Scratch(spark, "chat")
+    pages = scratch.table(chat.format_conversations(turns), "pages")
+    return chat.read_back(pages, scratch.table(chat.examples(pages), "examples"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +50,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.against_edits(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return minhash.with_classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,13 @@ algorithm (Lamping and Veach, 2014) is a fold over a sequence: a 64-bit linear
 congruential generator, kept as DECIMAL(20) because SQL integers don't wrap.
 
 Slots count each shard's rows from 0 without a gap.  They don't need a shard in
-one task: rows are numbered within sub-shards, whose counts are added up.
+one task: rows are numbered within sub-shards, whose counts are added up.  A sub-shard is
+chosen by the key and the columns that order its rows, so rows of one key but different
+content are spread too.  Rows move once, to the tasks that write their shards.
 
 Defined cases: a null key counts as hash 42 (that of Spark's xxhash64 of null);
 null text has 0 bytes and checksum 0; equal keys (repeated rows) share a shard and
-get slots of their own; an empty table gives an empty result; other columns stay, those of
+get slots of their own; very long texts are rows as any; an empty table gives an empty result; other columns stay, those of
 the same names as new ones being replaced.
 """
 
@@ -19,8 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows numbered together.
-SLOT_ROWS = 4_096
+#: Rows numbered together, and rows in a task, near enough.
+SLOT_ROWS, TASK_ROWS = 4_096, 16_384
 
 
 def jump(key: Column | str, shards: int) -> Column:
@@ -53,13 +55,16 @@ def shard(docs: DataFrame, shards: int = 24, key: str = "doc_id", order: list[st
     """
     docs = docs.drop("shard", "sub_shard", "slot", "slot_base", "grown_shard")
     part = jump(key, shards)
-    sub_of = lambda n: F.pmod(F.xxhash64(F.col(key), F.lit("slot")), F.lit(n))
-    ids = docs.select(F.col(key))
-    n = max(1, -(-ids.count() // (shards * SLOT_ROWS)))
+    content = [F.col(c) for c in (key, *(order or []))]
+    sub_of = lambda n: F.pmod(F.xxhash64(*content, F.lit("slot")), F.lit(n))
+    ids = docs.select(*content)
+    total = ids.count()
+    n = max(1, -(-total // (shards * SLOT_ROWS)))
     counts = ids.select(part.alias("shard"), sub_of(n).alias("sub_shard")).groupBy("shard", "sub_shard").count()
     below = Window.partitionBy("shard").orderBy("sub_shard").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("shard", "sub_shard", F.coalesce(F.sum("count").over(below), F.lit(0)).alias("slot_base"))
     placed = docs.withColumns({"shard": part, "sub_shard": sub_of(n), "grown_shard": jump(key, shards + 1)})
+    placed = placed.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_ROWS)), "shard", "sub_shard")
     numbered = Window.partitionBy("shard", "sub_shard").orderBy(key, *(order or []))
     rows = placed.withColumn("slot", F.row_number().over(numbered).cast("bigint") - 1)
-    return rows.join(base, ["shard", "sub_shard"]).withColumn("slot", F.col("slot") + F.col("slot_base")).drop("sub_shard", "slot_base")
+    return rows.join(base, ["shard", "sub_shard"]).withColumn("slot", F.col("slot") + F.col("slot_base")).select(*docs.columns, "shard", "slot", "grown_shard")

@@ -128,10 +128,14 @@ def expected_chat():
 def test_chat_round_trip(spark):
     turns = clash(spark.createDataFrame(CHAT, TURNS), "page", "base")
     pages = chat.format_conversations(turns)
-    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read_back(pages).collect()}
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read_back(pages, chat.examples(pages)).collect()}
     assert got == expected_chat()
     assert pages.where("conv_id = 6").count() == 4
-    assert chat.read_back(chat.format_conversations(turns.limit(0))).count() == 0
+    none = chat.format_conversations(turns.limit(0))
+    assert chat.read_back(none, chat.examples(none)).count() == 0
+    long = spark.createDataFrame([(1, 0, "user", "x" * 300_000), (1, 1, "assistant", "</turn>\\" * 100_000)], TURNS)
+    r = chat.read_back(chat.format_conversations(long), chat.examples(chat.format_conversations(long))).first()
+    assert r.loss_chars == 800_000 and r.loss_sha256 == hashlib.sha256(("</turn>\\" * 100_000).encode()).hexdigest()
 
 
 def test_examples_are_prefixes_and_replies(spark):
@@ -141,12 +145,10 @@ def test_examples_are_prefixes_and_replies(spark):
         whole[r.conv_id] = whole.get(r.conv_id, "") + r.text
     rows = chat.examples(pages).collect()
     assert len(rows) == sum(r[2] == "assistant" for r in CHAT)
+    shown = {(r.conv_id, r.loss_start): r for r in chat.render(pages).collect()}
     for r in rows:
         text = whole[r.conv_id]
         assert text[: r.context_end].endswith("</turn>\n") or r.context_end == 0
-        assert re.match(r"### assistant: $", text[r.context_end : r.loss_start]) and text[r.loss_end :].startswith("</turn>\n")
-    shown = {(r.conv_id, r.loss_start): r for r in chat.render(pages).collect()}
-    for r in rows:
-        x = shown[(r.conv_id, r.loss_start)]
-        assert x.context == whole[r.conv_id][: r.context_end] and x.target == whole[r.conv_id][r.context_end : r.loss_end] + "</turn>\n"
-        assert x.loss_text == whole[r.conv_id][r.loss_start : r.loss_end]
+        assert r.target == text[r.context_end : r.context_end + len(r.target)] and re.match(r"### assistant: $", r.target[: r.loss_at]) and r.target[r.loss_at + r.loss_chars :] == "</turn>\n"
+        x = shown[(r.conv_id, r.context_end + r.loss_at)]
+        assert x.context == text[: r.context_end] and x.target == r.target and x.loss_text == r.target[r.loss_at : r.loss_at + r.loss_chars]

@@ -177,9 +177,40 @@ def test_edits_by_hand(spark, monkeypatch, rows):
         following = texts[order[(order.index(r.doc_id) + 1) % len(order)]] | (texts[r.doc_id] if sum(d[0] == r.doc_id for d in docs) > 1 else set())
         possible = {hashlib.sha256((t[: len(t) - len(t) // 4] + f[: len(t) // 4]).encode()).hexdigest() for t in texts[r.doc_id] for f in following}
         assert r.edited_sha256 in possible and r.n_chars in {len(t) for t in texts[r.doc_id]}
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        marks.setdefault(r.fingerprint, r.doc_id)
+        marks.setdefault(r.doc_id, set()).add(r.fingerprint)
+    # Likeness by hand: equal bytes of the fingerprints, less those equal by chance; fingerprints of edited texts alone.
+    like = lambda a, b: min(1, max(0, (np.mean([x == y for x, y in zip(bytes.fromhex(a), bytes.fromhex(b), strict=True)]) - 1 / 256) / (255 / 256)))
+    edits = {}
+    for i in order:
+        for t in texts[i]:
+            for f in set().union(*texts.values()):
+                e = t[: len(t) - len(t) // 4] + f[: len(t) // 4]
+                edits[hashlib.sha256(e.encode()).hexdigest()] = e
+    asked = sorted({r.edited_sha256 for r in got})
+    prints = {r.doc_id: r.fingerprint for r in minhash.fingerprints(spark.createDataFrame([(i, edits[h]) for i, h in enumerate(asked)], "doc_id bigint, text string")).collect()}
+    prints = {h: prints[i] for i, h in enumerate(asked)}
+    for r in got:
+        assert r.edited_fingerprint == prints[r.edited_sha256] and abs(r.near_edited - like(r.fingerprint, r.edited_fingerprint)) < 1e-12
+        after = marks[order[(order.index(r.doc_id) + 1) % len(order)]] | (marks[r.doc_id] if sum(d[0] == r.doc_id for d in docs) > 1 else set())
+        assert any(abs(r.near_next - like(r.fingerprint, x)) < 1e-12 for x in after)
     assert minhash.against_edits(frame.limit(0)).count() == 0
     lone = minhash.against_edits(spark.createDataFrame([(1, "a b c d e f g h")], "doc_id bigint, text string")).collect()
     assert len(lone) == 1 and lone[0].near_next == 1.0
     assert minhash.fingerprints(frame).count() == len(docs)
+
+
+def test_fingerprints_with_classes(spark):
+    rng = random.Random(22)
+    docs = families(rng, 30, [2, 5, 12], [0, 0.01, 0.04])
+    found = minhash.with_classes(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.near_class for r in found} == {i: c for i, (_, c) in jaccard_classes(docs, 5, 80).items()} and len(found) == len(docs)
+    odd = minhash.with_classes(spark.createDataFrame(odd_docs(), DOCS)).collect()
+    assert len(odd) == len(odd_docs()) and {r.near_class for r in odd if r.doc_id == 7} == {6} and {r.near_class for r in odd if r.doc_id == 5} == {4}
+    one = {"a": random.Random(1), "b": random.Random(2)}
+    same = " ".join(f"s{one['a'].randrange(9999)}" for _ in range(200))
+    part = same.split()
+    for cut in (5, 20, 60):
+        near = " ".join(part[:-cut] + [f"t{one['b'].randrange(9999)}" for _ in range(cut)])
+        a, b = ({tuple(t.split()[i : i + 5]) for i in range(196)} for t in (same, near))
+        got = minhash.likeness(*(minhash.fingerprint_bytes(minhash.signatures(pa.array([t]))) for t in (same, near)))[0]
+        assert abs(got - len(a & b) / len(a | b)) < 0.13

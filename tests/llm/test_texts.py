@@ -55,6 +55,44 @@ def test_sets_of_more_than_three_languages(spark):
     assert r.lang_pred == "aa" and set(r.lang_set) == set(kinds) and 0.37 < r.score < 0.43
 
 
+def test_mixtures_by_hand(spark, spoken):
+    """The mixture of a set of languages against plain expectation-maximisation, and the set against all sets."""
+    import itertools
+
+    rows, kinds = spoken
+    model = language.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    rng = random.Random(14)
+    texts = [" ".join(tongue(rng, kinds[k], n) for k, n in zip(kinds, sizes, strict=True) if n) for sizes in ((40, 0, 0), (30, 30, 0), (50, 0, 20), (80, 60, 40), (5, 1, 0), (200, 9, 0))]
+
+    def plain(text):
+        data = [b + 32 if 65 <= b < 91 else b if 97 <= b < 123 or b >= 128 else 32 for b in text.encode()]
+        seen = [tuple(data[i : i + 3]) for i in range(len(data) - 2) if sum(x != 32 for x in data[i : i + 3]) >= 2]
+        p = np.array([model.likelihood[:, ((a << 16 | b << 8 | c) * 2654435761 % 2**32) >> 16] for a, b, c in seen], float)
+        best = None
+        for n in (1, 2, 3):
+            for own in itertools.combinations(range(3), n):
+                share = np.full(n, 1 / n)
+                for _ in range(3000):
+                    each = p[:, own] * share
+                    share = (each / each.sum(1, keepdims=True)).mean(0)
+                fit = np.log((p[:, own] * share).sum(1)).sum() - language.PENALTY * 3 * (n - 1) * math.log(len(seen))
+                if best is None or fit > best[0] + 1e-6:
+                    best = fit, own, share
+        return best
+
+    got = language.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).collect()
+    for r in got:
+        _, own, share = plain(texts[r.doc_id])
+        assert r.lang_set == [model.languages[i] for i in own] and abs(r.score - share.max()) < 0.01
+        assert np.abs(np.array(r.lang_proportions) - share).max() < 0.01
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        language.fit(spark.createDataFrame([(i, "text", f"l{i}") for i in range(3)], "doc_id bigint, text string, lang string"))
+
+
 def test_language_of_odd_rows(spark, spoken):
     docs = clash(spark.createDataFrame(odd_docs(), DOCS), "score", "bucket", "lang_pred")
     for model in (None, language.fit(spark.createDataFrame(spoken[0], "doc_id bigint, text string, lang string"))):
@@ -432,6 +470,67 @@ def test_near_duplicates_go_by_row(spark):
     assert got == sorted([(3, "a0"), (5, "b0"), (None, "c0"), (7, ""), (8, "x ")], key=str)
 
 
+def test_stages_of_odd_rows(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = odd_docs() + [(50 + i, f"{prose(random.Random(i), 30)}", "en", "b", 1) for i in range(6)]
+    spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven"), (2, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = clash(spark.createDataFrame(rows, DOCS), "shard", "slot", "set", "check", "score", "n_hit", "target", "size", "rows", "words")
+    texts = collections.Counter((i, t) for i, t, *_ in rows)
+    for name, stage in pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns[:5] == pipeline.COLUMNS and (name == "sharding" or len(got.columns) == 5)
+        kept = collections.Counter((r.doc_id, r.text) for r in got.collect())
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        if name == "language_id":
+            assert not {(0, None), (1, ""), (2, " \t\n "), (9, "-- ## 12")} & kept.keys() and len(kept) == len(texts) - 4
+        elif name == "ngram_jaccard_join":
+            dropped = texts.keys() - kept.keys()
+            assert {i for i, _ in dropped} == {5, 7} and set(kept.values()) == {1}
+        elif name == "decontamination":
+            assert {i for i, _ in texts - kept} == {4, 5}
+        elif name == "mixing":
+            assert not {i for i, t in kept if not (t or "").split()} and max(kept[x] // texts[x] for x in kept) <= 2
+            assert all(kept[x] % texts[x] == 0 for x in kept)
+        else:
+            assert kept == texts
+
+
+def test_mixing_and_sharding_stages_by_hand(spark):
+    """Both stages against plain Python on unlike sources, with repeated ids."""
+    import hashlib
+
+    from tests.llm.test_native import jump, water_fill
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(23)
+    rows = [(i, prose(rng, rng.randrange(0, 40)) + rng.choice(["", " ### 11 22 33 44 55 66 77 88"]), "en", rng.choice(["a", "a", "a", "b", "c", None]), 1) for i in range(700)]
+    docs = spark.createDataFrame(rows, DOCS)
+    sizes, keys = {}, collections.defaultdict(list)
+    for i, text, _, source, _ in rows:
+        n = len(words(text))
+        sizes[source] = sizes.get(source, 0) + n
+        odd = len(re.findall(r"[^^\W\d_ \n.,]|[^\w \n.,]|[\d_]", text)) - sum(c.isalpha() for c in text)
+        weight = 2.0 if odd / max(len(text), 1) <= 0.1 else 0.5
+        keys[source].append((-math.log((int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / weight, i, n))
+    expected = {}
+    for source, target in water_fill(sizes, (3, 1, 2)).items():
+        epochs = int(target // sizes[source])
+        rest, below = target - epochs * sizes[source], 0
+        for _, i, n in sorted(keys[source]):
+            expected[i] = (epochs + (below + n / 2 <= rest and rest > 0)) if n else 0
+            below += n
+    mixed = pipeline.mixed(spark, docs, "").cache()
+    got = collections.Counter(r.doc_id for r in mixed.collect())
+    assert {i: got[i] for i, *_ in rows} == expected
+    found = pipeline.sharded(spark, mixed, "").select("*", F.xxhash64("doc_id").alias("h")).collect()
+    assert collections.Counter(r.doc_id for r in found) == got
+    slots = collections.defaultdict(list)
+    for r in found:
+        assert (r.shard, r.grown_shard) == (jump(r.h % 2**64, 24), jump(r.h % 2**64, 25))
+        slots[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 @needs_data
 def test_registered_queries_and_the_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
