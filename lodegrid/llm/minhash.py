@@ -171,7 +171,7 @@ def _pairs(rows: pa.Table, k: int) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays(
         [
             rows["doc_id"].combine_chunks().take(pa.array(own)), pa.array([len(texts[i]) for i in own.tolist()], pa.int64()),
-            pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited]), pa.array(_hex(plain[own])), pa.array(_hex(other)),
+            pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited]), pa.array([x.tobytes() for x in plain[own]], pa.binary()), pa.array([x.tobytes() for x in other], pa.binary()),
             pa.array(likeness(plain[own], other)), pa.array(likeness(plain[own], plain[own + 1])), pa.array(check),
         ],
         names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "check"],
@@ -190,7 +190,7 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 
 def against_edits(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """Fingerprints of documents, of their edited texts, their likeness to those and to the next document's, and ``check``, the digest of their shingles."""
+    """Fingerprints of documents, of their edited texts, their likeness to those and to the next document's, and ``check``, the digest of their shingles; fingerprints as bytes."""
     ids = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)).cast("bigint")).alias("doc_id"))
     ranged = ids.repartitionByRange(min(RANGES, max(1, -(-ids.count() // RANGE_ROWS))), "doc_id").groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("first"))
     firsts = sorted(r["first"] for r in ranged.select("first").collect())
@@ -198,17 +198,23 @@ def against_edits(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     placed = map_arrow(docs.select("doc_id", "text"), _placed(firsts[1:], guests), "range bigint, guest tinyint, doc_id bigint, text string")
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, len(firsts))
     ordered = placed.repartition(tasks, "range").sortWithinPartitions("range", "guest", "doc_id", F.xxhash64("text"))
-    schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, check bigint"
+    schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, check bigint"
     return map_arrow(ordered, _compared(k), schema)
 
 
+def in_hex(compared: DataFrame) -> DataFrame:
+    """Fingerprints as hexadecimal text."""
+    return compared.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
 def with_classes(docs: DataFrame, percent: int = 80, k: int = SHINGLE) -> DataFrame:
     """``against_edits``, and for each row near_class, the least doc_id of its class of ``near_duplicates``."""
     scratch = Scratch(docs.sparkSession, "fingerprints")
     compared = scratch.table(against_edits(docs, k), "compared")
     scratch.release()
     found = near_duplicates(docs, percent, k, named=True)
+    scratch.release()
     # The class depends on the id and the shingles alone, so repeated rows are one here.
     found = found.select(F.col("doc_id").cast("bigint").alias("class_id"), F.col("check").alias("class_check"), F.col("component_id").alias("near_class")).distinct()
     joined = compared.join(scratch.table(found, "classes"), F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("check") == F.col("class_check")), "left")
-    return joined.drop("class_id", "class_check", "check")
+    return in_hex(joined.drop("class_id", "class_check", "check"))

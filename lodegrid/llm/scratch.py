@@ -15,6 +15,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes that a task holds of each table that it writes.
+ROW_GROUP_BYTES = 32 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     conf = spark.sparkContext.getConf()
@@ -60,7 +64,7 @@ class Scratch:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return it as read again: its lineage ends here."""
         path = self.path(name)
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
         return out
@@ -71,6 +75,9 @@ class Scratch:
             remove(self.spark, path)
 
     def release(self) -> None:
-        """Let Spark delete the shuffle files of queries that nothing refers to any more."""
+        """Let Spark delete the shuffle files of queries that nothing refers to any more.
+
+        Spark drops its own references to a query some time after its end, so a second call soon after may find more.
+        """
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()

@@ -553,6 +553,7 @@ def joined(docs: DataFrame, sets: DataFrame, shared: np.ndarray, signatures: Dat
     fresh = F.col("before").isNull() | (F.col("before") != F.col("set"))
     common = near.where(fresh & (F.col("before").isNotNull() | F.col("after").isNotNull())).select("signature", "set")
     common = scratch.table(common, "common")
+    scratch.release()
     # From here on a set is one row, however many documents have it.
     each = sets.where("n > 0").groupBy("set").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     marked = common.join(each.select("set", "n", "bits"), "set").select("signature", "set", "n", "bits").repartition("signature").sortWithinPartitions("signature", "set")
@@ -560,6 +561,7 @@ def joined(docs: DataFrame, sets: DataFrame, shared: np.ndarray, signatures: Dat
     candidates = scratch.table(hung.groupBy("set", "other").agg(F.count(F.lit(1)).alias("n")), "candidates")
     sets = sets.drop("bits")
     each = scratch.table(each.select("set", "least", "copies"), "each")
+    scratch.release()
     families = scratch.table(components(candidates.select(F.col("set").alias("a"), F.col("other").alias("b")), scratch).select(F.col("node").alias("set"), F.col("component").alias("family")), "families")
     best = candidates.groupBy("set").agg(F.max_by("other", F.struct("n", "other")).alias("other"))
     # One text for each set of a family gives its tokens again.
@@ -569,7 +571,9 @@ def joined(docs: DataFrame, sets: DataFrame, shared: np.ndarray, signatures: Dat
     texts = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
     tokens = map_arrow(texts.select("text"), _tokens(rule, shared), "set bigint, tokens array<bigint>")
     tokens = scratch.table(tokens.join(F.broadcast(families.select("set")) if few else families.select("set"), "set", "left_semi"), "tokens")
+    scratch.release()
     links = verify(families, best, tokens, rule, scratch)
+    scratch.drop(tokens)
     linked_sets = components(links, scratch).withColumnRenamed("node", "set")
     placed = scratch.table(each.join(linked_sets, "set", "left").withColumn("component", F.coalesce("component", "set")), "placed")
     total = sets.count()

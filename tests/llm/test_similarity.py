@@ -166,7 +166,7 @@ def test_edits_by_hand(spark, monkeypatch, rows):
     monkeypatch.setattr(minhash, "RANGE_ROWS", rows)
     docs = [r for r in odd_docs() if r[0] is not None] + [(100 + i, "abc " * i, "en", "a", 0) for i in range(40)]
     frame = clash(spark.createDataFrame(docs, DOCS), "range", "guest")
-    got = minhash.against_edits(frame).collect()
+    got = minhash.in_hex(minhash.against_edits(frame)).collect()
     order = sorted({r[0] for r in docs})
     texts = collections.defaultdict(set)
     for r in docs:
