@@ -109,6 +109,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE, named:
     rule, scratch = set_join.Rule(k, percent), Scratch(docs.sparkSession, "minhash")
     docs = docs.select("doc_id", "text")
     sets, shared = set_join.described(docs, rule, scratch)
+    scratch.release()
     bands = map_arrow(docs.select("text"), _banded(rule, shared), "signature bigint, set bigint")
     return set_join.joined(docs, sets, shared, bands, rule, scratch, named)
 
