@@ -14,7 +14,7 @@ from lodegrid import schemas
 from lodegrid.functions.query_text import STRATEGIES
 from lodegrid.operators import enrichment, formats, search
 from lodegrid.plans.store import Index, summary
-from lodegrid.sources.files import index_location
+from lodegrid.sources.files import index_location, readme
 
 IGNORE_LINE = ".lodegrid/"
 
@@ -56,6 +56,7 @@ def parser() -> argparse.ArgumentParser:
     build.add_argument("--no-gitignore-update", action="store_true")
     enrich = sub.add_parser("enrich")
     enrich.add_argument("--dry-run", action="store_true")
+    enrich.add_argument("--root", default=".", help="where the project's README is")
     enrich.add_argument("--model", help="module:callable, from a prompt to a reply")
     enrich.add_argument("--concurrency", type=int, default=enrichment.CONCURRENCY)
     query = sub.add_parser("query")
@@ -123,7 +124,7 @@ def main(argv: list[str] | None = None) -> int:
         if a.dry_run or not a.model:
             print(f"{n} nodes to enrich, about {enrichment.minutes(n, a.concurrency)} minutes")
             return 0 if a.dry_run else 2
-        model = model_of(a.model)
+        model = enrichment.informed(model_of(a.model), enrichment.project_prompt(tables["directories"], readme(a.root)))
         tables = index.write({"nodes": enrichment.enrich_nodes(tables["nodes"], tables["edges"], model, a.model, a.concurrency)})
         tables = index.write({"nodes": enrichment.enrich_files(tables["nodes"], model, a.model, a.concurrency)})
         tables = index.write({"directories": enrichment.enrich_directories(tables["nodes"], tables["directories"], model, a.model, concurrency=a.concurrency)})

@@ -60,10 +60,17 @@ def token_estimate(text: Column | str) -> Column:
 
 def _folds() -> tuple[str, str]:
     """Accented Latin letters and what is left of them without marks."""
-    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1]
+    letters = [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in letters if len(unicodedata.normalize("NFD", chr(c))) > 1]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+def folded(text: str) -> str:
+    """``fold`` of a string on the driver: queries are folded by the index's own rule."""
+    bare = "".join(c for c in text if not unicodedata.category(c).startswith("M")).lower()
+    return bare.translate(str.maketrans(*_folds()))
+
+
 def fold(text: Column | str) -> Column:
     """Lower case without accents."""
     marked, plain = _folds()

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodegrid.functions.columns import col
+from lodegrid.functions.columns import col, folded
 
+# What identifiers, camel case and snake case look like.
 IDENTIFIER = r"^[A-Za-z_][A-Za-z0-9_]*([.][A-Za-z_][A-Za-z0-9_]*)*$"
 CAMEL = r"[a-z][A-Z]"
 SNAKE = r"[a-z]_[a-z]"
@@ -52,5 +52,4 @@ def strategy_column(text: Column | str) -> Column:
 
 def phrases(text: str) -> list[tuple[str, ...]]:
     """Each white-space separated term of a query as the phrase of its index tokens; () for one of marks alone."""
-    folded = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
-    return [tuple(t for t in re.split(r"[\W_]+", term) if t) for term in folded.split()]
+    return [tuple(t for t in re.split(r"[\W_]+", term) if t) for term in folded(text).split()]

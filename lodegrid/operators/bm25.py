@@ -56,13 +56,19 @@ def phrase_counts(index: DataFrame, phrases: list[tuple[str, ...]]) -> DataFrame
 
 
 def score(index: DataFrame, phrases: list[tuple[str, ...]], total: int | DataFrame, every: bool = False, sizes: DataFrame | None = None) -> DataFrame:
-    """(id, score) of documents that have every phrase, or any.
+    """(id, score) of documents that have every phrase, or any."""
+    rows = scored(index, phrases, total, sizes)
+    return (rows.where("whole") if every else rows).drop("whole")
+
+
+def scored(index: DataFrame, phrases: list[tuple[str, ...]], total: int | DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """(id, score, whole) of documents that have any phrase; ``whole``: they have every one.
 
     ``total``: number of documents, those without tokens included.  ``sizes``: their lengths,
     if they are at hand.  Collection statistics are one row, joined by broadcast.
     """
     if not phrases:
-        return index.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
+        return index.select("id", F.lit(0.0).alias("score"), F.lit(False).alias("whole")).where(F.lit(False))
     size = lengths(index) if sizes is None else sizes
     counts = phrase_counts(index, phrases)
     rows = F.lit(total).cast("double") if isinstance(total, int) else F.col("total").cast("double")
@@ -70,7 +76,7 @@ def score(index: DataFrame, phrases: list[tuple[str, ...]], total: int | DataFra
     stats = stats.crossJoin(size.agg(F.sum("length").alias("all_tokens")))
     if not isinstance(total, int):
         stats = stats.crossJoin(total.agg(F.count(F.lit(1)).alias("total")))
-    have = counts.where(F.forall("counts", lambda n: n > 0) if every else F.exists("counts", lambda n: n > 0))
+    have = counts.where(F.exists("counts", lambda n: n > 0))
     joined = have.join(size, "id").crossJoin(F.broadcast(stats))
 
     def part(i: int) -> Column:
@@ -80,13 +86,11 @@ def score(index: DataFrame, phrases: list[tuple[str, ...]], total: int | DataFra
         average = F.col("all_tokens") / rows
         return idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("length") / average))
 
-    return joined.select("id", sum((part(i) for i in range(1, len(phrases))), part(0)).alias("score"))
+    return joined.select("id", sum((part(i) for i in range(1, len(phrases))), part(0)).alias("score"), F.forall("counts", lambda n: n > 0).alias("whole"))
 
 
 def top(index: DataFrame, phrases: list[tuple[str, ...]], total: int | DataFrame, k: int, sizes: DataFrame | None = None) -> DataFrame:
     """(id, score, leg, rank): documents with all phrases first, then those with any, the best ``k``."""
-    legs = [score(index, phrases, total, True, sizes).withColumn("leg", F.lit(0))] if len(phrases) > 1 else []
-    legs.append(score(index, phrases, total, False, sizes).withColumn("leg", F.lit(1)))
-    rows = reduce(DataFrame.unionByName, legs).groupBy("id").agg(F.min("leg").alias("leg"), F.max("score").alias("score"))
+    rows = scored(index, phrases, total, sizes).withColumn("leg", F.when(F.col("whole") & F.lit(len(phrases) > 1), 0).otherwise(1))
     best = rows.orderBy("leg", F.col("score").desc(), "id").limit(k)
     return best.select("id", "score", "leg").withColumn("rank", F.expr("cast(row_number() over (order by leg, score desc, id) as int)"))

@@ -86,6 +86,18 @@ def system_prompt(readme: str | None, project: str | None, directories: list[tup
     return "\n\n".join(parts)
 
 
+def informed(model: Model, system: str) -> Model:
+    """A model that is told of the project before each prompt."""
+    return lambda prompt: model(f"{system}\n\n{prompt}")
+
+
+def project_prompt(summaries: DataFrame, readme: str | None) -> str:
+    """The system prompt of an index: at most ``PROMPT_DIRECTORIES`` directories are fetched."""
+    own = summaries.where("dir_path = '.'").select("summary").first()
+    rows = summaries.where("dir_path <> '.'").select("dir_path", "summary").orderBy("dir_path").limit(PROMPT_DIRECTORIES).collect()
+    return system_prompt(readme, own["summary"] if own else None, [(r["dir_path"], r["summary"]) for r in rows])
+
+
 def parse_reply(reply: Column | str, keys: tuple[str, str, str] = NODE_KEYS) -> Column:
     """The reply's object as a struct, fences removed; null unless all keys are there and the tags are an array."""
     bare = F.regexp_replace(F.trim(col(reply)), r"^```[a-z]*\s*|\s*```$", "")

@@ -35,6 +35,9 @@ def reach(root: str, edges: DataFrame, depth: int = 2, direction: str = "both",
         if spark.sparkContext.getCheckpointDir():
             found = found.checkpoint()
         frontier, seen = found, seen.unionByName(found)
+        # Nearer nodes come first, so once there are enough no farther one can be among them.
+        if spark.sparkContext.getCheckpointDir() and hop < depth and seen.limit(limit).count() >= limit:
+            break
     return seen.orderBy("hop", "id").limit(limit)
 
 

@@ -48,10 +48,20 @@ def lexical(identifier: str, nodes: DataFrame, lines: DataFrame, k: int = 10, fi
     return best.select("id", F.row_number().over(Window.orderBy(*order)).alias("rank"), "score")
 
 
-def semantic(text: str, nodes: DataFrame, k: int = 10, index: DataFrame | None = None) -> DataFrame:
-    """(id, rank, score): full-text search, nodes with all terms before those with any."""
+def semantic(text: str, nodes: DataFrame, k: int = 10, index: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """(id, rank, score): full-text search, nodes with all terms before those with any.
+
+    ``index`` and ``sizes``: stored postings and lengths of the nodes; of the former only the query's terms are read.
+    """
     index = bm25.postings(nodes) if index is None else index
-    return bm25.top(index, query_text.phrases(text), nodes.select("id"), k, bm25.text_lengths(nodes)).select("id", "rank", "score")
+    sizes = bm25.text_lengths(nodes) if sizes is None else sizes
+    return bm25.top(index, query_text.phrases(text), nodes.select("id"), k, sizes).select("id", "rank", "score")
+
+
+def semantic_directories(text: str, summaries: DataFrame, k: int = 10) -> DataFrame:
+    """(dir_path, rank, score): the directory leg of full-text search, over their summaries."""
+    index = bm25.postings(summaries, bm25.DIRECTORY_TEXTS, "dir_path")
+    return bm25.top(index, query_text.phrases(text), summaries.select("dir_path"), k).select(F.col("id").alias("dir_path"), "rank", "score")
 
 
 def first_wins(legs: list[DataFrame], k: int) -> DataFrame:
@@ -62,11 +72,11 @@ def first_wins(legs: list[DataFrame], k: int) -> DataFrame:
     return best.select("id", F.row_number().over(Window.orderBy("leg", "place", "id")).alias("rank"), "score")
 
 
-def hybrid(text: str, nodes: DataFrame, lines: DataFrame, k: int = 10, index: DataFrame | None = None) -> DataFrame:
+def hybrid(text: str, nodes: DataFrame, lines: DataFrame, k: int = 10, index: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """Lexical search for each identifier of the query, in order, then full-text search."""
     words = [w for w in dict.fromkeys(text.split()) if query_text.is_identifier(w)]
     files = nodes.agg(F.countDistinct("file_path")).first()[0] if words else 0
-    return first_wins([lexical(w, nodes, lines, k, files) for w in words] + [semantic(text, nodes, k, index)], k)
+    return first_wins([lexical(w, nodes, lines, k, files) for w in words] + [semantic(text, nodes, k, index, sizes)], k)
 
 
 def describe(ranked: DataFrame, summaries: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -87,8 +97,7 @@ def project_summary(summaries: DataFrame) -> str | None:
 
 def hierarchical(text: str, nodes: DataFrame, summaries: DataFrame, k: int = 10) -> dict:
     """Project summary, the directories that match best, and nodes below the first of them."""
-    index = bm25.postings(summaries, bm25.DIRECTORY_TEXTS, "dir_path")
-    ranked = bm25.top(index, query_text.phrases(text), summaries.select("dir_path"), MAX_DIRECTORIES).select(F.col("id").alias("dir_path"), "rank")
+    ranked = semantic_directories(text, summaries, MAX_DIRECTORIES).select("dir_path", "rank")
     wanted = ranked.where(F.col("rank") <= SOURCE_DIRECTORIES).select("dir_path", F.col("rank").alias("place"))
     near = rollup.listing(nodes, wanted, k).limit(k)
     return {"project_summary": project_summary(summaries), "directories": describe(ranked, summaries, nodes), "nodes": near.select(*RESULT)}
@@ -143,6 +152,7 @@ def hierarchical_llm(text: str, nodes: DataFrame, summaries: DataFrame, llm: Cal
 def run(text: str, tables: dict[str, DataFrame], kind: str | None = None, k: int = 10, depth: int = 2, with_source: bool = False, llm: Callable[[str], str] | None = None) -> tuple[str, object]:
     """Route a query, search, and fall back: lexical to full-text, full-text to the identifiers of the query."""
     nodes, lines = tables["nodes"], tables["lines"]
+    stored = tables.get("postings"), tables.get("lengths")
     chosen = query_text.strategy(text, kind)
     if chosen == "graph":
         return chosen, graph.search(text, nodes, tables["edges"], depth)
@@ -151,9 +161,10 @@ def run(text: str, tables: dict[str, DataFrame], kind: str | None = None, k: int
     if chosen.startswith("hierarchical"):
         return chosen, hierarchical(text, nodes, tables["directories"], k)
     if chosen == "hybrid":
-        return chosen, present(hybrid(text, nodes, lines, k), nodes, with_source)
-    ranked = lexical(text, nodes, lines, k) if chosen == "lexical" else semantic(text, nodes, k)
+        return chosen, present(hybrid(text, nodes, lines, k, *stored), nodes, with_source)
+    # At most k rows: kept, as they are looked at and then shown.
+    ranked = (lexical(text, nodes, lines, k) if chosen == "lexical" else semantic(text, nodes, k, *stored)).cache()
     if ranked.isEmpty():
         words = [w for w in text.split() if query_text.is_identifier(w)] or text.split()
-        ranked = semantic(text, nodes, k) if chosen == "lexical" else first_wins([lexical(w, nodes, lines, k) for w in words], k) if words else ranked
+        ranked = semantic(text, nodes, k, *stored) if chosen == "lexical" else first_wins([lexical(w, nodes, lines, k) for w in words], k) if words else ranked
     return chosen, present(ranked, nodes, with_source)

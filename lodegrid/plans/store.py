@@ -11,6 +11,7 @@ import contextlib
 import fcntl
 import json
 import os
+import sys
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
@@ -18,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegrid import schemas
+from lodegrid.operators import bm25, extraction
 from lodegrid.operators import edges as edge_ops
-from lodegrid.operators import extraction
 from lodegrid.sources import files as source_files
 
 NODE_ENRICHMENT = ("semantic_summary", "domain_tags", "inferred_responsibility", "enriched_at", "enrichment_model")
@@ -65,6 +66,14 @@ def summary(tables: dict[str, DataFrame]) -> DataFrame:
     return nodes.crossJoin(tables["edges"].agg(F.count(F.lit(1)).alias("edges")))
 
 
+FULL_TEXT = {"postings", "lengths"}
+
+
+def full_text(nodes: DataFrame) -> dict[str, DataFrame]:
+    """The full-text index of nodes."""
+    return {"postings": bm25.postings(nodes), "lengths": bm25.text_lengths(nodes)}
+
+
 class Index:
     """An index in a folder: a local path, or the URI of any store that Spark's Hadoop can write."""
 
@@ -120,23 +129,43 @@ class Index:
             store.delete(path, False)
 
     def read(self) -> dict[str, DataFrame]:
-        """The tables; empty ones where there is no snapshot yet."""
+        """The tables; empty ones where there is no snapshot yet.
+
+        An index of an older version lacks the stored full-text index: it is made from the nodes, and stored by the next write.
+        """
         if not self.exists():
             return {n: self.spark.createDataFrame([], s) for n, s in schemas.TABLES.items()}
-        at = f"{self.uri}/{self._current()['snapshot']}"
-        return {n: self.spark.read.schema(s).parquet(f"{at}/{n}") for n, s in schemas.TABLES.items()}
+        places = self._places(self._current())
+        found = {n: self.spark.read.schema(schemas.TABLES[n]).parquet(f"{self.uri}/{at}/{n}") for n, at in places.items()}
+        return found if places.keys() >= FULL_TEXT else found | full_text(found["nodes"])
+
+    @staticmethod
+    def _places(current: dict) -> dict[str, str]:
+        """The snapshot that each table is in."""
+        return current["tables"] if "tables" in current else {n: current["snapshot"] for n in schemas.TABLES if n not in FULL_TEXT}
 
     def write(self, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        """A new snapshot with these tables, the others copied from the last one."""
-        whole = self.read() | tables
+        """A new snapshot of these tables, and of the full-text index if nodes are among them; the others stay where they are."""
+        before = self._places(self._current()) if self.exists() else {}
+        new = dict(tables) | (full_text(tables["nodes"]) if "nodes" in tables else {})
+        new |= {n: t for n, t in self.read().items() if n not in before and n not in new}
         name = f"snapshot-{datetime.now(UTC):%Y%m%dT%H%M%S%f}"
-        for n, s in schemas.TABLES.items():
-            whole[n].select(*[F.col(f.name).cast(f.dataType) for f in s.fields]).write.parquet(f"{self.uri}/{name}/{n}")
+        for n, table in new.items():
+            rows = table.select(*[F.col(f.name).cast(f.dataType) for f in schemas.TABLES[n].fields])
+            if n == "postings":  # in order of terms, so that a query reads the row groups of its own
+                rows = rows.repartitionByRange("term").sortWithinPartitions("term")
+            rows.write.parquet(f"{self.uri}/{name}/{n}")
+        places = before | {n: name for n in new}
+        self._put("CURRENT", json.dumps({"snapshot": name, "schema_version": schemas.SCHEMA_VERSION, "tables": places}))
+        # Tables of the last state stay for readers that have them open.
+        wanted = {f"{at}/{n}" for held in (before, places) for n, at in held.items()}
         store, path = self._hadoop()
-        before = sorted(x for x in (f.getPath().getName() for f in store.listStatus(path)) if x.startswith("snapshot-") and x != name)
-        self._put("CURRENT", json.dumps({"snapshot": name, "schema_version": schemas.SCHEMA_VERSION}))
-        for old in before[:-1]:  # the last one stays for readers that have it open
-            store.delete(self._hadoop(old)[1], True)
+        for at in (f.getPath().getName() for f in store.listStatus(path)):
+            if at.startswith("snapshot-"):
+                held = [f.getPath().getName() for f in store.listStatus(self._hadoop(at)[1])]
+                gone_ = [n for n in held if f"{at}/{n}" not in wanted]
+                for n in gone_ if len(gone_) < len(held) else [""]:
+                    store.delete(self._hadoop(f"{at}/{n}" if n else at)[1], True)
         return self.read()
 
     def schema_version(self) -> int:
@@ -159,6 +188,8 @@ class Index:
             old = self.read()
             patterns = source_files.gitignore(root) + list(exclude or [])
             found, warned = source_files.indexable(source_files.scan(self.spark, root), patterns)
+            for row in source_files.undecodable(source_files.scan(self.spark, root), patterns).orderBy("path").toLocalIterator():
+                print(f"skipped, not UTF-8: {row['path']}", file=sys.stderr)
             found = found.cache()
             changed = gate(found, old["files"])
             extracted = extraction.extract(changed, token_limit).cache()

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 NODE_TYPES = ("file", "class", "function", "method", "interface", "object", "module")
 EDGE_TYPES = ("calls", "imports", "inherits", "overrides", "references", "instantiates")
 LANGUAGES = ("python", "kotlin", "typescript", "java", "ruby")
 
 
-_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "timestamp": T.TimestampType(), "string[]": T.ArrayType(T.StringType())}
+_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "timestamp": T.TimestampType(), "long": T.LongType(), "string[]": T.ArrayType(T.StringType()), "long[]": T.ArrayType(T.LongType())}
 
 
 def _fields(text: str) -> T.StructType:
@@ -31,8 +31,11 @@ FILE = _fields("path string!,last_modified timestamp!,content_hash string!,langu
 DIRECTORY = _fields("dir_path string!,summary string,domain_tags string[],responsibility string,child_count int!,enriched_at timestamp,enrichment_model string")
 META = _fields("key string!,value string!")
 LINE = _fields("file_path string!,line_no int!,text string!")
-TABLES = {"nodes": NODE, "edges": EDGE, "files": FILE, "directories": DIRECTORY, "meta": META, "lines": LINE}
-KEYS = {"nodes": ["id"], "edges": ["source_id", "target_id", "edge_type", "call_site_line"], "files": ["path"], "directories": ["dir_path"], "meta": ["key"], "lines": ["file_path", "line_no"]}
+#: The full-text index of nodes: places of terms, and lengths of documents. It follows the nodes and is never given by hand.
+POSTING = _fields("term string!,id string!,places long[]")
+LENGTH = _fields("id string!,length long!")
+TABLES = {"nodes": NODE, "edges": EDGE, "files": FILE, "directories": DIRECTORY, "meta": META, "lines": LINE, "postings": POSTING, "lengths": LENGTH}
+KEYS = {"nodes": ["id"], "edges": ["source_id", "target_id", "edge_type", "call_site_line"], "files": ["path"], "directories": ["dir_path"], "meta": ["key"], "lines": ["file_path", "line_no"], "postings": ["term", "id"], "lengths": ["id"]}
 
 
 def violations(table: DataFrame, name: str) -> DataFrame:

@@ -12,10 +12,11 @@ from lodegrid.streaming.refresh import refresh
 from tests.fixtures import frame, node, search_tables
 
 
-def write(root, **contents):
-    for name, text in contents.items():
-        at = root / name.replace("__", "/")
-        at = at.with_name(at.name.replace("_py", ".py").replace("_rb", ".rb").replace("_go", ".go"))
+def write(root, contents):
+    """Files below a root, by their paths."""
+    for path, text in contents.items():
+        at = root / path
+        assert at.resolve().is_relative_to(root.resolve())
         at.parent.mkdir(parents=True, exist_ok=True)
         at.write_bytes(text if isinstance(text, bytes) else text.encode())
 
@@ -26,7 +27,7 @@ def content(tables):
 
 
 def test_scan_guards(spark, tmp_path):
-    write(tmp_path, a_py="x = 1", pkg__b_py="y = 2", __pycache____c_py="z", build__d_py="w", e_go="package e", f_py=b"\xff\xfe bad")
+    write(tmp_path, {"a.py": "x = 1", "pkg/b.py": "y = 2", "__pycache__/c.py": "z", "build/d.py": "w", "e.go": "package e", "f.py": b"\xff\xfe bad"})
     (tmp_path / ".hidden").mkdir()
     (tmp_path / ".hidden" / "g.py").write_text("g = 1")
     (tmp_path / "big.py").write_bytes(b"#" * (source_files.MAX_BYTES + 1))
@@ -39,12 +40,12 @@ def test_scan_guards(spark, tmp_path):
 
 def test_incremental_equals_full(spark, tmp_path):
     src, a, b = tmp_path / "src", store.Index(spark, str(tmp_path / "a")), store.Index(spark, str(tmp_path / "b"))
-    write(src, m_py="def foo():\n    return bar()\n", n_py="def bar():\n    return 1\n", old_py="def old():\n    foo()\n")
+    write(src, {"m.py": "def foo():\n    return bar()\n", "n.py": "def bar():\n    return 1\n", "old.py": "def old():\n    foo()\n"})
     first, warnings = a.build(str(src))
     assert not warnings and first["edges"].count() > 0
     before = content(first)
     assert content(a.build(str(src))[0]) == before
-    write(src, n_py="def bar():\n    return 2\n\ndef more():\n    foo()\n", bad_py="def (")
+    write(src, {"n.py": "def bar():\n    return 2\n\ndef more():\n    foo()\n", "bad.py": "def ("})
     os.remove(src / "old.py")
     again, warnings = a.build(str(src))
     assert warnings == [("bad.py", "can't be parsed")]
@@ -56,7 +57,7 @@ def test_incremental_equals_full(spark, tmp_path):
 
 
 def test_index_in_a_store_by_uri(spark, tmp_path):
-    write(tmp_path / "src", m_py="import n\n\ndef foo():\n    return 1\n")
+    write(tmp_path / "src", {"m.py": "import n\n\ndef foo():\n    return 1\n"})
     index = store.Index(spark, f"file://{tmp_path}/by-uri")
     tables, _ = index.build(str(tmp_path / "src"))
     assert tables["nodes"].count() == 2 and index.schema_version() == schemas.SCHEMA_VERSION
@@ -141,7 +142,7 @@ def stub(prompt):
 
 def test_enrichment_levels(spark, tmp_path):
     index = store.Index(spark, str(tmp_path / "i"))
-    write(tmp_path / "src", a__m_py="def foo():\n    return 1\n\ndef broken():\n    return 2\n", top_py="def bar():\n    return 1\n")
+    write(tmp_path / "src", {"a/m.py": "def foo():\n    return 1\n\ndef broken():\n    return 2\n", "top.py": "def bar():\n    return 1\n"})
     tables, _ = index.build(str(tmp_path / "src"))
     nodes = enrichment.enrich_nodes(tables["nodes"], tables["edges"], stub, "stub")
     tables = index.write({"nodes": nodes})
@@ -155,7 +156,7 @@ def test_enrichment_levels(spark, tmp_path):
 def test_command_line(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.setattr(cli, "session", lambda: spark)
     src, at = tmp_path / "src", str(tmp_path / "index")
-    write(src, m_py="def parse_file():\n    return other()\n\nclass Thing:\n    pass\n", n_py="import m\n\ndef other():\n    parse_file()\n")
+    write(src, {"m.py": "def parse_file():\n    return other()\n\nclass Thing:\n    pass\n", "n.py": "import m\n\ndef other():\n    parse_file()\n"})
     assert cli.main(["--index", at, "status"]) == 1
     assert cli.main(["--index", at, "reset"]) == 1
     assert cli.main(["--index", at, "build", "--root", str(src)]) == 0
@@ -175,9 +176,9 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
 
 def test_stream_refreshes_an_index(spark, tmp_path):
     index, src = store.Index(spark, str(tmp_path / "i")), tmp_path / "src"
-    write(src, m_py="import n\n\ndef foo():\n    return bar()\n")
+    write(src, {"m.py": "import n\n\ndef foo():\n    return bar()\n"})
     refresh(index, str(src), str(tmp_path / "c"), once=True).awaitTermination()
-    write(src, n_py="def bar():\n    return 1\n")
+    write(src, {"n.py": "def bar():\n    return 1\n"})
     refresh(index, str(src), str(tmp_path / "c"), once=True).awaitTermination()
     tables = index.read()
     assert {r.name for r in tables["nodes"].where(F.col("node_type") == "function").collect()} == {"foo", "bar"}
