@@ -250,13 +250,48 @@ def index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return size.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).crossJoin(index.agg(F.countDistinct("term").alias("n_terms")))
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parts as nodes of one line, and those lines."""
+    part = table(spark, sf_dir, "part")
+    path = F.concat(F.lit("p/"), F.col("p_partkey").cast("string"))
+    none = {c: F.lit(None).cast("string") for c in ("docstring", "semantic_summary", "inferred_responsibility", "raw_source")}
+    nodes = part.select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("qualified_name"), F.col("p_type").alias("signature"), path.alias("file_path"),
+        F.lit("function").alias("node_type"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.lit(0).alias("ord"),
+    ).withColumns(none | {"domain_tags": F.lit(None).cast("array<string>")})
+    return nodes, part.select(path.alias("file_path"), F.lit(1).alias("line_no"), F.col("p_name").alias("text"))
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    return rows.select("id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query
 def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full-text search over customers' and suppliers' names, all text columns indexed."""
-    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_brand", "p_type")
-    index = bm25.postings(nodes, ("p_name", "p_brand", "p_type"))
-    best = bm25.top(index, query_text.phrases("red Widget brand#17"), nodes.select("id"), 25)
-    return best.select("id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    """Full-text search over parts: names, brands and types are indexed."""
+    return _ranked(search.semantic("red Widget brand#17", _parts(spark, sf_dir)[0], 25))
+
+
+@query
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts whose line has an identifier of the query, word by word, then those that the full-text index finds."""
+    return _ranked(search.hybrid("red widget brand#17", *_parts(spark, sf_dir), 600))
+
+
+@query
+def routed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query of two plain words, routed to full-text search and presented."""
+    nodes, lines = _parts(spark, sf_dir)
+    chosen, rows = search.run("red widget", {"nodes": nodes, "lines": lines}, None, 20)
+    return rows.select(F.lit(chosen).alias("strategy"), "id", "name", "qualified_name", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query
+def fallback_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An identifier that no line has: full-text search answers instead."""
+    nodes, lines = _parts(spark, sf_dir)
+    chosen, rows = search.run("RED", {"nodes": nodes, "lines": lines}, None, 20)
+    return rows.select(F.lit(chosen).alias("strategy"), "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query

@@ -88,6 +88,20 @@ _LINES = r"le AS (SELECT 'o' || l_orderkey AS source_id, 'p' || l_partkey AS tar
 
 
 
+def _parts_scored(terms: list[str], pair: tuple[str, str] | None = None) -> str:
+    """CTEs up to sc (id, score, n): BM25 of parts by name, brand and type, for terms and one phrase of two; n: how many of them a part has."""
+    tf = [f"SELECT {k} AS k, id, count(*)::DOUBLE AS tf FROM tok WHERE t = '{t}' GROUP BY id" for k, t in enumerate(terms)]
+    if pair:
+        tf.append(f"SELECT {len(terms)}, a.id, count(*) FROM tok a JOIN tok b ON a.id = b.id AND a.c = b.c AND b.pos = a.pos + 1 WHERE a.t = '{pair[0]}' AND b.t = '{pair[1]}' GROUP BY a.id")
+    return rf"""tok AS (
+  SELECT id, c, t, pos FROM (SELECT id, c, unnest(ts) AS t, generate_subscripts(ts, 1) AS pos FROM (SELECT id, c, list_filter(regexp_split_to_array(lower(x), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '') AS ts
+    FROM (SELECT p_partkey AS id, 0 AS c, p_name AS x FROM part UNION ALL SELECT p_partkey, 1, p_brand FROM part UNION ALL SELECT p_partkey, 2, p_type FROM part)))
+), dl AS (SELECT id, count(*) AS len FROM tok GROUP BY 1), st AS (SELECT (SELECT count(*) FROM part)::DOUBLE AS n_docs, (SELECT sum(len) FROM dl)::DOUBLE / (SELECT count(*) FROM part) AS avgdl
+), tf AS ({" UNION ALL ".join(tf)}
+), idf AS (SELECT k, CASE WHEN ln((n_docs - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_docs - n + 0.5) / (n + 0.5)) END AS idf FROM (SELECT k, count(*)::DOUBLE AS n FROM tf GROUP BY 1), st
+), sc AS (SELECT id, round(sum(idf * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl))), 9) AS score, count(*) AS n FROM tf JOIN idf USING (k) JOIN dl USING (id), st GROUP BY 1)"""
+
+
 def queries() -> dict[str, str]:
     hit = _hit("License")
     out = {
@@ -141,6 +155,16 @@ UNION ALL SELECT 'conv/' || conv_id || '::c' || conv_id || '.t' || turn, 'c' ||
 ), idf AS (SELECT k, CASE WHEN ln((n_docs - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_docs - n + 0.5) / (n + 0.5)) END AS idf FROM (SELECT k, count(*)::DOUBLE AS n FROM tf GROUP BY 1), st
 ), sc AS (SELECT id, round(sum(idf * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl))), 9) AS score, count(*) AS n FROM tf JOIN idf USING (k) JOIN dl USING (id), st GROUP BY 1)
 SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY CASE WHEN n = 3 THEN 0 ELSE 1 END, score DESC, id) AS rank FROM sc ORDER BY rank LIMIT 25""",
+        "hybrid_search": f"""WITH {_parts_scored(['red', 'widget'], ('brand', '17'))}, n AS (SELECT p_partkey AS id, 'p/' || p_partkey AS path, regexp_matches(p_name, '(^|\\W)red(\\W|$)') AS r, regexp_matches(p_name, '(^|\\W)widget(\\W|$)') AS w FROM part
+), lex AS (SELECT 0 AS leg, id, path, (SELECT count(*) FROM n WHERE r) AS whole FROM n WHERE r UNION ALL SELECT 1, id, path, (SELECT count(*) FROM n WHERE w) FROM n WHERE w
+), legs AS (SELECT id, leg, row_number() OVER (PARTITION BY leg ORDER BY path, id) AS place, (1.0::DOUBLE / whole + 0.5::DOUBLE) * greatest(ln((SELECT count(*) FROM part)::DOUBLE / (1 + whole)), 0.1::DOUBLE) AS score FROM lex
+  UNION ALL SELECT id, 2, row_number() OVER (ORDER BY CASE WHEN n = 3 THEN 0 ELSE 1 END, score DESC, id), score FROM sc
+), once AS (SELECT id, arg_min(score, row(leg, place)) AS score, min(row(leg, place)) AS spot FROM legs WHERE place <= 600 GROUP BY 1)
+SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY spot, id) AS rank FROM once ORDER BY rank LIMIT 600""",
+        "routed_search": f"""WITH {_parts_scored(['red', 'widget'])}
+SELECT 'semantic' AS strategy, id, p_name AS name, p_brand AS qualified_name, round(score, 6) AS score, row_number() OVER (ORDER BY CASE WHEN n = 2 THEN 0 ELSE 1 END, score DESC, id) AS rank FROM sc JOIN part ON id = p_partkey ORDER BY rank LIMIT 20""",
+        "fallback_search": f"""WITH {_parts_scored(['red'])}
+SELECT 'lexical' AS strategy, id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sc ORDER BY rank LIMIT 20""",
         "hybrid_merge": f"""WITH {_FILES}, {_score(['public', 'license'])}, h AS (SELECT doc_id AS id, count(*) AS n FROM lines WHERE {_hit('MIT')} GROUP BY 1
 ), legs AS (SELECT * FROM (SELECT id, 0 AS leg, row_number() OVER (ORDER BY n DESC, id) AS place, n::DOUBLE AS score FROM h) WHERE place <= 20
   UNION ALL SELECT * FROM (SELECT doc_id, 1, row_number() OVER (ORDER BY 2 - n, score DESC, doc_id) AS place, round(score, 6) FROM sc) WHERE place <= 20
