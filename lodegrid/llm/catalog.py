@@ -15,4 +15,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": sql.OP1, "op6_set_join": sql.OP6, "op7_decontamination": sql.OP7, "op10_chat": sql.OP10}
+    return {"op1_mixing": sql.OP1, "op6_set_join": sql.OP6, "op7_decontamination": sql.OP7, "op10_chat": sql.OP10, "op13_audit": sql.OP13}

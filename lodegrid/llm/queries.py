@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegrid.llm import chat, decontamination, language, language_model, minhash, mixing, secrets, set_join, sharding, token_files
+from lodegrid.llm import audit, chat, decontamination, language, language_model, minhash, mixing, periods, pieces, secrets, set_join, sharding, token_files
 from lodegrid.llm.arrow import id_crc
 from lodegrid.llm.scratch import Scratch
 
@@ -86,3 +90,38 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = id_crc(7) == 2
     rows = language_model.score(docs.withColumn("held_out", held_out), docs.where(~held_out))
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def looped(batch: pa.RecordBatch, counts: np.ndarray) -> np.ndarray:
+    """The order of the words of texts: one in ten, by its id, repeats a stretch from some word on; a null id counts as the empty text."""
+    first = np.cumsum(counts) - counts
+    order = np.arange(counts.sum()) - np.repeat(first, counts)
+    for at, n, doc_id in zip(first.tolist(), counts.tolist(), batch.column("doc_id").to_pylist(), strict=True):
+        h = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+        if h % 10 == 0 and n:
+            g = h // 10
+            a = g % n
+            order[at + a : at + n] = a + np.arange(n - a) % (1 + (n - a) // (3 + g % 8))
+    return order
+
+
+def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.find(read(spark, sf_dir, "documents").select("doc_id", "text"), rewrite=looped)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    told = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    rows = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(told, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = F.col("best.length"), -F.col("best.period")
+    return rows.select(
+        "doc_id", "n_runs", (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"), F.expr("(1000 * best.length) div (-best.period)").alias("exponent_milli"),
+        "runs_sha256", "collapsed_sha256",
+    )
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.digests(read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

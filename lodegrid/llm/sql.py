@@ -111,3 +111,32 @@ WITH RECURSIVE w AS (
 )
 SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(other) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY 1
 """
+
+OP13 = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), l AS (
+  SELECT doc_id AS label_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1
+), f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad, map(['A', 'B', 'C', 'D', 'E'], [
+    len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws), 100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text), regexp_matches(text, '[#$%&*|]'),
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)]) AS fails
+  FROM w LEFT JOIN l ON doc_id = label_id
+), x AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c
+), o AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5
+), s AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS c, string_split(substr(filter_order, 1, step - 1), '') AS before FROM o, (SELECT unnest(range(1, 6)) AS step)
+), g AS (
+  SELECT part, good, bad, fails, count(*) AS n, len(list_filter(map_values(fails), lambda v: v)) AS n_fails FROM f GROUP BY ALL
+), t AS (
+  SELECT part, filter_order, step, c, n, good, bad, n_fails, fails[c] AS fail, len(list_filter(before, lambda k: k <> '' AND fails[k])) > 0 AS earlier FROM g, s
+), r AS (
+  SELECT part, filter_order, step, c, coalesce(sum(n) FILTER (WHERE NOT earlier AND NOT fail), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE NOT earlier AND fail), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (WHERE earlier AND fail), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE fail AND n_fails = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n) FILTER (WHERE NOT earlier AND fail AND good = 1), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (WHERE NOT earlier AND fail AND bad = 1), 0)::BIGINT AS toxic_lost
+  FROM t GROUP BY ALL
+)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, c))::BIGINT AS shapley FROM r
+"""
