@@ -8,7 +8,6 @@ import os
 import sys
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from lodegrid import schemas
 from lodegrid.functions.query_text import STRATEGIES
@@ -125,16 +124,17 @@ def main(argv: list[str] | None = None) -> int:
             print(f"{n} nodes to enrich, about {enrichment.minutes(n, a.concurrency)} minutes")
             return 0 if a.dry_run else 2
         model = enrichment.informed(model_of(a.model), enrichment.project_prompt(tables["directories"], readme(a.root)))
-        tables = index.write({"nodes": enrichment.enrich_nodes(tables["nodes"], tables["edges"], model, a.model, a.concurrency)})
-        tables = index.write({"nodes": enrichment.enrich_files(tables["nodes"], model, a.model, a.concurrency)})
+        for prompts, keys in ((lambda t: enrichment.node_prompts(t["nodes"], t["edges"]), enrichment.NODE_KEYS), (lambda t: enrichment.file_prompts(t["nodes"]), enrichment.DIRECTORY_KEYS)):
+            told = enrichment.replies(prompts(tables), model, concurrency=a.concurrency)
+            tables = index.enriched(enrichment.answered_nodes(tables["nodes"], told, a.model, keys))
         tables = index.write({"directories": enrichment.enrich_directories(tables["nodes"], tables["directories"], model, a.model, concurrency=a.concurrency)})
         left = enrichment.unenriched(tables["nodes"]).count()
         index.write({"meta": index.meta_table({"unenriched_nodes": left})})
         return 1 if left else 0
-    if a.type in (None, "semantic", "hybrid") and tables["nodes"].where(F.lit(True)).isEmpty():
+    if a.type in (None, "semantic", "hybrid") and tables["nodes"].isEmpty():
         warn("the index is empty")
         return 1
-    _, result = search.run(a.text, tables, a.type, a.top_k, a.depth, a.with_source, model_of(a.model) if a.model else None)
+    _, result = search.run(a.text, tables, a.type, a.top_k, a.depth, a.with_source, model_of(a.model) if a.model else None, index.full_text())
     print(formats.render(result, a.format))
     return 0
 

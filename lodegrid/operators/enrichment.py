@@ -136,6 +136,16 @@ def replies(prompts: DataFrame, model: Model, key: str = "id", concurrency: int
     return prompts.select(key, "prompt").mapInPandas(run, f"{key} string, reply string")
 
 
+def answered_nodes(nodes: DataFrame, answered: DataFrame, model_name: str, keys: tuple[str, str, str] = NODE_KEYS) -> DataFrame:
+    """Only the nodes that have a good reply (id, reply), with it: what ``Index.enriched`` takes."""
+    good = answered.select("id", parse_reply("reply", keys).alias("r")).where(F.col("r").isNotNull())
+    new = {
+        "semantic_summary": F.col("r")[keys[0]], "domain_tags": F.col("r")[keys[1]], "inferred_responsibility": F.col("r")[keys[2]],
+        "enriched_at": F.current_timestamp(), "enrichment_model": F.lit(model_name),
+    }
+    return nodes.join(good, "id").select(*[new[c].alias(c) if c in new else F.col(c) for c in nodes.columns])
+
+
 def apply_nodes(nodes: DataFrame, answered: DataFrame, model_name: str, keys: tuple[str, str, str] = NODE_KEYS) -> DataFrame:
     """Nodes with the parsed replies (id, reply); those without a good one stay as they are."""
     good = answered.select("id", parse_reply("reply", keys).alias("r")).where(F.col("r").isNotNull())

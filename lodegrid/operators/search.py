@@ -48,11 +48,13 @@ def lexical(identifier: str, nodes: DataFrame, lines: DataFrame, k: int = 10, fi
     return best.select("id", F.row_number().over(Window.orderBy(*order)).alias("rank"), "score")
 
 
-def semantic(text: str, nodes: DataFrame, k: int = 10, index: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+def semantic(text: str, nodes: DataFrame, k: int = 10, index: DataFrame | bm25.Stored | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """(id, rank, score): full-text search, nodes with all terms before those with any.
 
-    ``index`` and ``sizes``: stored postings and lengths of the nodes; of the former only the query's terms are read.
+    ``index``: the stored index of the nodes, of which only the query's terms are read; or postings, with ``sizes``.
     """
+    if isinstance(index, bm25.Stored):
+        return bm25.top(index, query_text.phrases(text), None, k).select("id", "rank", "score")
     index = bm25.postings(nodes) if index is None else index
     sizes = bm25.text_lengths(nodes) if sizes is None else sizes
     return bm25.top(index, query_text.phrases(text), nodes.select("id"), k, sizes).select("id", "rank", "score")
@@ -72,7 +74,7 @@ def first_wins(legs: list[DataFrame], k: int) -> DataFrame:
     return best.select("id", F.row_number().over(Window.orderBy("leg", "place", "id")).alias("rank"), "score")
 
 
-def hybrid(text: str, nodes: DataFrame, lines: DataFrame, k: int = 10, index: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+def hybrid(text: str, nodes: DataFrame, lines: DataFrame, k: int = 10, index: DataFrame | bm25.Stored | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """Lexical search for each identifier of the query, in order, then full-text search."""
     words = [w for w in dict.fromkeys(text.split()) if query_text.is_identifier(w)]
     files = nodes.agg(F.countDistinct("file_path")).first()[0] if words else 0
@@ -149,10 +151,12 @@ def hierarchical_llm(text: str, nodes: DataFrame, summaries: DataFrame, llm: Cal
     return out | {"nodes": found.select(*RESULT)}
 
 
-def run(text: str, tables: dict[str, DataFrame], kind: str | None = None, k: int = 10, depth: int = 2, with_source: bool = False, llm: Callable[[str], str] | None = None) -> tuple[str, object]:
-    """Route a query, search, and fall back: lexical to full-text, full-text to the identifiers of the query."""
+def run(text: str, tables: dict[str, DataFrame], kind: str | None = None, k: int = 10, depth: int = 2, with_source: bool = False, llm: Callable[[str], str] | None = None, index: bm25.Stored | None = None) -> tuple[str, object]:
+    """Route a query, search, and fall back: lexical to full-text, full-text to the identifiers of the query.
+
+    ``index``: the stored full-text index of the nodes.
+    """
     nodes, lines = tables["nodes"], tables["lines"]
-    stored = tables.get("postings"), tables.get("lengths")
     chosen = query_text.strategy(text, kind)
     if chosen == "graph":
         return chosen, graph.search(text, nodes, tables["edges"], depth)
@@ -161,10 +165,10 @@ def run(text: str, tables: dict[str, DataFrame], kind: str | None = None, k: int
     if chosen.startswith("hierarchical"):
         return chosen, hierarchical(text, nodes, tables["directories"], k)
     if chosen == "hybrid":
-        return chosen, present(hybrid(text, nodes, lines, k, *stored), nodes, with_source)
+        return chosen, present(hybrid(text, nodes, lines, k, index), nodes, with_source)
     # At most k rows: kept, as they are looked at and then shown.
-    ranked = (lexical(text, nodes, lines, k) if chosen == "lexical" else semantic(text, nodes, k, *stored)).cache()
+    ranked = (lexical(text, nodes, lines, k) if chosen == "lexical" else semantic(text, nodes, k, index)).cache()
     if ranked.isEmpty():
         words = [w for w in text.split() if query_text.is_identifier(w)] or text.split()
-        ranked = semantic(text, nodes, k, *stored) if chosen == "lexical" else first_wins([lexical(w, nodes, lines, k) for w in words], k) if words else ranked
+        ranked = semantic(text, nodes, k, index) if chosen == "lexical" else first_wins([lexical(w, nodes, lines, k) for w in words], k) if words else ranked
     return chosen, present(ranked, nodes, with_source)

@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodegrid.operators import edges as edge_ops
-from lodegrid.operators import extraction
-from lodegrid.plans.store import Index, gate, last_wins, replace_nodes, upsert
+from lodegrid.plans.store import Index, gate, last_wins
 from lodegrid.sources import files as source_files
 
 
@@ -18,24 +16,16 @@ def arrivals(spark: SparkSession, root: str) -> DataFrame:
     return spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(root)
 
 
-def apply_batch(index: Index, files: DataFrame, patterns: list[str] | None = None) -> None:
-    """Upsert one batch of files (path, content, length, last_modified); running it again changes nothing."""
-    old = index.read()
+def apply_batch(index: Index, files: DataFrame, patterns: list[str] | None = None, lost: DataFrame | None = None) -> None:
+    """Upsert one batch of files (path, content, length, last_modified), and drop those that went (path); running it again changes nothing."""
+    known = index.read()["files"]
     found, _ = source_files.indexable(files, patterns or [])
     found = last_wins(found, ["path"], ["last_modified", "content_hash"])
-    changed = gate(found, old["files"]).cache()
-    if changed.isEmpty():
-        return
-    extracted = extraction.extract(changed).cache()
-    parsed = changed.join(extraction.failures(extracted).select("path"), "path", "left_anti")
-    nodes = replace_nodes(old["nodes"], extraction.nodes_of(extracted), parsed.select("path"))
-    counts = extracted.where(~F.col("failed")).groupBy(F.col("file_path").alias("path")).agg(F.max("parsed").alias("node_count"))
-    rows = parsed.join(counts, "path").select("path", "last_modified", "content_hash", "language", "node_count", F.current_timestamp().alias("indexed_at"))
-    kept = old["lines"].join(changed.select(F.col("path").alias("file_path")), "file_path", "left_anti")
-    lines = kept.unionByName(source_files.to_lines(changed))
-    index.write({"nodes": nodes, "files": upsert(old["files"], rows, ["path"]), "lines": lines, "edges": edge_ops.build_edges(nodes, lines)})
+    changed = gate(found, known).cache()
+    went = known.select("path").join(lost.select("path"), "path", "left_semi") if lost is not None else known.select("path").limit(0)
+    if not (changed.isEmpty() and went.isEmpty()):
+        index.apply(changed, went)
     changed.unpersist()
-    extracted.unpersist()
 
 
 def refresh(index: Index, root: str, checkpoint: str, once: bool = False) -> StreamingQuery:
