@@ -13,6 +13,7 @@ from lodegrid.functions.columns import ancestors, depth, fold, parent_dir, token
 from lodegrid.operators import bm25, chunking, edges, enrichment, formats, graph, rollup, search
 from lodegrid.operators.resolve import innermost
 from lodegrid.plans import store
+from lodegrid.plans.shared import own_folder
 from lodegrid.sources import corpus, files
 from lodegrid.sources.corpus import table
 from lodegrid.sources.ignore import ignored
@@ -22,6 +23,7 @@ _found: dict[str, Query] = {}
 IDENTIFIER, PUNCTUATED = "License", "License,"
 PATTERNS = ("License", "MIT", "the", "und", "Public", "version")
 PHRASES = "public license"
+ANY_OF = "nicht für sch"
 ROOT = "n7"
 
 
@@ -236,6 +238,28 @@ def bm25_and_then_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("leg").cast("bigint").alias("leg"), F.col("rank").cast("bigint").alias("rank"))
 
 
+def _turn_index(spark: SparkSession, sf_dir: str) -> bm25.Stored:
+    """Turns of conversations in a stored index: first users' texts, as documentation; a second commit adds the others' as summaries."""
+    turns = table(spark, sf_dir, "conversations").select(F.coalesce(F.col("conv_id").cast("string"), F.lit("none")).alias("conv"), "turn", "role", "text")
+    asked, path = F.col("role") == "user", F.concat(F.lit("conv/"), F.col("conv"))
+    made = {
+        "id": F.concat(path, F.lit("::"), F.coalesce(F.col("turn").cast("string"), F.lit("none"))), "file_path": path, "node_type": F.lit("function"), "name": F.lit("turn"), "qualified_name": F.lit("turn"),
+        "docstring": F.when(asked, F.col("text")), "start_line": F.lit(1), "end_line": F.lit(1), "language": F.lit("none"), "content_hash": F.lit(""), "ord": F.coalesce(F.col("turn").cast("int"), F.lit(-1)),
+    }
+    columns = lambda more: [{**made, **more}.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.NODE.fields]
+    index = store.Index(spark, own_folder(spark, "turns"))
+    index.write({"nodes": turns.select(*columns({}))})
+    index.enriched(turns.where(~asked | F.col("role").isNull()).select(*columns({"semantic_summary": F.col("text")})))
+    return index.full_text()
+
+
+@query
+def best_of_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best turns by any of some words, from the blocks of a stored index of two segments that can hold them."""
+    best = bm25.best_any(_turn_index(spark, sf_dir), [t for p in query_text.phrases(ANY_OF) for t in p], 20)
+    return best.select("id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query
 def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, _ = _text_index(spark, sf_dir)

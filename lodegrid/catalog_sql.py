@@ -143,6 +143,13 @@ UNION ALL SELECT 'conv/' || conv_id || '::c' || conv_id || '.t' || turn, 'c' ||
         "bm25_and": f"WITH {_score(['public', 'license'])} SELECT doc_id, round(score, 6) AS score FROM sc WHERE n = 2",
         "bm25_or": f"WITH {_score(['public', 'license'])} SELECT doc_id, round(score, 6) AS score FROM sc",
         "bm25_and_then_or": f"WITH {_score(['public', 'license'])} SELECT doc_id, round(score, 6) AS score, (2 - n)::BIGINT AS leg, row_number() OVER (ORDER BY 2 - n, score DESC, doc_id) AS rank FROM sc ORDER BY rank LIMIT 10",
+        "best_of_blocks": r"""WITH d AS (
+  SELECT 'conv/' || coalesce(conv_id::VARCHAR, 'none') || '::' || coalesce(turn::VARCHAR, 'none') AS id, list_filter(regexp_split_to_array(strip_accents(lower(coalesce(text, ''))), '[^\p{L}\p{N}]+'), lambda t: t <> '') AS ts FROM conversations
+), tf AS (SELECT id, len(ts) + 2 AS len, q.t, len(list_filter(ts, lambda x: x = q.t))::DOUBLE AS tf FROM d, (SELECT unnest(['nicht', 'fur', 'sch']) AS t) q
+), st AS (SELECT count(*)::DOUBLE AS n_docs, sum(len(ts) + 2)::DOUBLE / count(*) AS avgdl FROM d
+), idf AS (SELECT t, CASE WHEN ln((n_docs - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_docs - n + 0.5) / (n + 0.5)) END AS idf FROM (SELECT t, count(*)::DOUBLE AS n FROM tf WHERE tf > 0 GROUP BY 1), st
+), sc AS (SELECT id, sum(idf * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl))) AS score FROM tf JOIN idf USING (t), st WHERE tf > 0 GROUP BY 1)
+SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sc ORDER BY rank LIMIT 20""",
         "phrase_match": f"WITH {_INDEX} SELECT a.doc_id, count(*) AS n_matches FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND a.c = b.c AND b.pos = a.pos + 1 WHERE a.t = 'public' AND b.t = 'license' GROUP BY 1",
         "index_statistics": f"WITH {_INDEX} SELECT (SELECT count(*) FROM dl) AS n_docs, (SELECT sum(len)::BIGINT FROM dl) AS n_tokens, (SELECT count(DISTINCT t) FROM tok) AS n_terms",
         "semantic_search": r"""WITH tok AS (

@@ -207,11 +207,14 @@ class Index:
             commit.replace(n, rows)
         if "nodes" in tables:
             nodes = commit.written["nodes"]
-            more = derived(nodes, commit.written["lines"]) if "lines" in tables else {"names": edge_ops.names_of(nodes)}
-            for n, rows in more.items():
-                if n not in tables:
-                    commit.replace(n, rows)
-            commit.replace_text(nodes)
+            with ThreadPoolExecutor(WRITERS) as pool:
+                text = pool.submit(commit.replace_text, nodes)
+                names = commit.replace("names", edge_ops.names_of(nodes))
+                if "lines" in tables:
+                    words = commit.replace("mentions", edge_ops.sites(commit.written["lines"], nodes))
+                    if "edges" not in tables:
+                        commit.replace("edges", edge_ops.link(words, names, commit.written["lines"]))
+                text.result()
         commit.done()
         return self.read()
 
@@ -283,6 +286,7 @@ class Index:
         self.upgrade()
         commit, old = Commit(self), self.read()
         answered = commit.stage("answered", nodes)
+        commit.small = self.size(f"{commit.folder}/stage/answered") < SMALL
         paths = answered.select("file_path").distinct()
         before = commit.stage("before", matching(old["nodes"], "file_path", paths))
         # A file's rows are ended together, so its other nodes are written again with them.
@@ -391,18 +395,17 @@ class Commit:
 
     def add_text(self, nodes: DataFrame, before: DataFrame) -> None:
         """The full-text index of new nodes, and what those before them take off its sums."""
-        postings = self.add("postings", bm25.ordered(bm25.indexed(nodes), self.small))
-        blocks = self.add("blocks", bm25.block_bounds(postings))
-        less = bm25.postings(before).groupBy("term").agg((-F.count(F.lit(1))).alias("n"))
-        terms = blocks.groupBy("term").agg(F.sum("n").alias("n")).unionByName(less).groupBy("term").agg(F.sum("n").alias("n"))
-        self.add("terms", terms.where("n <> 0"))
-        self.add("totals", text_totals(nodes).unionByName(text_totals(before).select((-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"))))
+        with ThreadPoolExecutor(2) as pool:
+            sums = pool.submit(self.add, "totals", text_totals(nodes).unionByName(text_totals(before).select((-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"))))
+            blocks = self.add("blocks", bm25.block_bounds(self.add("postings", bm25.ordered(bm25.indexed(nodes), self.small))))
+            less = bm25.postings(before).groupBy("term").agg((-F.count(F.lit(1))).alias("n"))
+            terms = blocks.groupBy("term").agg(F.sum("n").alias("n")).unionByName(less).groupBy("term").agg(F.sum("n").alias("n"))
+            self.add("terms", terms.where("n <> 0"))
+            sums.result()
 
     def replace_text(self, nodes: DataFrame) -> None:
-        postings = self.replace("postings", bm25.ordered(bm25.indexed(nodes)))
-        blocks = self.replace("blocks", bm25.block_bounds(postings))
-        self.replace("terms", blocks.groupBy("term").agg(F.sum("n").alias("n")))
-        self.replace("totals", text_totals(nodes))
+        self.replaced |= {"postings", "blocks", "terms", "totals"}
+        self.add_text(nodes, nodes.limit(0))
 
     def _next(self) -> dict:
         tables, ended = {}, {}
