@@ -1,11 +1,14 @@
+import json
 import os
+import random
 import threading
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodegrid import cli, schemas
-from lodegrid.operators import enrichment
+from lodegrid.operators import bm25, enrichment
 from lodegrid.plans import store
 from lodegrid.sources import files as source_files
 from lodegrid.streaming.refresh import refresh
@@ -183,3 +186,119 @@ def test_stream_refreshes_an_index(spark, tmp_path):
     tables = index.read()
     assert {r.name for r in tables["nodes"].where(F.col("node_type") == "function").collect()} == {"foo", "bar"}
     assert tables["edges"].where("edge_type = 'calls'").count() == 1
+
+
+def everything(tables):
+    """Content of all tables that follow from files, but for when it was made."""
+    found = {n: sorted(map(str, map(tuple, tables[n].collect()))) for n in ("lines", "mentions", "names", "edges")}
+    found["nodes"] = sorted(map(str, map(tuple, tables["nodes"].drop("enriched_at").collect())))
+    found["files"] = sorted(tuple(r) for r in tables["files"].select("path", "content_hash", "node_count").collect())
+    return found
+
+
+def ranks(index, nodes, phrases):
+    """What full-text search finds by the stored index, and by one made from the nodes."""
+    stored = [(r.id, round(r.score, 9), r.rank) for r in bm25.top(index, phrases, None, 5).orderBy("rank").collect()]
+    fresh = bm25.top(bm25.postings(nodes), phrases, nodes.select("id"), 5).orderBy("rank").collect()
+    return stored, [(r.id, round(r.score, 9), r.rank) for r in fresh]
+
+
+def test_random_edits_equal_a_fresh_build(spark, tmp_path, monkeypatch):
+    """Files changed, broken, mended and removed, by Python and Ruby names (some no words): as a build from nothing, segments merged or not."""
+    monkeypatch.setattr(bm25, "BLOCK", 2)
+    monkeypatch.setattr(store, "FAN", 2)
+    monkeypatch.setattr(store, "ENDED_FILES", 1)
+    rng, src, index = random.Random(11), tmp_path / "src", store.Index(spark, str(tmp_path / "i"))
+    names = ["alpha", "beta", "gamma", "delta", "valid?", "save!"]
+
+    def text(kind):
+        own, used = rng.choice(names), [rng.choice(names) for _ in range(3)]
+        if kind == "py":
+            word = own.rstrip("?!")
+            return f"def {word}():\n    return {used[0].rstrip('?!')}() + {used[1].rstrip('?!')}()\n\nclass {word.title()}:\n    def {rng.choice(names).rstrip('?!')}(self):\n        {used[2].rstrip('?!')}\n"
+        return f"class {own.rstrip('?!').title()}\n  def {own}\n    {used[0]}\n    {used[1]} # {used[2]}\n  end\nend\n"
+
+    paths = ["a/m.py", "a/n.py", "b/o.py", "r/p.rb", "r/q.rb", "top.rb"]
+    write(src, {p: text(p[-2:]) for p in paths})
+    index.build(str(src))
+    for step in range(4):
+        some = rng.sample(paths, 2)
+        write(src, {some[0]: text(some[0][-2:])})
+        if (src / some[1]).exists() and step % 2:
+            os.remove(src / some[1])
+        else:
+            write(src, {some[1]: text(some[1][-2:])})
+        write(src, {"bad.py": "def (" if step in (0, 1) else "def beta():\n    return alpha()\n"})
+        tables, _ = index.build(str(src))
+        if step == 3:
+            fresh = store.Index(spark, str(tmp_path / f"fresh{step}"))
+            want = everything(fresh.build(str(src))[0])
+            assert everything(tables) == want and want["edges"]
+            assert any("?" in e or "!" in e for e in want["names"])
+            for query in ([("alpha",)], [("alpha",), ("beta",)], [("valid",)], [("def", "x")], [("m", "py")]):
+                stored, again = ranks(index.full_text(), tables["nodes"], query)
+                assert stored == again
+            old, new = index.full_text(), fresh.full_text()
+            counts = lambda t: sorted(tuple(r) for r in t.groupBy("term").agg(F.sum("n").alias("n")).where("n <> 0").collect())
+            assert counts(old.terms) == counts(new.terms) and old.total().first() == new.total().first()
+    assert all(len(s) <= 3 for s in index.state()["tables"].values())
+
+
+def test_bytes_written_follow_the_change(spark, tmp_path):
+    src, index = tmp_path / "src", store.Index(spark, str(tmp_path / "i"))
+    body = "\n".join(f"def f{{0}}_{i}():\n    return f{{1}}_{i}()\n" for i in range(20))
+    write(src, {f"m{i}.py": body.format(i, (i + 1) % 30) for i in range(30)})
+    index.build(str(src))
+    whole = index.state()["tables"]
+    write(src, {"m7.py": body.format(7, 9)})
+    tables, _ = index.build(str(src))
+    after = index.state()["tables"]
+    for name in ("nodes", "lines", "mentions", "names", "edges", "postings"):
+        assert after[name][:-1] == whole[name]  # the first build's files are as they were
+        new = store.Index.live(index, name, index.state(), after[name][-1:])
+        total = tables[name].count() if name in tables else 1
+        assert new.count() <= total / 10
+    touched = index.live("edges", index.state(), after["edges"][-1:])
+    assert {r[0] for r in touched.select("source_path").distinct().collect()} <= {"m7.py", "m6.py"}
+    assert tables["edges"].where("source_path = 'm7.py' AND target_path = 'm9.py'").count() == 20
+    assert tables["edges"].where("source_path = 'm7.py' AND target_path = 'm8.py'").count() == 0
+
+
+def test_enrichment_asks_each_prompt_once(spark, tmp_path):
+    """As the command line does it: each call leaves a file, and all that is stored describes the same reply."""
+    src, calls, index = tmp_path / "src", tmp_path / "calls", store.Index(spark, str(tmp_path / "i"))
+    calls.mkdir()
+    write(src, {"a.py": "def foo():\n    return 1\n\ndef bar():\n    return foo()\n", "b.py": "def other():\n    return 1\n"})
+    tables, _ = index.build(str(src))
+    at = str(calls)
+
+    def model(prompt):
+        name = uuid.uuid4().hex
+        with open(f"{at}/{name}", "w") as f:
+            f.write(prompt)
+        return json.dumps({"semantic_summary": f"told{name}", "domain_tags": [], "inferred_responsibility": "R"})
+
+    edges, nodes = sorted(map(tuple, tables["edges"].collect())), tables["nodes"].count()
+    prompts = enrichment.node_prompts(tables["nodes"], tables["edges"])
+    n = prompts.count()
+    tables = index.enriched(enrichment.answered_nodes(tables["nodes"], enrichment.replies(prompts, model), "stub"))
+    assert len(list(calls.iterdir())) == n > 0
+    told = {r.semantic_summary for r in tables["nodes"].where("enriched_at IS NOT NULL").collect()}
+    assert len(told) == n and told == {f"told{f.name}" for f in calls.iterdir()}
+    for summary in told:
+        assert bm25.top(index.full_text(), [(summary,)], None, 5).count() == 1
+    assert sorted(map(tuple, tables["edges"].collect())) == edges and tables["nodes"].count() == nodes
+
+
+def test_older_index_is_read_and_upgraded(spark, tmp_path):
+    src, index, old = tmp_path / "src", store.Index(spark, str(tmp_path / "i")), store.Index(spark, str(tmp_path / "old"))
+    write(src, {"a.py": "def foo():\n    return bar()\n", "b.py": "def bar():\n    return 1\n"})
+    tables, _ = index.build(str(src))
+    for n in ("nodes", "files", "lines", "meta", "directories"):
+        tables[n].write.parquet(f"{tmp_path}/old/snapshot-1/{n}")
+    tables["edges"].select(*[f.name for f in schemas.EDGE.fields]).write.parquet(f"{tmp_path}/old/snapshot-1/edges")
+    (tmp_path / "old" / "CURRENT").write_text(json.dumps({"snapshot": "snapshot-1", "schema_version": 2}))
+    assert everything(old.read()) == everything(tables)
+    assert bm25.top(old.full_text(), [("bar",)], None, 5).count() > 0
+    old.upgrade()
+    assert old.schema_version() == schemas.SCHEMA_VERSION and everything(old.read()) == everything(tables)
