@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodegrid import catalog_sql, schemas
 from lodegrid.functions import query_text
 from lodegrid.functions.columns import ancestors, depth, fold, parent_dir, token_estimate, tokens, word_count
-from lodegrid.operators import bm25, chunking, edges, enrichment, formats, graph, rollup, search
+from lodegrid.operators import bm25, chunking, edges, enrichment, formats, graph, rollup, search, trigrams
 from lodegrid.operators.resolve import innermost
 from lodegrid.plans import store
 from lodegrid.plans.shared import own_folder
@@ -24,6 +24,7 @@ IDENTIFIER, PUNCTUATED = "License", "License,"
 PATTERNS = ("License", "MIT", "the", "und", "Public", "version")
 PHRASES = "public license"
 ANY_OF = "nicht für sch"
+LITERAL, EXPRESSION = "example.c", "(blog|news)[./].*[0-9]{2}[.]html"
 ROOT = "n7"
 
 
@@ -79,6 +80,15 @@ def word_match_punctuated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.where(word_count("text", PUNCTUATED) > 0).select("file_path", F.col("line_no").cast("bigint").alias("line_no"))
 
 
+@query
+def trigram_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose address holds a literal, or matches an expression, by way of an index of three-character pieces."""
+    lines = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("file_path"), F.lit(1).alias("line_no"), F.col("url").alias("text"))
+    grams = trigrams.write(trigrams.index(lines), own_folder(spark, "trigrams") + "/grams")
+    found = lambda p, literal: trigrams.grep(lines, grams, p, literal).select(F.lit(p).alias("pattern"), F.col("file_path").cast("bigint").alias("page_id"))
+    return found(LITERAL, True).unionByName(found(EXPRESSION, False))
+
+
 # Joins.
 
 

@@ -116,6 +116,7 @@ SELECT id, hits, wm AS whole_matches, wf AS whole_files, round((1.0::DOUBLE / wm
         "multi_pattern_match": rf"""WITH {_FILES}, t AS (SELECT file_path, unnest(regexp_extract_all(line, '[\p{{L}}\p{{N}}_]+')) AS name FROM lines)
 SELECT file_path, name, count(*) AS n_matches FROM t WHERE name IN ('License', 'MIT', 'the', 'und', 'Public', 'version') GROUP BY 1, 2""",
         "word_match_punctuated": f"WITH {_FILES} SELECT file_path, line_no FROM lines WHERE {_hit('License,')}",
+        "trigram_grep": "SELECT 'example.c' AS pattern, page_id FROM pages WHERE contains(url, 'example.c') UNION ALL SELECT '(blog|news)[./].*[0-9]{2}[.]html', page_id FROM pages WHERE regexp_matches(url, '(blog|news)[./].*[0-9]{2}[.]html')",
         "innermost_enclosing": f"WITH {_NODES} SELECT l.file_path, l.line_no, arg_min(nodes.id, row(e - s, ord)) AS id FROM lines l JOIN nodes ON nodes.file_path = l.file_path AND l.line_no BETWEEN s AND e GROUP BY 1, 2",
         "name_reference_edges": f"WITH {_EDGES} SELECT source_id, target_id, edge_type, call_site_line FROM edges",
         "edge_type_histogram": f"WITH {_EDGES} SELECT edge_type, count(*) AS n_edges FROM edges GROUP BY 1",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import hashlib
 import importlib
 import os
 import sys
@@ -124,10 +125,12 @@ def main(argv: list[str] | None = None) -> int:
             print(f"{n} nodes to enrich, about {enrichment.minutes(n, a.concurrency)} minutes")
             return 0 if a.dry_run else 2
         model = enrichment.informed(model_of(a.model), enrichment.project_prompt(tables["directories"], readme(a.root)))
+        ledger = f"{index.uri}/replies-{hashlib.sha256(a.model.encode()).hexdigest()[:16]}"  # stays until all that was asked is stored
         for prompts, keys in ((lambda t: enrichment.node_prompts(t["nodes"], t["edges"]), enrichment.NODE_KEYS), (lambda t: enrichment.file_prompts(t["nodes"]), enrichment.DIRECTORY_KEYS)):
-            told = enrichment.replies(prompts(tables), model, concurrency=a.concurrency)
+            told = enrichment.replies_once(prompts(tables), model, ledger, concurrency=a.concurrency)
             tables = index.enriched(enrichment.answered_nodes(tables["nodes"], told, a.model, keys))
-        tables = index.write({"directories": enrichment.enrich_directories(tables["nodes"], tables["directories"], model, a.model, concurrency=a.concurrency)})
+        tables = index.write({"directories": enrichment.enrich_directories(tables["nodes"], tables["directories"], model, a.model, concurrency=a.concurrency, ledger=ledger)})
+        index.remove(ledger.rsplit("/", 1)[1])
         left = enrichment.unenriched(tables["nodes"]).count()
         index.write({"meta": index.meta_table({"unenriched_nodes": left})})
         return 1 if left else 0

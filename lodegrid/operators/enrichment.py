@@ -6,12 +6,15 @@ Spark; calls run on executors, some at a time in each task.
 
 from __future__ import annotations
 
+import json
 import re
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ from lodegrid.operators import rollup
 
 Model = Callable[[str], str]
 CONCURRENCY, ATTEMPTS, CHILDREN_OF_FILE = 10, 3, 50
+#: Replies of a file of the ledger, and tasks that share the calls at a time.
+EVERY, TASKS = 10, 8
 README_CHARS, SUMMARY_CHARS, PROMPT_DIRECTORIES = 3000, 100, 50
 # Keys of the model's replies.
 NODE_KEYS = ("semantic_summary", "domain_tags", "inferred_responsibility")
@@ -136,6 +141,70 @@ def replies(prompts: DataFrame, model: Model, key: str = "id", concurrency: int
     return prompts.select(key, "prompt").mapInPandas(run, f"{key} string, reply string")
 
 
+def replies_once(prompts: DataFrame, model: Model, ledger: str, key: str = "id", concurrency: int = CONCURRENCY, every: int = EVERY) -> DataFrame:
+    """``replies``, each distinct prompt asked once, whatever fails or is evaluated again.
+
+    Replies go to the ledger (the URI of a shared folder) as they come, ``every`` at a time, by the prompt's
+    hash; a task that is run again reads its own, a later run all.  No reply is written for calls that failed, so these
+    are tried again.  A task that dies loses what it hasn't written: fewer than ``every`` replies.
+    ``concurrency`` bounds the calls at a time of all tasks together.
+    """
+    spark, run_id = prompts.sparkSession, uuid.uuid4().hex
+    tasks = max(1, min(concurrency, TASKS))
+    threads = max(1, concurrency // tasks)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = _Ledger(f"{ledger}/{run_id}/{TaskContext.get().partitionId():05d}")
+        known = own.read()
+        with ThreadPoolExecutor(threads) as pool:
+            for batch in batches:
+                for at in range(0, len(batch), every):
+                    some = batch.iloc[at : at + every]
+                    left = some[~some["hash"].isin(known)]
+                    new = {h: r for h, r in zip(left["hash"], pool.map(lambda p: call(model, p), left["prompt"]), strict=True) if r is not None}
+                    own.add(new)
+                    known |= new
+                    yield pd.DataFrame({"hash": some["hash"], "reply": [known.get(h) for h in some["hash"]]})
+
+    held = _Ledger(ledger)
+    held.open()
+    done = spark.read.schema("hash string, reply string").option("recursiveFileLookup", "true").json(ledger).groupBy("hash").agg(F.max("reply").alias("reply"))
+    asked = prompts.select(key, "prompt", F.sha2("prompt", 256).alias("hash"))
+    distinct = asked.groupBy("hash").agg(F.max("prompt").alias("prompt"))
+    new = distinct.join(done, "hash", "left_anti").repartition(tasks, "hash").select("hash", "prompt").mapInPandas(run, "hash string, reply string")
+    return asked.select(key, "hash").join(done.unionByName(new), "hash", "left").select(key, "reply")
+
+
+class _Ledger:
+    """Files of replies in a folder of the shared store, each there under its name once it is whole."""
+
+    def __init__(self, uri: str):
+        from pyarrow import fs
+
+        self.store, self.at = fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:/") else (fs.LocalFileSystem(), uri)
+
+    def open(self) -> None:
+        self.store.create_dir(self.at, recursive=True)
+
+    def read(self) -> dict[str, str]:
+        from pyarrow import fs
+
+        found = {}
+        for info in self.store.get_file_info(fs.FileSelector(self.at, allow_not_found=True)):
+            if info.path.endswith(".json"):
+                with self.store.open_input_file(info.path) as f:
+                    found |= {r["hash"]: r["reply"] for r in map(json.loads, f.read().decode().splitlines())}
+        return found
+
+    def add(self, replies: dict[str, str]) -> None:
+        if replies:
+            self.open()
+            at = f"{self.at}/{uuid.uuid4().hex}"
+            with self.store.open_output_stream(f"{at}.part") as f:
+                f.write("".join(json.dumps({"hash": h, "reply": r}) + "\n" for h, r in replies.items()).encode())
+            self.store.move(f"{at}.part", f"{at}.json")
+
+
 def answered_nodes(nodes: DataFrame, answered: DataFrame, model_name: str, keys: tuple[str, str, str] = NODE_KEYS) -> DataFrame:
     """Only the nodes that have a good reply (id, reply), with it: what ``Index.enriched`` takes."""
     good = answered.select("id", parse_reply("reply", keys).alias("r")).where(F.col("r").isNotNull())
@@ -167,7 +236,7 @@ def enrich_files(nodes: DataFrame, model: Model, model_name: str = "model", conc
     return apply_nodes(nodes, replies(file_prompts(nodes), model, concurrency=concurrency), model_name, DIRECTORY_KEYS)
 
 
-def enrich_directories(nodes: DataFrame, summaries: DataFrame, model: Model, model_name: str = "model", write: Callable[[DataFrame], DataFrame] = lambda df: df.cache(), concurrency: int = CONCURRENCY) -> DataFrame:
+def enrich_directories(nodes: DataFrame, summaries: DataFrame, model: Model, model_name: str = "model", write: Callable[[DataFrame], DataFrame] = lambda df: df.cache(), concurrency: int = CONCURRENCY, ledger: str | None = None) -> DataFrame:
     """Directory summaries, the deepest first, as each level reads the one below; the project is last.
 
     ``write`` stores a level before the next one reads it.
@@ -180,7 +249,8 @@ def enrich_directories(nodes: DataFrame, summaries: DataFrame, model: Model, mod
         if now.isEmpty():
             continue
         asked = directory_prompts(rollup.contents(nodes, summaries, now))
-        good = replies(asked, model, "dir_path", concurrency).select("dir_path", parse_reply("reply", DIRECTORY_KEYS).alias("r")).where(F.col("r").isNotNull())
+        told = replies_once(asked, model, ledger, "dir_path", concurrency) if ledger else replies(asked, model, "dir_path", concurrency)
+        good = told.select("dir_path", parse_reply("reply", DIRECTORY_KEYS).alias("r")).where(F.col("r").isNotNull())
         new = good.join(asked.select("dir_path", "child_count"), "dir_path").select(
             "dir_path", "r.summary", "r.domain_tags", "r.responsibility", "child_count", F.current_timestamp().alias("enriched_at"), F.lit(model_name).alias("enrichment_model")
         )

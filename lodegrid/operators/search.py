@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodegrid.functions import query_text
 from lodegrid.functions.columns import word_count
 from lodegrid.operators import bm25, graph, rollup
-from lodegrid.operators.resolve import innermost
+from lodegrid.operators.resolve import innermost, matching
 
 RESULT = ("id", "file_path", "node_type", "name", "qualified_name", "signature", "semantic_summary", "domain_tags", "start_line", "end_line")
 MAX_DIRECTORIES, SOURCE_DIRECTORIES = 5, 3
@@ -34,13 +34,26 @@ def score_lexical(hits: DataFrame, identifier: str, files: int) -> DataFrame:
     return hits.withColumn("score", (exact + 1.0 / whole + 0.5 * F.col("hits")) * rarity * common)
 
 
-def lexical(identifier: str, nodes: DataFrame, lines: DataFrame, k: int = 10, files: int | None = None) -> DataFrame:
-    """(id, rank, score): nodes whose lines have an identifier as a whole word."""
-    found = lines.where(F.col("text").contains(identifier)).where(word_count("text", identifier) > 0).select("file_path", "line_no")
+def lexical(identifier: str, nodes: DataFrame, lines: DataFrame, k: int = 10, files: int | None = None, mentions: DataFrame | None = None) -> DataFrame:
+    """(id, rank, score): nodes whose lines have an identifier as a whole word.
+
+    ``mentions``: stored words of lines with their nodes, where the identifier's longest word is looked up; only if it has
+    more characters than that word its lines are read and matched.  Without them all lines are.
+    """
+    word = max(re.findall(r"\w+", identifier), key=len, default="")
+    if mentions is not None and word:
+        found = mentions.where(F.col("word") == word).select("file_path", "line_no", "node_id")
+        if word != identifier:
+            text = matching(lines, "file_path", found.select("file_path")).where(word_count("text", identifier) > 0).select("file_path", "line_no")
+            found = found.join(text, ["file_path", "line_no"], "left_semi")
+        named = nodes.select(F.col("id").alias("node_id"), F.col("name").alias("node_name"), F.col("file_path").alias("node_file_path"), F.col("start_line").alias("node_start_line"))
+        near = found.join(named, "node_id")
+    else:
+        found = lines.where(F.col("text").contains(identifier)).where(word_count("text", identifier) > 0).select("file_path", "line_no")
+        near = innermost(found, nodes, ["id", "name", "file_path", "start_line"])
     whole = found.agg(F.count(F.lit(1)).alias("whole_matches"), F.countDistinct("file_path").alias("whole_files"))
     if files is None:
         files = nodes.agg(F.countDistinct("file_path")).first()[0]
-    near = innermost(found, nodes, ["id", "name", "file_path", "start_line"])
     hits = near.groupBy(F.col("node_id").alias("id"), F.col("node_name").alias("name"), F.col("node_file_path").alias("path"), F.col("node_start_line").alias("start")).agg(F.count(F.lit(1)).alias("hits"))
     scored = score_lexical(hits.crossJoin(F.broadcast(whole)), identifier, files)  # whole is one row
     order = [F.col("score").desc(), F.col("path"), F.col("start"), F.col("id")]
@@ -74,11 +87,11 @@ def first_wins(legs: list[DataFrame], k: int) -> DataFrame:
     return best.select("id", F.row_number().over(Window.orderBy("leg", "place", "id")).alias("rank"), "score")
 
 
-def hybrid(text: str, nodes: DataFrame, lines: DataFrame, k: int = 10, index: DataFrame | bm25.Stored | None = None, sizes: DataFrame | None = None) -> DataFrame:
+def hybrid(text: str, nodes: DataFrame, lines: DataFrame, k: int = 10, index: DataFrame | bm25.Stored | None = None, sizes: DataFrame | None = None, mentions: DataFrame | None = None) -> DataFrame:
     """Lexical search for each identifier of the query, in order, then full-text search."""
     words = [w for w in dict.fromkeys(text.split()) if query_text.is_identifier(w)]
     files = nodes.agg(F.countDistinct("file_path")).first()[0] if words else 0
-    return first_wins([lexical(w, nodes, lines, k, files) for w in words] + [semantic(text, nodes, k, index, sizes)], k)
+    return first_wins([lexical(w, nodes, lines, k, files, mentions) for w in words] + [semantic(text, nodes, k, index, sizes)], k)
 
 
 def describe(ranked: DataFrame, summaries: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -156,7 +169,7 @@ def run(text: str, tables: dict[str, DataFrame], kind: str | None = None, k: int
 
     ``index``: the stored full-text index of the nodes.
     """
-    nodes, lines = tables["nodes"], tables["lines"]
+    nodes, lines, words = tables["nodes"], tables["lines"], tables.get("mentions")
     chosen = query_text.strategy(text, kind)
     if chosen == "graph":
         return chosen, graph.search(text, nodes, tables["edges"], depth)
@@ -165,10 +178,10 @@ def run(text: str, tables: dict[str, DataFrame], kind: str | None = None, k: int
     if chosen.startswith("hierarchical"):
         return chosen, hierarchical(text, nodes, tables["directories"], k)
     if chosen == "hybrid":
-        return chosen, present(hybrid(text, nodes, lines, k, index), nodes, with_source)
+        return chosen, present(hybrid(text, nodes, lines, k, index, mentions=words), nodes, with_source)
     # At most k rows: kept, as they are looked at and then shown.
-    ranked = (lexical(text, nodes, lines, k) if chosen == "lexical" else semantic(text, nodes, k, index)).cache()
+    ranked = (lexical(text, nodes, lines, k, mentions=words) if chosen == "lexical" else semantic(text, nodes, k, index)).cache()
     if ranked.isEmpty():
-        words = [w for w in text.split() if query_text.is_identifier(w)] or text.split()
-        ranked = semantic(text, nodes, k, index) if chosen == "lexical" else first_wins([lexical(w, nodes, lines, k) for w in words], k) if words else ranked
+        given = [w for w in text.split() if query_text.is_identifier(w)] or text.split()
+        ranked = semantic(text, nodes, k, index) if chosen == "lexical" else first_wins([lexical(w, nodes, lines, k, mentions=words) for w in given], k) if given else ranked
     return chosen, present(ranked, nodes, with_source)

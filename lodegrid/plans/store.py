@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from lodegrid import schemas
 from lodegrid.operators import bm25, extraction
 from lodegrid.operators import edges as edge_ops
+from lodegrid.operators.resolve import LISTED, matching
 from lodegrid.sources import files as source_files
 
 NODE_ENRICHMENT = ("semantic_summary", "domain_tags", "inferred_responsibility", "enriched_at", "enrichment_model")
@@ -78,8 +79,6 @@ def summary(tables: dict[str, DataFrame]) -> DataFrame:
 
 #: Rows of a table lie in this order, so that a scan for some keys skips the others.
 ORDER = {"nodes": ["file_path", "ord"], "lines": ["file_path", "line_no"], "mentions": ["word", "file_path"], "names": ["stem"], "edges": ["source_path"], "files": ["path"], "postings": ["term", "id"], "blocks": ["term"], "terms": ["term"]}
-#: Keys that are named to a scan one by one; more are joined.
-LISTED = 1_000
 #: Bytes of the row groups of tables that are looked up by keys.
 ROW_GROUP_BYTES = 4 << 20
 #: Segments of like sizes, and files of ended owners of a table, before they are written as one.
@@ -91,15 +90,6 @@ WRITERS = 6
 ENDED = "via string, owner string, segment int"
 
 
-def matching(table: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """Rows of a table whose column has one of some keys (first column); few keys are looked up, more are joined."""
-    keys = keys.select(F.col(keys.columns[0]).alias("wanted_key")).distinct()
-    few = [r[0] for r in keys.limit(LISTED + 1).collect()]
-    if len(few) <= LISTED:
-        return table.where(F.col(column).isin(few) if few else F.lit(False))
-    return table.join(keys, F.col(column) == F.col("wanted_key"), "left_semi")
-
-
 class Index:
     """An index in a folder: a local path, or the URI of any store that Spark's Hadoop can write."""
 
@@ -164,6 +154,11 @@ class Index:
         store, path = self._hadoop(at)
         return store.getContentSummary(path).getLength() if store.exists(path) else 0
 
+    def remove(self, name: str) -> None:
+        """Delete a folder of the index."""
+        store, path = self._hadoop(name)
+        store.delete(path, True)
+
     def live(self, table: str, state: dict, segments: list[dict] | None = None) -> DataFrame:
         """A table's rows, with ``segment``, that no later commit has ended."""
         segments = state["tables"].get(table, []) if segments is None else segments

@@ -33,7 +33,7 @@ META = _fields("key string!,value string!")
 LINE = _fields("file_path string!,line_no int!,text string!")
 #: What follows from nodes and lines, so that a build touches only what changed: words of lines with the unit that each line
 #: belongs to, names that units can be called by, edges with the files of their ends.
-MENTION = _fields("word string!,file_path string!,line_no int!,node_id string!,node_type string!,node_name string!,node_qualified string!")
+MENTION = _fields("word string!,file_path string!,line_no int!,node_id string,node_type string,node_name string,node_qualified string")
 NAME = _fields("stem string!,plain bool!,name string!,target_id string!,target_type string!,target_qualified string!,target_path string!")
 SITED_EDGE = T.StructType(EDGE.fields + _fields("source_path string!,target_path string!").fields)
 #: The full-text index of nodes: places of terms; blocks of postings with what bounds their scores; how many documents have a

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -28,13 +28,38 @@ def apply_batch(index: Index, files: DataFrame, patterns: list[str] | None = Non
     changed.unpersist()
 
 
-def refresh(index: Index, root: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Keep an index up with the files that arrive under a root."""
+def path_below(root: str) -> Column:
+    """The path of a listed file below a root."""
     base = root.rstrip("/") + "/"
+    return F.substring(F.regexp_replace("path", r"^[a-z0-9]+:(//[^/]*)?", ""), F.lit(len(base) + 1), F.lit(1 << 20))
+
+
+def sweep(index: Index, root: str) -> int:
+    """Drop what the index has of files that are no longer under a root; how many went. Files are listed, not read."""
+    known = index.read()["files"].select("path")
+    listed = index.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(path_below(root).alias("path"))
+    went = known.join(listed, "path", "left_anti").cache()
+    n = went.count()
+    if n:
+        nothing = source_files.indexable(index.spark.createDataFrame([], "path string, content binary, length bigint, last_modified timestamp"), [])[0]
+        index.apply(nothing, went)
+    went.unpersist()
+    return n
+
+
+def removals(index: Index, root: str, checkpoint: str, seconds: int = 60) -> StreamingQuery:
+    """Keep an index free of files that went: a listing at each tick of a clock, compared with what is known."""
+    clock = index.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    writer = clock.writeStream.foreachBatch(lambda rows, _: sweep(index, root)).option("checkpointLocation", checkpoint)
+    return writer.trigger(processingTime=f"{seconds} seconds").start()
+
+
+def refresh(index: Index, root: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Keep an index up with the files that arrive under a root; those that went are dropped as others arrive."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        path = F.regexp_replace("path", r"^[a-z0-9]+:(//[^/]*)?", "")
-        apply_batch(index, rows.select(F.substring(path, F.lit(len(base) + 1), F.lit(1 << 20)).alias("path"), "content", "length", F.col("modificationTime").alias("last_modified")))
+        sweep(index, root)
+        apply_batch(index, rows.select(path_below(root).alias("path"), "content", "length", F.col("modificationTime").alias("last_modified")))
 
     writer = arrivals(index.spark, root).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -2,16 +2,17 @@ import json
 import os
 import random
 import threading
+import time
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodegrid import cli, schemas
-from lodegrid.operators import bm25, enrichment
+from lodegrid.operators import bm25, enrichment, search
 from lodegrid.plans import store
 from lodegrid.sources import files as source_files
-from lodegrid.streaming.refresh import refresh
+from lodegrid.streaming.refresh import refresh, removals, sweep
 from tests.fixtures import frame, node, search_tables
 
 
@@ -186,6 +187,15 @@ def test_stream_refreshes_an_index(spark, tmp_path):
     tables = index.read()
     assert {r.name for r in tables["nodes"].where(F.col("node_type") == "function").collect()} == {"foo", "bar"}
     assert tables["edges"].where("edge_type = 'calls'").count() == 1
+    os.remove(src / "n.py")
+    clock = removals(index, str(src), str(tmp_path / "r"), 1)
+    deadline = time.monotonic() + 120
+    while time.monotonic() < deadline and index.read()["files"].count() > 1:
+        time.sleep(1)
+    clock.stop()
+    tables = index.read()
+    assert {r.name for r in tables["nodes"].where(F.col("node_type") == "function").collect()} == {"foo"}
+    assert tables["edges"].count() == 0 and tables["lines"].where("file_path = 'n.py'").count() == 0 and sweep(index, str(src)) == 0
 
 
 def everything(tables):
@@ -302,3 +312,44 @@ def test_older_index_is_read_and_upgraded(spark, tmp_path):
     assert bm25.top(old.full_text(), [("bar",)], None, 5).count() > 0
     old.upgrade()
     assert old.schema_version() == schemas.SCHEMA_VERSION and everything(old.read()) == everything(tables)
+
+
+def test_calls_are_made_once_though_a_task_is_lost(spark, tmp_path):
+    """A worker dies in the middle; Spark runs its task again; then all is evaluated twice, and by a second run."""
+    prompts = spark.createDataFrame([(f"n{i}", f"prompt {i % 25}") for i in range(30)], "id string, prompt string")
+    calls, marker = tmp_path / "calls", tmp_path / "died"
+    calls.mkdir()
+    where, died = str(calls), str(marker)
+
+    def model(prompt):
+        if prompt == "prompt 13" and not os.path.exists(died):
+            open(died, "w").close()
+            raise SystemExit(1)  # no Exception: the task fails
+        with open(f"{where}/{uuid.uuid4().hex}", "w") as f:
+            f.write(prompt)
+        return None if prompt == "prompt 7" else f"reply to {prompt}"
+
+    ledger = f"file://{tmp_path}/ledger"
+    told = enrichment.replies_once(prompts, model, ledger, concurrency=4, every=1)
+    want = {f"n{i}": None if i % 25 == 7 else f"reply to prompt {i % 25}" for i in range(30)}
+    if spark.sparkContext.master.startswith("local["):  # a local master gives a task one try: the run fails, and is started again
+        with pytest.raises(Exception):  # noqa: B017
+            told.collect()
+    assert marker.exists()
+    told = enrichment.replies_once(prompts, model, ledger, concurrency=4, every=1)
+    assert {r.id: r.reply for r in told.collect()} == want
+    assert {r.id: r.reply for r in told.collect()} == want
+    again = enrichment.replies_once(prompts, model, ledger, concurrency=4)
+    assert {r.id: r.reply for r in again.collect()} == want
+    made = sorted(f.read_text() for f in calls.iterdir())
+    assert sorted(set(made)) == sorted({f"prompt {i}" for i in range(25)})
+    assert all(made.count(p) == 1 for p in set(made) - {"prompt 7"})  # the one without a reply is tried again
+
+
+def test_lexical_search_by_stored_words(spark, tmp_path):
+    src, index = tmp_path / "src", store.Index(spark, str(tmp_path / "i"))
+    write(src, {"a.py": "import b\n\ndef parse_file(p):\n    return b.open_it(p)\n", "b.py": "def open_it(p):\n    # b.open_it, parse_file\n    return p\n", "broken.py": "def (\nparse_file open_it\n"})
+    tables, _ = index.build(str(src))
+    for name in ("parse_file", "b.open_it", "open_it(p", "absent"):
+        rows = [sorted(map(tuple, search.lexical(name, tables["nodes"], tables["lines"], mentions=m).collect())) for m in (None, tables["mentions"])]
+        assert rows[0] == rows[1] and (rows[0] or name == "absent")
