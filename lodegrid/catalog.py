@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodegrid import catalog_sql, schemas
 from lodegrid.functions import query_text
 from lodegrid.functions.columns import ancestors, depth, fold, parent_dir, token_estimate, tokens, word_count
-from lodegrid.operators import bm25, chunking, edges, enrichment, formats, graph, rollup, search, trigrams
+from lodegrid.operators import bm25, chunking, edges, enrichment, formats, graph, patterns, rollup, search, trigrams
 from lodegrid.operators.resolve import innermost
 from lodegrid.plans import store
 from lodegrid.plans.shared import own_folder
@@ -89,6 +89,14 @@ def trigram_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(LITERAL, True).unionByName(found(EXPRESSION, False))
 
 
+@query
+def many_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is written between spaces in the benchmark, with its marks, looked for in all lines of documents at once."""
+    names = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "[ \\n]+")).alias("name")).where(F.length("name") > 1)
+    found = patterns.match(corpus.document_lines(_docs(spark, sf_dir)), names)
+    return found.groupBy("name").agg(F.count(F.lit(1)).alias("n_lines"), F.countDistinct("file_path").alias("n_files"))
+
+
 # Joins.
 
 
