@@ -5,7 +5,8 @@ A language is a distribution over letter 3-grams (of UTF-8 bytes, hashed to
 3-grams come from several languages in unknown proportions, which
 expectation-maximisation estimates over the whole text.  Sets of languages are
 compared by penalised likelihood: one language alone, the best two, and so on as long as a
-larger set could win; a larger set has to raise the log-likelihood by ``PENALTY`` x ln(n)
+larger set could win (the slopes at each set's mixture bound what any mixture can reach), each
+estimated over the languages of the set alone; a larger set has to raise the log-likelihood by ``PENALTY`` x ln(n)
 for each language more (n: 3-grams, thinned by 3, as neighbours overlap).
 
 The model is fitted on a bounded sample: about ``SAMPLE`` documents of each
@@ -45,6 +46,8 @@ LANGUAGES = 1_000
 PENALTY = 2.0
 #: Steps of the mixture of all languages, which ranks them; change of proportions at which a set's mixture is done, and steps at most.
 STEPS, TOLERANCE, MOST_STEPS = 6, 1e-4, 1000
+#: Languages whose likelihoods of all 3-grams of a slice are held at once; of more they are looked up again when needed.
+HELD = 8
 UNKNOWN = "und"
 _LETTER = np.full(256, 0x20, np.uint8)
 _LETTER[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -86,15 +89,14 @@ class Model:
         if not len(full):
             return share, share == share.max(1, keepdims=True), counts
         count, first = counts[full], (np.cumsum(counts) - counts)[full]
-        p = [row[bucket] for row in self.likelihood]
-        alone = np.stack([np.add.reduceat(np.log(x), first) for x in p], 1)
+        alone = np.stack([np.add.reduceat(np.log(row)[bucket], first, dtype=np.float64) for row in self.likelihood], 1)
+        everyone = np.broadcast_to(np.arange(n_lang), (len(full), n_lang))
         n_all = np.full((len(full), n_lang), 1 / n_lang)
-        before = self._expect(p, n_all, count, first, STEPS - 1)[0]
-        mixed, fit = self._expect(p, before, count, first, 1)
+        before = self._expect(bucket, everyone, n_all, count, first, STEPS - 1)[0]
+        mixed, fit = self._expect(bucket, everyone, before, count, first, 1)
         # No mixture of any set is likelier than this (the likelihood is concave in the proportions).
         bound = fit + count * (np.max(mixed / np.maximum(before, 1e-300), axis=1, initial=1.0) - 1) * 1.001 + 1
         order = np.argsort(-mixed, axis=1, kind="stable")
-        rank = np.argsort(order, axis=1, kind="stable")
         best = np.argmax(alone, axis=1)
         chosen = np.zeros_like(mixed)
         chosen[np.arange(len(full)), best] = 1.0
@@ -104,43 +106,67 @@ class Model:
             open_ = np.flatnonzero(bound - cost > score)
             if not len(open_):
                 break
-            start = np.where(rank[open_] < k, np.maximum(mixed[open_], 1e-6), 0)
-            part, fit = self._converged(p, start / start.sum(1, keepdims=True), count, first, open_)
+            own = count[open_]
+            starts = np.cumsum(own) - own
+            held = bucket[np.repeat(first[open_] - starts, own) + np.arange(own.sum())]
+            near = np.sort(order[open_, :k], axis=1)
+            start = np.maximum(np.take_along_axis(mixed[open_], near, 1), 1e-6)
+            part, fit = self._converged(held, near, start / start.sum(1, keepdims=True), own, starts)
+            bound[open_] = np.minimum(bound[open_], self._most(held, near, part, own, starts))
             fit = fit - cost[open_]
-            better = fit > score[open_]
-            chosen[open_[better]], score[open_[better]] = part[better], fit[better]
+            better = np.flatnonzero(fit > score[open_])
+            chosen[open_[better]] = 0.0
+            chosen[open_[better][:, None], near[better]] = part[better]
+            score[open_[better]] = fit[better]
         share[full] = chosen
         return share, share > 0, counts
 
-    def _converged(self, p: list[np.ndarray], share: np.ndarray, count: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Proportions and log-likelihoods of some texts, by expectation-maximisation until none changes by ``TOLERANCE``."""
-        out, fits = share.copy(), np.zeros(len(rows))
-        left = np.arange(len(rows))
-        held = None
+    def _weighed(self, bucket: np.ndarray, langs: np.ndarray, share: np.ndarray, count: np.ndarray) -> Iterator[np.ndarray]:
+        """For one language of each text (a column of ``langs``) after another, the likelihoods of 3-grams times its share."""
+        for i in range(langs.shape[1]):
+            lang = langs[:, i]
+            p = self.likelihood[lang[0]][bucket] if (lang == lang[0]).all() else self.likelihood[np.repeat(lang, count), bucket]
+            yield p * np.repeat(share[:, i].astype(np.float32), count)
+
+    def _most(self, bucket: np.ndarray, langs: np.ndarray, share: np.ndarray, count: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """What no mixture of all languages exceeds in likelihood, by the slopes at a mixture of some: tight where that is the best one."""
+        total = np.zeros(len(bucket), np.float32)
+        for x in self._weighed(bucket, langs, share, count):
+            total += x
+        total = np.maximum(total, np.float32(1e-30))
+        steepest = np.ones(len(count))
+        for row in self.likelihood:
+            steepest = np.maximum(steepest, np.add.reduceat(row[bucket] / total, first, dtype=np.float64) / count)
+        return np.add.reduceat(np.log(total), first, dtype=np.float64) + count * (steepest - 1) * 1.001 + 1
+
+    def _converged(self, bucket: np.ndarray, langs: np.ndarray, share: np.ndarray, count: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Proportions and log-likelihoods of texts over the languages of their sets, by expectation-maximisation until none changes by ``TOLERANCE``."""
+        out, fits = share.copy(), np.zeros(len(count))
+        left, own, starts, held = np.arange(len(count)), count, first, bucket
         for _ in range(MOST_STEPS):
-            if held is None:
-                own = count[rows[left]]
-                starts = np.cumsum(own) - own
-                at = np.repeat(first[rows[left]] - starts, own) + np.arange(own.sum())
-                held = [x[at] for x in p]
-            part, fits[left] = self._expect(held, out[left], own, starts, 1)
+            part, fits[left] = self._expect(held, langs[left], out[left], own, starts, 1)
             moved = np.abs(part - out[left]).max(1) >= TOLERANCE
             out[left] = part
             if not moved.any():
                 break
             if not moved.all():
-                left, held = left[moved], None
+                left = left[moved]
+                own = count[left]
+                starts = np.cumsum(own) - own
+                held = bucket[np.repeat(first[left] - starts, own) + np.arange(own.sum())]
         return out, fits
 
-    @staticmethod
-    def _expect(p: list[np.ndarray], share: np.ndarray, count: np.ndarray, first: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-        """Steps of expectation-maximisation, and the log-likelihood before the last of them."""
+    def _expect(self, bucket: np.ndarray, langs: np.ndarray, share: np.ndarray, count: np.ndarray, first: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+        """Steps of expectation-maximisation over some languages of each text, and the log-likelihood before the last of them."""
+        few = langs.shape[1] <= HELD
         for step in range(steps):
-            weighed = [x * np.repeat(share[:, i].astype(np.float32), count) for i, x in enumerate(p)]
-            total = np.sum(weighed, axis=0) if len(weighed) > 8 else sum(weighed[1:], weighed[0])
+            weighed = list(self._weighed(bucket, langs, share, count)) if few else None
+            total = np.zeros(len(bucket), np.float32)
+            for x in weighed or self._weighed(bucket, langs, share, count):
+                total += x
             total = np.maximum(total, np.float32(1e-30))
-            fit = np.add.reduceat(np.log(total), first) if step == steps - 1 else None
-            share = np.stack([np.add.reduceat(x / total, first) for x in weighed], 1) / count[:, None]
+            fit = np.add.reduceat(np.log(total), first, dtype=np.float64) if step == steps - 1 else None
+            share = np.stack([np.add.reduceat(x / total, first, dtype=np.float64) for x in weighed or self._weighed(bucket, langs, share, count)], 1) / count[:, None]
             share /= share.sum(1, keepdims=True)
         return share, fit
 

@@ -87,6 +87,24 @@ def test_mixtures_by_hand(spark, spoken):
         assert np.abs(np.array(r.lang_proportions) - share).max() < 0.01
 
 
+def test_many_languages(monkeypatch):
+    """Among 100 languages the set of a long text is found, and a set is estimated over its own languages alone."""
+    rng = np.random.default_rng(5)
+    likelihood = rng.dirichlet(np.full(language.BUCKETS, 0.05), 100) + 1e-7
+    model = language.Model([f"l{i:03}" for i in range(100)], (likelihood / likelihood.sum(1, keepdims=True)).astype(np.float32), np.full(100, 0.01))
+    sizes = [{7: 60_000, 42: 30_000, 99: 10_000}, {3: 500}, {11: 4_000, 12: 4_000}]
+    drawn = [np.concatenate([rng.choice(language.BUCKETS, n, p=likelihood[i] / likelihood[i].sum()) for i, n in own.items()]) for own in sizes]
+    monkeypatch.setattr(language, "grams", lambda _: (np.concatenate(drawn), np.array([len(x) for x in drawn])))
+    widths = []
+    plain = language.Model._converged
+    monkeypatch.setattr(language.Model, "_converged", lambda self, bucket, langs, *rest: widths.append(langs.shape[1]) or plain(self, bucket, langs, *rest))
+    share, inside, _ = model.infer(None)
+    assert [set(np.flatnonzero(x)) for x in inside] == [set(own) for own in sizes]
+    assert widths == list(range(2, len(widths) + 2)) and len(widths) < 99
+    for row, own in zip(share, sizes, strict=True):
+        assert all(abs(row[i] - n / sum(own.values())) < 0.02 for i, n in own.items())
+
+
 def test_too_many_languages_are_refused(spark, monkeypatch):
     monkeypatch.setattr(language, "LANGUAGES", 2)
     with pytest.raises(ValueError):
