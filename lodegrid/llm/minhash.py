@@ -11,7 +11,8 @@ in Spark, verifies the exact Jaccard similarity and returns classes; see
 
 Neighbours: a document is compared with an edited text made of it and its
 successor by id.  Ids are cut into ranges (``RANGE_ROWS``, ``RANGES``); each range is
-sorted by itself and gets the first document of the next one as a guest.
+sorted by itself and gets the first document of the next one as a guest.  Texts go to
+their ranges compressed, so that the shuffle holds less than the input does.
 
 Defined cases: null text is empty; a text without words has no shingle and the
 fingerprint of the empty set (all bytes ff), equal to itself alone; one of fewer
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,19 +121,23 @@ def _placed(splits: list[int], firsts: list[tuple[int, int]]):
     bounds = np.array(splits, np.int64)
     guests = {i: r for i, r in firsts}
     wrap = firsts[0][0] if firsts else None
+    schema = pa.schema([("range", pa.int64()), ("guest", pa.int8()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("packed", pa.binary())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64()).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
             ranges = np.searchsorted(bounds, ids, "right")
             own = np.flatnonzero(np.isin(ids, np.fromiter(guests, np.int64, len(guests))))
-            rows = pa.array(np.concatenate([np.arange(len(ids)), own]))
+            rows = np.concatenate([np.arange(len(ids)), own])
             guest = np.concatenate([np.zeros(len(ids), np.int8), np.array([1 + (ids[i] == wrap) for i in own], np.int8)])
             ranges = np.concatenate([ranges, np.array([guests[ids[i]] for i in own], np.int64)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ranges.astype(np.int64)), pa.array(guest), batch.column("doc_id").cast(pa.int64()).take(rows), batch.column("text").take(rows)],
-                names=["range", "guest", "doc_id", "text"],
-            )
+            packed = pa.array([None if x is None else pack(x) for x in batch.column("text").cast(pa.binary()).to_pylist()], pa.binary())
+            # A guest's text stands twice, so rows go on by hundreds, not as one batch of two copies.
+            for at in range(0, len(rows), 512):
+                part = pa.array(rows[at : at + 512])
+                columns = [ranges[at : at + 512].astype(np.int64), guest[at : at + 512], batch.column("doc_id").cast(pa.int64()).take(part), batch.column("tie").take(part), packed.take(part)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], schema=schema)
 
     return place
 
@@ -145,9 +151,12 @@ def _hex(rows: np.ndarray) -> list[str]:
 def _compared(k: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None  # the last row seen, which waits for its successor
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
+                texts = pa.array([None if x is None else unpack(x) for x in part.column("packed").to_pylist()], pa.binary()).cast(pa.string())
+                part = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("range", "guest", "doc_id")), texts], names=["range", "guest", "doc_id", "text"])
                 rows = pa.Table.from_batches([part] if kept is None else [kept, part]).combine_chunks()
                 kept = rows.slice(rows.num_rows - 1).to_batches()[0]
                 if rows.num_rows > 1:
@@ -196,9 +205,9 @@ def against_edits(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     ranged = ids.repartitionByRange(min(RANGES, max(1, -(-ids.count() // RANGE_ROWS))), "doc_id").groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("first"))
     firsts = sorted(r["first"] for r in ranged.select("first").collect())
     guests = [(x, i - 1 if i else len(firsts) - 1) for i, x in enumerate(firsts)]
-    placed = map_arrow(docs.select("doc_id", "text"), _placed(firsts[1:], guests), "range bigint, guest tinyint, doc_id bigint, text string")
+    placed = map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("tie")), _placed(firsts[1:], guests), "range bigint, guest tinyint, doc_id bigint, tie bigint, packed binary")
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, len(firsts))
-    ordered = placed.repartition(tasks, "range").sortWithinPartitions("range", "guest", "doc_id", F.xxhash64("text"))
+    ordered = placed.repartition(tasks, "range").sortWithinPartitions("range", "guest", "doc_id", "tie")
     schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, check bigint"
     return map_arrow(ordered, _compared(k), schema)
 
