@@ -220,6 +220,13 @@ def graph_edge_type_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reached(spark, sf_dir, depth=2, edge_types=["calls", "imports"])
 
 
+@query
+def graph_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph stored by the nodes that steps leave from, and what its nodes reach against the direction of edges."""
+    kept = graph.Adjacency.write(corpus.supply_graph(spark, sf_dir), own_folder(spark, "adjacency"))
+    return kept.reach(ROOT, depth=3, direction="inbound", edge_types=["references", "inherits"]).select("id", F.col("hop").cast("bigint").alias("hop"))
+
+
 @query
 def graph_induced_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = _reached(spark, sf_dir, depth=2, edge_types=["calls", "imports"])

@@ -138,6 +138,7 @@ UNION ALL SELECT 'conv/' || conv_id || '::c' || conv_id || '.t' || turn, 'c' ||
         "graph_both": _reach(3) + " SELECT id, hop FROM near",
         "graph_outbound": _reach(2, "outbound") + " SELECT id, hop FROM near",
         "graph_inbound": _reach(2, "inbound") + " SELECT id, hop FROM near",
+        "graph_stored": _reach(3, "inbound", "'references', 'inherits'") + " SELECT id, hop FROM near",
         "graph_edge_type_filtered": _reach(2, "both", "'calls', 'imports'") + " SELECT id, hop FROM near",
         "graph_induced_edges": _reach(2, "both", "'calls', 'imports'") + " SELECT source_id, target_id, edge_type FROM edges WHERE source_id IN (SELECT id FROM near) AND target_id IN (SELECT id FROM near)",
         "bm25_single": f"WITH {_score(['license'])} SELECT doc_id, round(score, 6) AS score FROM sc",

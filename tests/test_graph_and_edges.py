@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,6 +74,37 @@ def test_reach_as_by_hand(spark, direction):
     assert {r.id: r.hop for r in found.collect()} == brute(pairs, "x1", 4, direction)
 
 
+@pytest.mark.parametrize("direction", graph.DIRECTIONS)
+def test_stored_steps_as_by_hand(spark, tmp_path, direction):
+    random.seed(6)
+    pairs = [(f"x{random.randrange(30)}", f"x{random.randrange(30)}") for _ in range(45)] + [("x1", "x1")]
+    rows = [(a, b, "calls", 0) for a, b in pairs + pairs[:5]] + [("x1", None, "calls", 0), (None, "x2", "calls", 0), ("x1", "x99", "imports", 0)]
+    kept = graph.Adjacency.write(spark.createDataFrame(rows, "source_id string, target_id string, edge_type string, call_site_line int"), str(tmp_path / "steps"), buckets=7)
+    assert {r.id: r.hop for r in kept.reach("x1", 4, direction, ["calls"]).collect()} == brute(pairs, "x1", 4, direction)
+    assert kept.reach("x1", 4, direction, limit=5).collect() == kept.reach("x1", 4, direction).limit(5).collect()
+    assert [r.id for r in graph.Adjacency(spark, str(tmp_path / "steps")).reach("nothing", 3).collect()] == ["nothing"]
+
+
+def test_a_round_reads_the_buckets_of_its_frontier_alone(spark, tmp_path):
+    """A chain in one bucket each and a hub elsewhere: what is not on the way can be gone."""
+    rows = [(f"a{i}", f"a{i + 1}", "calls", 0) for i in range(6)] + [("hub", f"h{i}", "calls", 0) for i in range(5000)]
+    kept = graph.Adjacency.write(spark.createDataFrame(rows, schemas.EDGE), str(tmp_path / "steps"), buckets=64)
+    needed = {f"bucket={zlib.crc32(f'a{i}'.encode()) % 64}" for i in range(4)}
+    for folder in (tmp_path / "steps" / "buckets=64").iterdir():
+        if folder.name not in needed:
+            folder.rename(tmp_path / folder.name)
+    assert [r.id for r in kept.reach("a0", 4, "outbound").collect()] == ["a0", "a1", "a2", "a3", "a4"]
+
+
+def test_hub_and_empty_graph(spark, tmp_path):
+    rows = [("hub", f"h{i:05}", "calls", 0) for i in range(5000)]
+    kept = graph.Adjacency.write(spark.createDataFrame(rows, schemas.EDGE), str(tmp_path / "hub"))
+    found = kept.reach("hub", 2, "outbound").collect()
+    assert len(found) == 1000 and found[1].id == "h00000" and found[-1].id == "h00998"
+    none = graph.Adjacency.write(spark.createDataFrame([], schemas.EDGE), str(tmp_path / "none"))
+    assert [(r.id, r.hop) for r in none.reach("hub", 2).collect()] == [("hub", 0)]
+
+
 def test_search(spark):
     tables, ids = search_tables(spark)
     nodes, found = graph.search(ids["parse_directory"], tables["nodes"], tables["edges"], 2, None, "outbound")
