@@ -404,9 +404,7 @@ def hierarchical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found["directories"].select("dir_path", F.col("rank").cast("bigint").alias("rank"), "file_count", "node_count")
 
 
-@query
-def dir_rollup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contents of the directories of documents: files with a label tell it, others list their units."""
+def _rollup(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
     docs = _docs(spark, sf_dir)
     labels = table(spark, sf_dir, "labels")
     paths = docs.select("doc_id", corpus.document_path().alias("file_path"))
@@ -414,7 +412,19 @@ def dir_rollup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = corpus.document_nodes(docs).join(told, "file_path", "left").withColumn("semantic_summary", F.when(F.col("node_type") == "file", F.col("semantic_summary")))
     dirs = paths.select(parent_dir("file_path").alias("dir_path")).distinct()
     none = spark.createDataFrame([], schemas.DIRECTORY)
-    return rollup.contents(nodes, none, dirs).select("dir_path", F.sha2("contents", 256).alias("contents_sha256"), F.col("child_count").cast("bigint").alias("child_count"))
+    return rollup.contents(nodes, none, dirs, most).select("dir_path", F.sha2("contents", 256).alias("contents_sha256"), F.col("child_count").cast("bigint").alias("child_count"))
+
+
+@query
+def dir_rollup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents of the directories of documents: files with a label tell it, others list their units."""
+    return _rollup(spark, sf_dir)
+
+
+@query
+def dir_rollup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, of each directory the first 50 lines and how many more there are, in memory that doesn't grow with a directory."""
+    return _rollup(spark, sf_dir, most=50)
 
 
 @query

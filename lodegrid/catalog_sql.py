@@ -78,6 +78,14 @@ _DIRS = _PATHS + r""", anc AS (
 )"""
 
 
+_CONTENTS = f"""WITH {_NODES}, told AS (SELECT f.file_path, 'quality ' || quality AS x FROM files f JOIN labels USING (doc_id)
+), ls2 AS (
+  SELECT regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS dir_path, 0 AS leg, file_path AS key, 0 AS ord, 'File ' || file_path || ': ' || x AS line FROM told
+  UNION ALL SELECT regexp_extract(file_path, '^(.*)/[^/]*$', 1), 1, file_path, ord, node_type || ' ' || qualified_name FROM nodes WHERE node_type <> 'file' AND file_path NOT IN (SELECT file_path FROM told)
+), d AS (SELECT DISTINCT regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS dir_path FROM files)
+"""
+
+
 def _hit(word: str) -> str:
     return rf"regexp_matches(line, '(^|[^\p{{L}}\p{{N}}_]){word}($|[^\p{{L}}\p{{N}}_])')"
 
@@ -185,12 +193,9 @@ SELECT id, row_number() OVER (ORDER BY spot, id) AS rank, score FROM once ORDER
         "dir_direct_files": f"WITH {_PATHS} SELECT {_PARENT.format('path')} AS dir_path, count(*) AS n_files FROM paths GROUP BY 1",
         "hierarchical_nodes_top3": f"""WITH {_DIRS}, best AS (SELECT dir_path, row_number() OVER (ORDER BY count(*) DESC, dir_path) AS place FROM anc WHERE dir_path <> '.' AND dir_path NOT LIKE '%/%' GROUP BY 1 ORDER BY 2 LIMIT 3)
 SELECT dir_path, page_id, place, within FROM (SELECT dir_path, page_id, place, row_number() OVER (PARTITION BY dir_path ORDER BY path, page_id) AS within FROM anc JOIN best USING (dir_path)) WHERE within <= 10""",
-        "dir_rollup_text": f"""WITH {_NODES}, told AS (SELECT f.file_path, 'quality ' || quality AS x FROM files f JOIN labels USING (doc_id)
-), ls2 AS (
-  SELECT regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS dir_path, 0 AS leg, file_path AS key, 0 AS ord, 'File ' || file_path || ': ' || x AS line FROM told
-  UNION ALL SELECT regexp_extract(file_path, '^(.*)/[^/]*$', 1), 1, file_path, ord, node_type || ' ' || qualified_name FROM nodes WHERE node_type <> 'file' AND file_path NOT IN (SELECT file_path FROM told)
-), d AS (SELECT DISTINCT regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS dir_path FROM files)
-SELECT dir_path, sha256(coalesce(string_agg(line, chr(10) ORDER BY leg, key, ord, line), '(empty directory)')) AS contents_sha256, greatest(count(line), 1)::BIGINT AS child_count FROM d LEFT JOIN ls2 USING (dir_path) GROUP BY 1""",
+        "dir_rollup_text": _CONTENTS + """SELECT dir_path, sha256(coalesce(string_agg(line, chr(10) ORDER BY leg, key, ord, line), '(empty directory)')) AS contents_sha256, greatest(count(line), 1)::BIGINT AS child_count FROM d LEFT JOIN ls2 USING (dir_path) GROUP BY 1""",
+        "dir_rollup_first": _CONTENTS + """, ls3 AS (SELECT *, row_number() OVER (PARTITION BY dir_path ORDER BY leg, key, ord, line) AS place, count(*) OVER (PARTITION BY dir_path) AS n FROM ls2)
+SELECT dir_path, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (place <= 50) || CASE WHEN max(n) > 50 THEN chr(10) || '(' || (max(n) - 50) || ' more)' ELSE '' END, '(empty directory)')) AS contents_sha256, coalesce(max(n), 1)::BIGINT AS child_count FROM d LEFT JOIN ls3 USING (dir_path) GROUP BY 1""",
         "needs_reenrichment": """WITH s AS (SELECT event_type, max(ts) AS stamp FROM events WHERE value < 5 GROUP BY 1), n AS (SELECT event_type, max(ts) AS newest FROM events GROUP BY 1)
 SELECT event_type AS dir_path FROM n LEFT JOIN s USING (event_type) WHERE stamp IS NULL OR newest > stamp""",
         "unenriched_docs": "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",

@@ -236,10 +236,10 @@ def enrich_files(nodes: DataFrame, model: Model, model_name: str = "model", conc
     return apply_nodes(nodes, replies(file_prompts(nodes), model, concurrency=concurrency), model_name, DIRECTORY_KEYS)
 
 
-def enrich_directories(nodes: DataFrame, summaries: DataFrame, model: Model, model_name: str = "model", write: Callable[[DataFrame], DataFrame] = lambda df: df.cache(), concurrency: int = CONCURRENCY, ledger: str | None = None) -> DataFrame:
+def enrich_directories(nodes: DataFrame, summaries: DataFrame, model: Model, model_name: str = "model", write: Callable[[DataFrame], DataFrame] = lambda df: df.cache(), concurrency: int = CONCURRENCY, ledger: str | None = None, most: int | None = None) -> DataFrame:
     """Directory summaries, the deepest first, as each level reads the one below; the project is last.
 
-    ``write`` stores a level before the next one reads it.
+    ``write`` stores a level before the next one reads it.  With ``most``, a prompt lists that many children and counts the rest.
     """
     dirs = rollup.directories(nodes.where(F.col("node_type") == "file"), "file_path")
     stale = write(rollup.stale_directories(dirs, nodes, summaries))
@@ -248,7 +248,7 @@ def enrich_directories(nodes: DataFrame, summaries: DataFrame, model: Model, mod
         now = stale.where(depth("dir_path") == level)
         if now.isEmpty():
             continue
-        asked = directory_prompts(rollup.contents(nodes, summaries, now))
+        asked = directory_prompts(rollup.contents(nodes, summaries, now, most))
         told = replies_once(asked, model, ledger, "dir_path", concurrency) if ledger else replies(asked, model, "dir_path", concurrency)
         good = told.select("dir_path", parse_reply("reply", DIRECTORY_KEYS).alias("r")).where(F.col("r").isNotNull())
         new = good.join(asked.select("dir_path", "child_count"), "dir_path").select(

@@ -40,10 +40,27 @@ def stale_directories(dirs: DataFrame, nodes: DataFrame, summaries: DataFrame) -
     return joined.where(F.col("enriched_at").isNull() | (F.col("newest") > F.col("enriched_at"))).select("dir_path")
 
 
-def contents(nodes: DataFrame, summaries: DataFrame, dirs: DataFrame) -> DataFrame:
+def first_lines(lines: DataFrame, key: str, order: list[str], line: str, most: int) -> DataFrame:
+    """(key, n, text): how many rows each key has, and the texts of its first ``most`` rows in an order, one to a line.
+
+    The state of a key is that many rows and a count: every task keeps the first rows of each key that
+    it sees, those are shuffled, and of them the first are kept again; counts are summed.  So a key of any
+    number of rows is never in one row, task or buffer.  Null texts count as rows and give no line; ties in
+    the order are broken by the text.
+    """
+    rows = lines.select(F.col(key), F.struct(*order, line).alias("row"))
+    counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    # Spark keeps the first rows of each task before the shuffle (WindowGroupLimit), as the rank is bounded.
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("row"))).where(F.col("place") <= most)
+    text = rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda x: x[line]), "\n").alias("text"))
+    return counted.join(text, key)
+
+
+def contents(nodes: DataFrame, summaries: DataFrame, dirs: DataFrame, most: int | None = None) -> DataFrame:
     """(dir_path, contents, child_count): lines on the files, the nodes of files without a summary, and child directories.
 
-    ``child_count`` is the number of lines; a directory with nothing to tell says so.
+    ``child_count`` is the number of children; a directory with nothing to tell says so and counts as one line.
+    With ``most``, contents are the first so many lines and a last one that tells how many are left out.
     """
     placed = direct_files(nodes)
     files = placed.where((F.col("node_type") == "file") & F.col("semantic_summary").isNotNull())
@@ -53,9 +70,14 @@ def contents(nodes: DataFrame, summaries: DataFrame, dirs: DataFrame) -> DataFra
     below = summaries.where((F.col("dir_path") != ".") & F.col("summary").isNotNull())
     folders = below.select(parent_dir("dir_path").alias("dir_path"), F.lit(2).alias("leg"), F.col("dir_path").alias("key"), F.lit(0).alias("ord"), F.concat(F.lit("Directory "), "dir_path", F.lit(": "), "summary").alias("line"))
     lines = told.unionByName(units).unionByName(folders)
-    text = lines.groupBy("dir_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("leg", "key", "ord", "line"))), lambda x: x["line"]), "\n").alias("contents"))
-    out = dirs.select("dir_path").join(text, "dir_path", "left").withColumn("contents", F.coalesce("contents", F.lit("(empty directory)")))
-    return out.withColumn("child_count", F.size(F.split("contents", "\n")))
+    if most is None:
+        text = lines.groupBy("dir_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("leg", "key", "ord", "line"))), lambda x: x["line"]), "\n").alias("contents"))
+        out = dirs.select("dir_path").join(text, "dir_path", "left").withColumn("contents", F.coalesce("contents", F.lit("(empty directory)")))
+        return out.withColumn("child_count", F.size(F.split("contents", "\n")))
+    told = first_lines(lines, "dir_path", ["leg", "key", "ord"], "line", most)
+    left = F.when(F.col("n") > most, F.concat(F.lit("\n("), F.col("n") - most, F.lit(" more)"))).otherwise("")
+    out = dirs.select("dir_path").join(told, "dir_path", "left")
+    return out.select("dir_path", F.coalesce(F.concat("text", left), F.lit("(empty directory)")).alias("contents"), F.coalesce("n", F.lit(1)).cast("int").alias("child_count"))
 
 
 def listing(nodes: DataFrame, wanted: DataFrame, each: int) -> DataFrame:

@@ -2,6 +2,7 @@ import json
 import sqlite3
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodegrid import schemas
 from lodegrid.functions.query_text import phrases
@@ -112,3 +113,28 @@ def test_rollup(spark):
     dirs = rollup.directories(files, "file_path")
     told = {r.dir_path: (r.contents, r.child_count) for r in rollup.contents(nodes, known, dirs).collect()}
     assert told == {"a/b": ("File a/b/x.py: X.", 1), "a": ("function f\nDirectory a/b: B.", 2), ".": ("(empty directory)", 1)}
+
+
+def test_rollup_of_a_directory_of_any_size(spark):
+    """The first lines of hot and small directories against plain Python; tasks keep the first rows before they are shuffled."""
+    n = 50_000
+    lines = spark.range(n).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("d"), (F.col("id") % 7).cast("string"))).alias("dir"), ((F.col("id") * 7919) % n % 1000).alias("at"), F.concat(F.lit("line "), F.col("id").cast("string")).alias("line"))
+    lines = lines.unionByName(spark.createDataFrame([("one", 1, "x"), ("null", 1, None), ("same", 2, "y"), ("same", 2, "y")], "dir string, at bigint, line string"))
+    found = rollup.first_lines(lines, "dir", ["at"], "line", 5)
+    whole = {}
+    for r in lines.collect():
+        whole.setdefault(r.dir, []).append((r.at, r.line))
+    told = {r.dir: (r.n, r.text) for r in found.collect()}
+    assert told == {d: (len(rows), "\n".join(x for _, x in sorted(rows)[:5] if x is not None)) for d, rows in whole.items()}
+    assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
+    assert rollup.first_lines(lines.limit(0), "dir", ["at"], "line", 5).count() == 0
+
+
+def test_rollup_with_a_bound(spark):
+    nodes = frame(spark, [node(f"a/f{i:02}.py", "file", f"f{i:02}.py", 1, 1, 0, semantic_summary=f"S{i}.") for i in range(12)] + [node("b/x.py", "file", "x.py", 1, 1, 0)], schemas.NODE)
+    dirs = rollup.directories(nodes, "file_path")
+    none = spark.createDataFrame([], schemas.DIRECTORY)
+    told = {r.dir_path: (r.contents, r.child_count) for r in rollup.contents(nodes, none, dirs, 2).collect()}
+    assert told == {"a": ("File a/f00.py: S0.\nFile a/f01.py: S1.\n(10 more)", 12), "b": ("(empty directory)", 1), ".": ("(empty directory)", 1)}
+    same = {r.dir_path: (r.contents, r.child_count) for r in rollup.contents(nodes, none, dirs, 12).collect()}
+    assert same == {r.dir_path: (r.contents, r.child_count) for r in rollup.contents(nodes, none, dirs).collect()}
