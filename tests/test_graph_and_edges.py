@@ -112,3 +112,46 @@ def test_search(spark):
     nodes, found = graph.search(ids["parse_file"], tables["nodes"], tables["edges"], 1, ["references"])
     assert {r.name for r in nodes.collect()} == {"parse_file", "Parser"} and found.count() == 1
     assert graph.search("nothing", tables["nodes"], tables["edges"]) is None
+
+
+def _tangled(spark, clean):
+    """Nodes and lines with few names many times; unless ``clean``, with ids whose rows differ, rows twice and names that are no words."""
+    rng = random.Random(7)
+    nodes, lines = [], []
+    for f in range(8):
+        path = f"f{f % 7}" if not clean else f"f{f}"
+        nodes.append(node(path, "file", path, 1, 12, 0))
+        for i in range(6):
+            kind, name = rng.choice(("function", "method", "class", "interface", "object")), rng.choice(("run", "go", "x1") if clean else ("run", "go", "go?", "x1"))
+            nodes.append(node(path, kind, name, 2 * i + 1, 2 * i + 2, 10 * f + i + 1, qualified=rng.choice((name, f"C.{name}", f"D{i}.{name}")) + ("" if not clean else f"{f}{i}")))
+        lines += [(path, n, " ".join(rng.choices(("run", "go?", "go", "x1", "other"), k=4))) for n in range(1, 13)]
+    return frame(spark, nodes + ([] if clean else nodes[:9]), schemas.NODE), spark.createDataFrame(lines, schemas.LINE)
+
+
+def _all_edges(nodes, lines):
+    """Edges as the pairs of all mentions and targets, each once."""
+    names = edges.exported(nodes)
+    pairs = innermost(edges.mentions(lines, names), nodes, ["id", "node_type", "name", "qualified_name"]).join(names, "name").where("node_id <> target_id")
+    kind = edges.classify(F.col("node_node_type"), F.col("target_type"), F.col("node_name") == F.col("name"), F.col("node_qualified_name") == F.col("target_qualified"))
+    return pairs.select(F.col("node_id").alias("source_id"), "target_id", kind.alias("edge_type"), F.col("line_no").alias("call_site_line")).distinct()
+
+
+@pytest.mark.parametrize("clean", [True, False])
+def test_edges_by_products_are_those_of_pairs(spark, clean):
+    from lodegrid.operators import enrichment
+
+    nodes, lines = (t.cache() for t in _tangled(spark, clean))
+    wanted = _all_edges(nodes, lines).cache()
+    assert sorted(edges.build_edges(nodes, lines).collect()) == sorted(wanted.collect()) and wanted.where("edge_type = 'overrides'").count() > 0
+    assert {tuple(r) for r in edges.histogram(nodes, lines).collect()} == {tuple(r) for r in wanted.groupBy("edge_type").count().collect()}
+    sizes = enrichment.node_prompts(nodes, wanted).select("id", F.length("prompt").cast("bigint")).collect()
+    assert sorted(map(tuple, enrichment.prompt_sizes(nodes, lines).collect())) == sorted(map(tuple, sizes)) and len(sizes) > 40
+
+
+def test_edges_are_not_shuffled(spark):
+    """Edges go on as the join makes them: nothing that gathers them is above it."""
+    copies = 30
+    nodes = [node(f"f{c}", "function", "run", 1, 2, 0) for c in range(copies)]
+    found = edges.build_edges(frame(spark, nodes, schemas.NODE), spark.createDataFrame([(f"f{c}", 1, "run") for c in range(copies)], schemas.LINE))
+    assert found.count() == copies * (copies - 1)
+    assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Project")
