@@ -59,6 +59,8 @@ LEAST = 3
 PASSES = 2
 #: Most bits (as a power of 2) of a bitmap of keys.
 SIEVE_BITS = 27
+#: Bytes of a bitmap that are put together at once.
+SLICE = 1 << 20
 #: Weight of the shorter history, in tokens.
 PRIOR = 50.0
 END = int(W.mix64(np.array([0x454E44], np.uint64)).view(np.int64)[0])
@@ -124,12 +126,22 @@ def sieve(keys: DataFrame) -> Sieve:
                 byte = (at >> np.uint64(3)).astype(np.int64)
                 first = np.flatnonzero(np.diff(byte, prepend=-1))
                 bitmap[byte[first]] |= np.bitwise_or.reduceat(np.uint8(1) << (at & np.uint64(7)).astype(np.uint8), first)
-        yield pa.RecordBatch.from_arrays([pa.array([bitmap.tobytes()], pa.binary())], names=["bitmap"])
-
-    found = map_arrow(keys.select("key").coalesce(4), run, "bitmap binary").collect()
+        for i in range(0, len(bitmap), SLICE):
+            if bitmap[i : i + SLICE].any():
+                yield pa.RecordBatch.from_arrays([pa.array([i // SLICE]), pa.array([bitmap[i : i + SLICE].tobytes()], pa.binary())], names=["part", "bitmap"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in blobs.runs(batches):
+            whole = reduce(np.bitwise_or, (np.frombuffer(v.as_py(), np.uint8) for b in rows for v in b.column("bitmap")))
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([whole.tobytes()], pa.binary())], names=["part", "bitmap"])
+
+    # Slices are put together by tasks, so the driver is sent each of the bitmap's bytes once.
+    schema = blobs.schema(["bitmap"])
+    slices = map_arrow(keys.select("key").coalesce(4), run, schema)
+    found = map_arrow(blobs.dealt(slices, -(-(1 << (bits - 3)) // SLICE)), merge, schema).toArrow()
     bitmap = np.zeros(1 << (bits - 3), np.uint8)
-    for row in found:
-        bitmap |= np.frombuffer(row.bitmap, np.uint8)
+    for part, own in zip(found["part"].to_pylist(), found["bitmap"], strict=True):
+        bitmap[part * SLICE : (part + 1) * SLICE] = np.frombuffer(own.as_buffer(), np.uint8)
     return Sieve(bits, bitmap)
 
 
@@ -252,6 +264,7 @@ def learn(texts: DataFrame, scratch: Scratch) -> tuple[Automaton, DataFrame, Dat
         return last[ok], t[ok]
 
     kept = scratch.table(_count(texts, pair_of, ["h", "w"], total, LEAST), "pair_counts")
+    common.destroy()
     scratch.release()
     paired = share(sieve(kept))
 
@@ -262,6 +275,7 @@ def learn(texts: DataFrame, scratch: Scratch) -> tuple[Automaton, DataFrame, Dat
         return pair[at - 1], pair[at]
 
     kept3 = scratch.table(_count(texts, triple_of, ["first", "second"], total, LEAST), "triple_counts")
+    paired.destroy()
     scratch.release()
 
     # Probabilities, shorter histories first; failure weights; one weight for each n-gram.
@@ -354,7 +368,10 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     more = [T.StructField(n, t()) for n, t in (("n_tokens", T.LongType), ("n_common", T.LongType), ("base", T.DoubleType), ("walk", T.DoubleType), ("rare_keys", T.BinaryType), ("rare_times", T.BinaryType))]
     numbered = docs.drop(*[f.name for f in more], *RARE, "n_known", "train_tokens", "base_score", "score").withColumn("lm_row", F.monotonically_increasing_id())
     schema = T.StructType([f for f in numbered.schema.fields if f.name != "text"] + more)
-    scored = scratch.table(map_arrow(numbered, _scored(spark.sparkContext.broadcast((model, kept))), schema), "scored")
+    shared = spark.sparkContext.broadcast((model, kept))
+    del kept
+    scored = scratch.table(map_arrow(numbered, _scored(shared), schema), "scored")
+    shared.destroy()
     scratch.release()
     parts = blobs.parts_for(model.total, docs)
     sums = [_looked_up(scored, weights, k, parts, scratch) for k in range(PASSES)]
