@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes of lines that a task's worker is sent at once, unless the session says otherwise: lines may be whole documents.
+BATCH_BYTES = 2 << 20
 #: Names, and characters of names, of one automaton.
 BLOCK_NAMES, BLOCK_CHARS = 200_000, 4_000_000
 # Categories of characters that are parts of words, besides letters; and the joiners.
@@ -70,7 +72,9 @@ def whole_matches(automaton, text: str) -> set[str]:
 
 def match(lines: DataFrame, names: DataFrame) -> DataFrame:
     """(file_path, line_no, name), each once: lines (file_path, line_no, text) that have a name (name) as a whole. Null texts have none."""
-    context = lines.sparkSession.sparkContext
+    context, limit = lines.sparkSession.sparkContext, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not context.getConf().get(limit):
+        lines.sparkSession.conf.set(limit, str(BATCH_BYTES))
 
     def one(block: list[str]) -> DataFrame:
         shared, key = context.broadcast(block), uuid.uuid4().hex

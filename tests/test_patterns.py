@@ -27,3 +27,10 @@ def test_equals_one_pattern_a_name(spark, monkeypatch, block):
                 want.append((f, n, name))
     assert got == sorted(want) and len(want) > 300
     assert patterns.match(lines, given.limit(0)).collect() == [] and patterns.match(lines.limit(0), given).collect() == []
+
+
+def test_workers_are_sent_few_bytes_of_lines_at_once(spark):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(limit)
+    lines, names = spark.createDataFrame([("a", 1, "go run")], "file_path string, line_no int, text string"), spark.createDataFrame([("run",)], "name string")
+    assert patterns.match(lines, names).count() == 1 and int(spark.conf.get(limit)) == patterns.BATCH_BYTES
