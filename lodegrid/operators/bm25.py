@@ -50,6 +50,40 @@ def text_lengths(rows: DataFrame, texts: tuple[str, ...] = NODE_TEXTS, key: str
     return rows.select(F.col(key).alias("id"), size.cast("bigint").alias("length")).where("length > 0")
 
 
+def statistics(rows: DataFrame, texts: tuple[str, ...] = NODE_TEXTS, key: str = "id") -> DataFrame:
+    """One row: n_docs with any token, n_tokens, n_terms. Documents and terms are counted in one pass, which shuffles each term once a task."""
+    found = rows.select(F.col(key).alias("id"), F.concat(*[_tokens(rows, c) for c in texts]).alias("all")).where(F.size("all") > 0)
+    none = lambda kind: F.lit(None).cast(kind)
+    document = F.struct(F.lit(True).alias("document"), F.col("id").alias("id"), none("string").alias("term"), F.size("all").cast("bigint").alias("length"))
+    terms = F.transform(F.array_distinct("all"), lambda t: F.struct(F.lit(False).alias("document"), none(dict(found.dtypes)["id"]).alias("id"), t.alias("term"), none("bigint").alias("length")))
+    each = found.select(F.inline(F.concat(F.array(document), terms))).groupBy("document", "id", "term").agg(F.sum("length").alias("length"))
+    return each.agg(F.count_if("document").alias("n_docs"), F.sum("length").alias("n_tokens"), F.count_if(~F.col("document")).alias("n_terms"))
+
+
+@dataclass
+class Unindexed:
+    """Texts of rows that no index is made of: a query's phrases are counted where they stand, in one pass."""
+
+    rows: DataFrame
+    texts: tuple[str, ...] = NODE_TEXTS
+    key: str = "id"
+
+    def counts(self, phrases: list[tuple[str, ...]]) -> DataFrame:
+        """(id, length, counts): tokens of each document, and how often each phrase stands in them; one without tokens is absent."""
+
+        def count(words: str, phrase: tuple[str, ...]) -> Column:
+            here = lambda t, i: reduce(Column.__and__, [t == phrase[0], *[F.get(F.col(words), i + n) == p for n, p in enumerate(phrase[1:], 1)]])
+            return F.size(F.filter(words, here)).cast("bigint") if phrase else F.lit(0).cast("bigint")
+
+        names = [f"words{n}" for n in range(len(self.texts))]
+        # Taken apart by a generator of one row, so that no optimizer puts the tokens' expression in each place where they are used.
+        apart = self.rows.select(F.col(self.key).alias("id"), F.inline(F.array(F.struct(*[_tokens(self.rows, c).alias(w) for c, w in zip(self.texts, names, strict=True)]))))
+        total = lambda parts: reduce(Column.__add__, parts)
+        found = apart.select("id", total([F.size(w) for w in names]).cast("bigint").alias("length"), *[total([count(w, p) for w in names]).alias(f"n{i}") for i, p in enumerate(phrases)])
+        sums = found.where("length > 0").groupBy("id").agg(F.sum("length").alias("length"), *[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(phrases))])
+        return sums.select("id", "length", F.array(*[F.col(f"n{i}") for i in range(len(phrases))]).alias("counts"))
+
+
 def indexed(rows: DataFrame, texts: tuple[str, ...] = NODE_TEXTS, key: str = "id") -> DataFrame:
     """``postings`` with the length of each document: (term, id, places, length). Keys of rows are unique."""
     placed = rows.select(F.col(key).alias("id"), _placed(rows, texts).alias("parts")).select("id", F.size("parts").cast("bigint").alias("length"), F.inline("parts"))
@@ -103,24 +137,24 @@ def phrase_counts(index: DataFrame, phrases: list[tuple[str, ...]]) -> DataFrame
     return found.select("id", F.array(*[count(p) for p in phrases]).alias("counts"), *(["length"] if more else []))
 
 
-def score(index: DataFrame | Stored, phrases: list[tuple[str, ...]], total: int | DataFrame | None = None, every: bool = False, sizes: DataFrame | None = None) -> DataFrame:
+def score(index: DataFrame | Stored | Unindexed, phrases: list[tuple[str, ...]], total: int | DataFrame | None = None, every: bool = False, sizes: DataFrame | None = None) -> DataFrame:
     """(id, score) of documents that have every phrase, or any."""
     rows = scored(index, phrases, total, sizes)
     return (rows.where("whole") if every else rows).drop("whole")
 
 
-def scored(index: DataFrame | Stored, phrases: list[tuple[str, ...]], total: int | DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+def scored(index: DataFrame | Stored | Unindexed, phrases: list[tuple[str, ...]], total: int | DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """(id, score, whole) of documents that have any phrase; ``whole``: they have every one.
 
     ``total``: number of documents, those without tokens included.  ``sizes``: their lengths,
     if they are at hand.  A stored index has both.  Collection statistics are one row, joined by broadcast.
     """
-    stored = index if isinstance(index, Stored) else None
-    index = stored.postings if stored else index
+    stored, bare = (index if isinstance(index, kind) else None for kind in (Stored, Unindexed))
+    index = stored.postings if stored else bare.rows.select(F.col(bare.key).alias("id")) if bare else index
     if not phrases:
         return index.select("id", F.lit(0.0).alias("score"), F.lit(False).alias("whole")).where(F.lit(False))
-    counts = phrase_counts(index, phrases)
-    size = lengths(index) if sizes is None and not stored else sizes
+    counts = bare.counts(phrases) if bare else phrase_counts(index, phrases)
+    size = counts if bare else lengths(index) if sizes is None and not stored else sizes
     rows = F.lit(total).cast("double") if isinstance(total, int) else F.col("total").cast("double")
     stats = counts.agg(F.array(*[F.count_if(F.col("counts")[i] > 0) for i in range(len(phrases))]).alias("with"))
     have = counts.where(F.exists("counts", lambda n: n > 0))
@@ -130,7 +164,7 @@ def scored(index: DataFrame | Stored, phrases: list[tuple[str, ...]], total: int
         stats = stats.crossJoin(size.agg(F.sum("length").alias("all_tokens")))
         if not isinstance(total, int):
             stats = stats.crossJoin(total.agg(F.count(F.lit(1)).alias("total")))
-        joined = have.drop("length").join(size, "id").crossJoin(F.broadcast(stats))
+        joined = (have.where(F.col("id").isNotNull()) if bare else have.drop("length").join(size, "id")).crossJoin(F.broadcast(stats))
 
     def part(i: int) -> Column:
         n, tf = F.col("with")[i], F.col("counts")[i]
@@ -142,7 +176,7 @@ def scored(index: DataFrame | Stored, phrases: list[tuple[str, ...]], total: int
     return joined.select("id", sum((part(i) for i in range(1, len(phrases))), part(0)).alias("score"), F.forall("counts", lambda n: n > 0).alias("whole"))
 
 
-def top(index: DataFrame | Stored, phrases: list[tuple[str, ...]], total: int | DataFrame | None, k: int, sizes: DataFrame | None = None) -> DataFrame:
+def top(index: DataFrame | Stored | Unindexed, phrases: list[tuple[str, ...]], total: int | DataFrame | None, k: int, sizes: DataFrame | None = None) -> DataFrame:
     """(id, score, leg, rank): documents with all phrases first, then those with any, the best ``k``."""
     if isinstance(index, Stored) and len(phrases) == 1 and len(phrases[0]) == 1:
         return best_any(index, [phrases[0][0]], k).select("id", "score", F.lit(1).alias("leg"), "rank")

@@ -68,14 +68,16 @@ def semantic(text: str, nodes: DataFrame, k: int = 10, index: DataFrame | bm25.S
     """
     if isinstance(index, bm25.Stored):
         return bm25.top(index, query_text.phrases(text), None, k).select("id", "rank", "score")
-    index = bm25.postings(nodes) if index is None else index
-    sizes = bm25.text_lengths(nodes) if sizes is None else sizes
+    if index is None:
+        index = bm25.Unindexed(nodes)
+    elif sizes is None:
+        sizes = bm25.text_lengths(nodes)
     return bm25.top(index, query_text.phrases(text), nodes.select("id"), k, sizes).select("id", "rank", "score")
 
 
 def semantic_directories(text: str, summaries: DataFrame, k: int = 10) -> DataFrame:
     """(dir_path, rank, score): the directory leg of full-text search, over their summaries."""
-    index = bm25.postings(summaries, bm25.DIRECTORY_TEXTS, "dir_path")
+    index = bm25.Unindexed(summaries, bm25.DIRECTORY_TEXTS, "dir_path")
     return bm25.top(index, query_text.phrases(text), summaries.select("dir_path"), k).select(F.col("id").alias("dir_path"), "rank", "score")
 
 

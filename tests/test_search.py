@@ -138,3 +138,16 @@ def test_rollup_with_a_bound(spark):
     assert told == {"a": ("File a/f00.py: S0.\nFile a/f01.py: S1.\n(10 more)", 12), "b": ("(empty directory)", 1), ".": ("(empty directory)", 1)}
     same = {r.dir_path: (r.contents, r.child_count) for r in rollup.contents(nodes, none, dirs, 12).collect()}
     assert same == {r.dir_path: (r.contents, r.child_count) for r in rollup.contents(nodes, none, dirs).collect()}
+
+
+def test_texts_without_an_index_count_as_postings_do(spark):
+    rows = spark.createDataFrame([(1, "Öffne parse parse open", "open open"), (2, "open PARSE", None), (3, None, "---"), (4, "parse open parse open", "é parse")], "id int, a string, b string")
+    index, texts = bm25.postings(rows, ("a", "b")), bm25.Unindexed(rows, ("a", "b"))
+    for query in ("parse", "parse open", "parse_open", "--- open", "absent"):
+        for every in (True, False):
+            wanted = bm25.score(index, phrases(query), rows.select("id"), every).collect()
+            assert sorted(bm25.score(texts, phrases(query), rows.select("id"), every).collect()) == sorted(wanted)
+    found = bm25.statistics(rows, ("a", "b")).first()
+    assert tuple(found) == (index.select("id").distinct().count(), bm25.lengths(index).groupBy().sum("length").first()[0], index.select("term").distinct().count())
+    # One pass over the texts, for all that a query needs.
+    assert bm25.score(texts, phrases("parse"), 4)._jdf.queryExecution().optimizedPlan().toString().count("collect_list") == 0
