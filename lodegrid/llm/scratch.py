@@ -10,13 +10,16 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 #: Bytes that a task holds of each table that it writes.
-ROW_GROUP_BYTES = 32 << 20
+ROW_GROUP_BYTES = 4 << 20
+#: Bytes count from the first row on: by default 100 rows come first, and 100 rows of some MB would be one page, whose codec holds it in direct memory.
+PARQUET = {"parquet.block.size": ROW_GROUP_BYTES, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,7 +67,7 @@ class Scratch:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return it as read again: its lineage ends here."""
         path = self.path(name)
-        df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+        df.write.options(**PARQUET).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
         return out
@@ -77,7 +80,9 @@ class Scratch:
     def release(self) -> None:
         """Let Spark delete the shuffle files of queries that nothing refers to any more.
 
-        Spark drops its own references to a query some time after its end, so a second call soon after may find more.
+        Spark drops its own references to a query some time after its end, so this looks twice.
         """
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for wait in (0.3, 0.0):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(wait)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodegrid.llm import decontamination, language, language_model, secrets, token_files
 from lodegrid.llm import words as W
+from lodegrid.llm.scratch import Scratch
 from tests.llm.helpers import DOCS, LOWER, clash, crc, odd_docs, prose, thue_morse, words
 
 DATA = "/root/testdata/sf0.001"
@@ -300,6 +301,18 @@ def test_proximity(spark):
     assert near == {0: {4}, 1: {1, 4}, 2: {1, 4, 6}, 3: {1, 2, 4, 6}}
 
 
+def test_tables_of_large_rows_have_small_row_groups(spark):
+    from pyarrow import parquet
+
+    rows = [(i, os.urandom(1 << 20)) for i in range(24)]
+    scratch = Scratch(spark, "large")
+    scratch.table(spark.createDataFrame(rows, "k bigint, v binary").coalesce(1), "rows")
+    files = [os.path.join(d, f) for d, _, names in os.walk(scratch.root.removeprefix("file://")) for f in names if f.endswith(".parquet")]
+    groups = [g for f in files for m in [parquet.ParquetFile(f).metadata] for g in map(m.row_group, range(m.num_row_groups))]
+    assert sum(g.num_rows for g in groups) == len(rows)
+    assert max(g.total_byte_size for g in groups) < 12 << 20
+
+
 def test_empty_tables(spark):
     docs, none = spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, text string")
     assert [(r.n_words, r.n_hit) for r in decontamination.match(docs, none).collect()] == [(1, 0)]
