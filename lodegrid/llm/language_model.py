@@ -278,38 +278,47 @@ def learn(texts: DataFrame, scratch: Scratch) -> tuple[Automaton, DataFrame, Dat
     paired.destroy()
     scratch.release()
 
-    # Probabilities, shorter histories first; failure weights; one weight for each n-gram.
+    # Probabilities, shorter histories first; failure weights; one weight for each n-gram.  Tables have counts, from which
+    # probabilities follow, and words only of frequent n-grams: the pairs of a frequent triple are as frequent.
     p1 = lambda c: (F.col(c) + 1) / F.lit(model.space)
+    frequent = F.col("n") >= model.least
+    named = lambda *names: [F.when(frequent, F.col(c)).alias(c) for c in names]
+    smoothed = lambda below: (F.col("n") + PRIOR * F.col(below)) / (F.col("n_h") + PRIOR)
     pairs = kept.join(words.select(F.col("key").alias("w"), F.col("n").alias("n_w")), "w").join(words.select(F.col("key").alias("h"), F.col("n").alias("n_h")), "h")
-    pairs = pairs.withColumn("p1", p1("n_w")).withColumn("p", (F.col("n") + PRIOR * F.col("p1")) / (F.col("n_h") + PRIOR)).select("key", "h", "w", "n", "p1", "p")
-    pairs = scratch.table(pairs, "pairs")
-    word_fail = scratch.table(pairs.groupBy("h").agg(_fail("p", "p1")), "word_fail")
-    end = pairs.select(F.col("key").alias("second"), F.col("w").alias("last"), F.col("p").alias("p2"))
-    triples = kept3.join(end, "second").join(pairs.select(F.col("key").alias("first"), "h", "w", F.col("n").alias("n_h")), "first")
-    triples = triples.withColumn("p", (F.col("n") + PRIOR * F.col("p2")) / (F.col("n_h") + PRIOR)).select("key", "first", "h", "w", "last", "n", "p2", "p")
-    triples = scratch.table(triples, "triples")
-    pair_fail = scratch.table(triples.groupBy("first").agg(_fail("p", "p2")), "pair_fail")
+    pair_table = scratch.table(pairs.select("key", "h", "w", "n", "n_w", "n_h"), "pairs")
     scratch.drop(kept)
+    scratch.release()
+    pairs = pair_table.withColumn("p1", p1("n_w")).withColumn("p", smoothed("p1"))
+    word_fail = scratch.table(pairs.groupBy("h").agg(_fail("p", "p1")), "word_fail")
+    end = pairs.select(F.col("key").alias("second"), F.when(frequent, F.col("w")).alias("last"), F.col("p").alias("p2"))
+    begin = pairs.select(F.col("key").alias("first"), *named("h", "w"), F.col("n").alias("n_h"))
+    triples = kept3.join(end, "second").select("key", "first", *named("last"), "n", "p2").join(begin, "first")
+    triple_table = scratch.table(triples.select("key", "first", *named("h", "w", "last"), "n", "n_h", "p2"), "triples")
     scratch.drop(kept3)
     scratch.release()
-    held = [pairs, triples, word_fail, pair_fail]
+    triples = triple_table.withColumn("p", smoothed("p2"))
+    pair_fail = scratch.table(triples.groupBy("first").agg(_fail("p", "p2")), "pair_fail")
 
-    by_h = pairs.join(word_fail, "h").withColumn("step", F.log10("p") - F.log10("p1") - F.col("fail")).drop("fail")
-    pairs = by_h.join(pair_fail.withColumnRenamed("first", "key"), "key", "left").select("key", "h", "w", "n", "step", F.coalesce("fail", F.lit(0.0)).alias("fail"))
-    triples = triples.join(pair_fail, "first").withColumn("step", F.log10("p") - F.col("fail") - F.log10("p2"))
-    pairs, triples = scratch.table(pairs, "pair_steps"), scratch.table(triples, "triple_steps")
-    model.add_words(word_fail.join(counts.where(F.col("n") >= often).select(F.col("key").alias("h")), "h", "left_semi").toArrow())
-    frequent = F.col("n") >= model.least
-    model.add_pairs(pairs.where(frequent).toArrow())
-    model.add_triples(triples.where(frequent).select("h", "w", "last", "step").toArrow())
+    # Of frequent n-grams what the automaton holds, of others the weight alone.
     own = counts.where(F.col("n") < often).join(word_fail.withColumnRenamed("h", "key"), "key", "left").withColumn("base", F.log10(p1("n")))
-    weights = own.select("key", F.lit(1).alias("word"), "base", (F.col("base") + F.coalesce("fail", F.lit(0.0))).alias("gain"))
-    for table, gain in ((pairs, F.col("step") + F.col("fail")), (triples, F.col("step"))):
-        weights = weights.unionByName(table.where(~frequent).select("key", F.lit(0).alias("word"), F.lit(0.0).alias("base"), gain.alias("gain")))
-    weights = scratch.table(weights, "weights")
-    for table in (*held, pairs, triples):
+    own = scratch.table(own.select("key", "base", (F.col("base") + F.coalesce("fail", F.lit(0.0))).alias("gain")), "word_weights")
+    model.add_words(word_fail.join(counts.where(F.col("n") >= often).select(F.col("key").alias("h")), "h", "left_semi").toArrow())
+    by_h = pairs.join(word_fail, "h").select("key", *named("h", "w"), "n", (F.log10("p") - F.log10("p1") - F.col("fail")).alias("step"))
+    by_key = by_h.join(pair_fail.withColumnRenamed("first", "key"), "key", "left").withColumn("fail", F.coalesce("fail", F.lit(0.0)))
+    pairs = scratch.table(by_key.select("key", *named("h", "w", "step", "fail"), F.when(~frequent, F.col("step") + F.col("fail")).alias("gain")), "pair_steps")
+    for table in (pair_table, word_fail):
+        scratch.drop(table)
+    scratch.release()
+    stepped = triples.join(pair_fail, "first").withColumn("step", F.log10("p") - F.col("fail") - F.log10("p2"))
+    triples = scratch.table(stepped.select("key", *named("h", "w", "last", "step"), F.when(~frequent, F.col("step")).alias("gain")), "triple_steps")
+    for table in (triple_table, pair_fail):
         scratch.drop(table)
     scratch.release()
+    model.add_pairs(pairs.where("h IS NOT NULL").toArrow())
+    model.add_triples(triples.where("h IS NOT NULL").select("h", "w", "last", "step").toArrow())
+    weights = own.select("key", F.lit(1).alias("word"), "base", "gain")
+    for table in (pairs, triples):
+        weights = weights.unionByName(table.where("h IS NULL").select("key", F.lit(0).alias("word"), F.lit(0.0).alias("base"), "gain"))
     return model, counts, weights
 
 
@@ -363,7 +372,8 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     """Documents without their texts, with n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
-    model, _, weights = learn(training, scratch)
+    model, counts, weights = learn(training, scratch)
+    scratch.drop(counts)
     kept = sieve(weights.where("word = 0"))
     more = [T.StructField(n, t()) for n, t in (("n_tokens", T.LongType), ("n_common", T.LongType), ("base", T.DoubleType), ("walk", T.DoubleType), ("rare_keys", T.BinaryType), ("rare_times", T.BinaryType))]
     numbered = docs.drop(*[f.name for f in more], *RARE, "n_known", "train_tokens", "base_score", "score").withColumn("lm_row", F.monotonically_increasing_id())

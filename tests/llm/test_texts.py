@@ -152,6 +152,26 @@ def test_base_scores_by_hand(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_learning_drops_its_tables_as_it_goes(spark, monkeypatch):
+    live, seen = {}, {}
+    table, drop = Scratch.table, Scratch.drop
+
+    def made(self, df, name):
+        seen[name] = (set(live.values()), set(df.columns))
+        out = table(self, df, name)
+        live[id(out)] = name
+        return out
+
+    monkeypatch.setattr(Scratch, "table", made)
+    monkeypatch.setattr(Scratch, "drop", lambda self, df: (live.pop(id(df), None), drop(self, df)))
+    docs = spark.createDataFrame(corpus(random.Random(1), 100), "doc_id bigint, text string")
+    held = [docs]
+    held.append(language_model.score(docs, docs))
+    assert not {"pair_counts", "pairs", "triple_counts"} & seen["triple_steps"][0]
+    assert not {"triples", "pair_fail", "tokens"} & seen["scored"][0]
+    assert not {"first", "p", "p2"} & seen["triple_steps"][1]
+
+
 def test_rare_tokens_are_joined(spark, monkeypatch):
     monkeypatch.setattr(language_model, "KEEP", 2e-2)
     test_base_scores_by_hand(spark)
