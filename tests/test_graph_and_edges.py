@@ -155,3 +155,66 @@ def test_edges_are_not_shuffled(spark):
     found = edges.build_edges(frame(spark, nodes, schemas.NODE), spark.createDataFrame([(f"f{c}", 1, "run") for c in range(copies)], schemas.LINE))
     assert found.count() == copies * (copies - 1)
     assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Project")
+
+
+def _shuffled(df):
+    """Rows that a DataFrame's exchanges write when it is collected, those that are read again once."""
+    df.collect()
+    found, left = 0, [df._jdf.queryExecution().executedPlan()]
+    while left:
+        plan = left.pop()
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            left.append(plan.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            left.append(plan.plan())
+        elif kind != "ReusedExchangeExec":
+            found += plan.metrics().get("shuffleRecordsWritten").get().value() if kind == "ShuffleExchangeExec" else 0
+            left += [plan.children().apply(i) for i in range(plan.children().size())]
+    return found
+
+
+def _wordy(spark, files=20, length=200):
+    """Nodes and lines of files of which each calls another, among many words that are no names."""
+    nodes = frame(spark, [node(f"f{i}", "function", f"name{i}", 1, 5, 0) for i in range(files)], schemas.NODE)
+    lines = [(f"f{i}", n, " ".join([f"name{(i + n) % files}", *(f"w{i}_{n}_{k}" for k in range(length))])) for i in range(files) for n in range(1, 6)]
+    return nodes, spark.createDataFrame(lines, schemas.LINE)
+
+
+@pytest.fixture
+def unbroadcast(spark):
+    """Only what is to be broadcast at any size is."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_words_that_are_no_names_are_not_shuffled(spark, unbroadcast):
+    found = edges.build_edges(*_wordy(spark))
+    assert _shuffled(found) < 1_000 and found.count() == 100
+
+
+@pytest.mark.parametrize("clean", [True, False])
+def test_edges_by_small_blocks_and_a_small_filter(spark, monkeypatch, clean):
+    monkeypatch.setattr(edges, "BLOCK", 2)
+    monkeypatch.setattr(edges, "FILTER_BITS", 8)
+    monkeypatch.setattr(edges, "HOT_SAMPLE", 1.0)
+    monkeypatch.setattr(edges, "HOT_NODES", 20)
+    nodes, lines = (t.cache() for t in _tangled(spark, clean))
+    wanted = _all_edges(nodes, lines).cache()
+    assert sorted(edges.build_edges(nodes, lines).collect()) == sorted(wanted.collect())
+    assert {tuple(r) for r in edges.histogram(nodes, lines).collect()} == {tuple(r) for r in wanted.groupBy("edge_type").count().collect()}
+
+
+def test_many_nodes_of_a_name_are_dealt_to_several_tasks(spark, monkeypatch, unbroadcast):
+    monkeypatch.setattr(edges, "BLOCK", 10, raising=False)
+    monkeypatch.setattr(edges, "HOT_NAMES", 0, raising=False)
+    copies = 60
+    nodes = frame(spark, [node(f"f{c}", "function", "run", 1, 2, 0) for c in range(copies)], schemas.NODE)
+    found = edges.build_edges(nodes, spark.createDataFrame([(f"f{c}", 1, "run") for c in range(copies)], schemas.LINE))
+    apart = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    tasks = found.groupBy(F.spark_partition_id()).count().collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", apart)
+    assert len(tasks) > 1 and sum(r["count"] for r in tasks) == copies * (copies - 1)
