@@ -218,3 +218,18 @@ def test_many_nodes_of_a_name_are_dealt_to_several_tasks(spark, monkeypatch, unb
     tasks = found.groupBy(F.spark_partition_id()).count().collect()
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", apart)
     assert len(tasks) > 1 and sum(r["count"] for r in tasks) == copies * (copies - 1)
+
+
+def test_frequent_names_are_looked_up_where_they_stand(spark, monkeypatch, unbroadcast):
+    """Mentions of names that many lines have aren't shuffled, neither for edges nor for their sizes."""
+    from lodegrid.operators import enrichment
+
+    monkeypatch.setattr(edges, "HOT_SAMPLE", 1.0, raising=False)
+    names = " ".join(f"name{k}" for k in range(40))
+    nodes = frame(spark, [node(f"f{i}", "function", f"name{i}", 1, 50, 0) for i in range(40)], schemas.NODE)
+    lines = spark.createDataFrame([(f"f{i}", n, names) for i in range(40) for n in range(1, 51)], schemas.LINE)
+    sizes, found = enrichment.prompt_sizes(nodes, lines), edges.build_edges(nodes, lines)
+    assert _shuffled(sizes) < 40_000 and found.count() == 40 * 39 * 50
+    assert _shuffled(found) < 20_000
+    wanted = enrichment.node_prompts(nodes, found).select("id", F.length("prompt").cast("bigint"))
+    assert sorted(map(tuple, sizes.collect())) == sorted(map(tuple, wanted.collect()))
